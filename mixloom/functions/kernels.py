@@ -65,8 +65,18 @@ def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, har
     flat = whiten.reshape(k * d, d)
     shift = np.einsum("kij,kj->ki", whiten, means).reshape(k * d, 1)
     upper = np.triu_indices(d)
-    # rows per slice, so that the whitened slice stays near 8 MB
-    step = max(64, (1 << 20) // max(1, k * d))
+    # points per slice, so that the temporaries of a slice stay in cache
+    step = max(256, (1 << 15) // (k * d))
+
+    def whitened(x):
+        if d > 4:
+            z = flat @ x
+        else:  # plain products beat a matrix product this thin
+            z = flat[:, :1] * x[0]
+            for axis in range(1, d):
+                z += flat[:, axis : axis + 1] * x[axis]
+        z -= shift
+        return z.reshape(k, d, -1)
 
     def fold(batches):
         weight = np.zeros(k)
@@ -84,7 +94,7 @@ def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, har
                     )
                 for lo in range(0, x.shape[1], step):
                     part = x[:, lo : lo + step]
-                    z = (flat @ part - shift).reshape(k, d, -1)
+                    z = whitened(part)
                     score = constant[:, None] - 0.5 * np.einsum("kdn,kdn->kn", z, z)
                     top = score.max(axis=0)
                     if hard:
