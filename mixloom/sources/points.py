@@ -41,30 +41,26 @@ def parse_points(lines: DataFrame, n_cols: int | None = None, mode: str = "failf
     """Parse a frame of ``point_id, line``; see ``read_points``."""
     if mode not in ("failfast", "quarantine"):
         raise ValueError("mode must be 'failfast' or 'quarantine'")
-    split = lines.withColumn("_tokens", tokens(F.col("line")))
     wrong_size = (
         F.lit(False) if n_cols is None else F.size("_tokens") != F.lit(n_cols)
     )
-    if mode == "failfast":
-        checked = split.withColumn(
-            "features",
-            F.when(
-                wrong_size,
-                F.raise_error(
-                    F.concat(
-                        F.lit(f"expected {n_cols} numbers in line: "), F.col("line")
-                    )
-                ).cast("array<double>"),
-            ).otherwise(F.col("_tokens").cast("array<double>")),
+    judged = (
+        lines.withColumn("_tokens", tokens(F.col("line")))
+        .withColumn("features", F.transform("_tokens", lambda t: t.try_cast("double")))
+        .withColumn(
+            "reason",
+            F.when(wrong_size, F.lit("column count")).when(
+                F.exists("features", lambda v: v.isNull()), F.lit("not a number")
+            ),
         )
-        return _shape(checked, n_cols)
-    judged = split.withColumn(
-        "features", F.transform("_tokens", lambda t: t.try_cast("double"))
-    ).withColumn(
-        "reason",
-        F.when(wrong_size, F.lit("column count"))
-        .when(F.exists("features", lambda v: v.isNull()), F.lit("not a number"))
     )
+    if mode == "failfast":
+        complaint = F.concat_ws(": ", F.lit("bad point line"), "reason", "line")
+        checked = F.when(
+            F.col("reason").isNotNull(),
+            F.raise_error(complaint).cast("array<double>"),
+        ).otherwise(F.col("features"))
+        return _shape(judged.withColumn("features", checked), n_cols)
     good = judged.filter(F.col("reason").isNull())
     rejected = judged.filter(F.col("reason").isNotNull())
     return _shape(good, n_cols), rejected.select("point_id", "line", "reason")
