@@ -13,7 +13,7 @@ VALUES = ("wh", "hw", "area")
 def write_history(
     history: DataFrame, path: str, chunk_rows: int = 8192, mode: str = "error"
 ) -> None:
-    """Write ``(category, pos, wh, hw, area)`` as ``path/wh``, ``path/hw``, ``path/area``.
+    """Write ``(category, pos, wh, hw, area)`` as one folder per value name.
 
     Each line is ``{"start": p, "values": {category: [...]}}``: a run of at most
     ``chunk_rows`` values starting at position ``p``, so no line grows with the
@@ -24,13 +24,18 @@ def write_history(
         F.min("pos").alias("start"),
         F.sort_array(F.collect_list(F.struct("pos", *VALUES))).alias("_run"),
     )
-    runs = runs.persist()
-    for name in VALUES:
-        runs.select(
-            "start",
-            F.create_map("category", F.col("_run").getField(name)).alias("values"),
-        ).write.mode(mode).json(f"{path}/{name}")
-    runs.unpersist()
+    documents = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"),
+                F.create_map("category", F.col("_run").getField(name)).alias("values"),
+            )
+            for name in VALUES
+        ]
+    )
+    runs.select("start", F.inline(documents)).write.mode(mode).partitionBy(
+        "name"
+    ).json(path)
 
 
 def to_whole_json(history: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def read_history(
     matched by category and position; a position missing in one file is NULL.
     """
     if isinstance(paths, str):
-        paths = {name: f"{paths}/{name}" for name in VALUES}
+        paths = {name: f"{paths}/name={name}" for name in VALUES}
     first, second, third = (
         _long(_chunks(spark, paths[name], whole), name) for name in VALUES
     )
