@@ -17,7 +17,8 @@ def _range_row(df: DataFrame, cols: list[str], given) -> DataFrame:
             (F.min(c) if lo is None else F.first(F.lit(float(lo)))).alias(f"_a{i}"),
             (F.max(c) if hi is None else F.first(F.lit(float(hi)))).alias(f"_b{i}"),
         ]
-    row = df.agg(*picks)
+    known = given and all(g and None not in g for g in given)
+    row = (df.sparkSession.range(1) if known else df).agg(*picks)
     sides = []
     for i in range(len(cols)):
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
