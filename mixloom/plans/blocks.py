@@ -60,6 +60,10 @@ def packed(points: DataFrame, cols=XY, storage: str = "memory"):
         raise ValueError("storage must be 'memory', 'table' or 'none'")
 
 
+class NoPoints(ValueError):
+    """There was nothing to sum."""
+
+
 @dataclass(frozen=True)
 class Sums:
     """Sums over all points, un-whitened into offsets from the model's means."""
@@ -88,7 +92,7 @@ def sum_blocks(blocks: DataFrame, model: Mixture, hard: bool = False) -> Sums:
         .collect()
     )
     if not rows:
-        raise ValueError("there are no points to fit")
+        raise NoPoints("there are no points to fit")
     k, d = model.means.shape
     terms = 1 + d + d * (d + 1) // 2
     table = np.zeros((k, terms))

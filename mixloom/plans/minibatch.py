@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from mixloom.functions.columns import digest_word, seeded_digest
 from mixloom.model import Mixture, as_mixture
-from mixloom.plans.blocks import XY, Sums, packed, sum_blocks
+from mixloom.plans.blocks import XY, NoPoints, Sums, packed, sum_blocks
 from mixloom.plans.em import Epoch, FitResult
 from mixloom.session import landing_path
 
 BATCH_SIZE = 131_072
 # batches landed by one pass over the points
 WAVE = 4_096
+# points of a batch that one task writes
+SLICE = 262_144
 
 
 def batch_number(id_col: str, seed: int, epoch: int, n_batches: int):
@@ -69,17 +71,25 @@ def fit_minibatch(
     while step < steps:
         epoch, first = divmod(step, n_batches)
         last = min(n_batches, first + WAVE, first + steps - step)
+        slices = math.ceil(batch_size / SLICE)
         dealt = points.select(
-            batch_number(id_col, seed, epoch, n_batches).alias("batch"), *cols
+            batch_number(id_col, seed, epoch, n_batches).alias("batch"),
+            F.pmod(F.xxhash64(id_col), F.lit(slices)).alias("_slice"),
+            *cols,
         ).filter(F.col("batch").between(first, last - 1))
         path = landing_path(spark, "batches")
-        dealt.repartition("batch").write.partitionBy("batch").parquet(path)
+        dealt.repartition("batch", "_slice").drop("_slice").write.partitionBy(
+            "batch"
+        ).parquet(path)
         landed = spark.read.parquet(path)
         for batch in range(first, last):
             begun = time.perf_counter()
-            with packed(landed.filter(F.col("batch") == batch), cols, "none") as blocks:
-                sums = sum_blocks(blocks, model)
-            model = minibatch_update(model, sums, rate / (1 + step / decay))
             step += 1
+            try:
+                with packed(landed.filter(F.col("batch") == batch), cols, "none") as blocks:
+                    sums = sum_blocks(blocks, model)
+            except NoPoints:  # the hash dealt this batch nothing
+                continue
+            model = minibatch_update(model, sums, rate / (1 + (step - 1) / decay))
             history.append(Epoch(step, sums.total, time.perf_counter() - begun))
     return FitResult(model, history, n_points, trainer="sgd")
