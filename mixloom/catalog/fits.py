@@ -10,7 +10,7 @@ from mixloom.catalog import views as V
 from mixloom.catalog.registry import model_columns, query, rounded
 from mixloom.model import Mixture
 from mixloom.operators.report import component_report
-from mixloom.operators.scaling import compute_scales, minmax_scale
+from mixloom.operators.scaling import compute_scales, fix_scales, minmax_scale
 from mixloom.operators.starts import initial_mixture, initial_model, sample_starts
 from mixloom.plans import kmeans as KM
 from mixloom.plans.em import em_step, fit_em
@@ -30,7 +30,7 @@ K = 7
 
 def _scaled(spark, sf_dir):
     points = V.pts_orders(spark, sf_dir)
-    return minmax_scale(points, compute_scales(points))
+    return minmax_scale(points, fix_scales(compute_scales(points)))
 
 
 def _start(points, k: int) -> Mixture:
@@ -97,7 +97,7 @@ _EVENT_START = O.Fit(O.PTS_EVENTS, 4)
 @query("m03_em_step_events", _EVENT_START.em().em().model_sql())
 def event_steps(spark, sf_dir):
     points = V.pts_events(spark, sf_dir)
-    points = minmax_scale(points, compute_scales(points))
+    points = minmax_scale(points, fix_scales(compute_scales(points)))
     model = _start(points, 4)
     for _ in range(2):
         model, _ = em_step(points, model)
@@ -255,7 +255,7 @@ def _flagship_sql(epochs: int) -> str:
 def centroid_report(spark, sf_dir):
     """The main path: scale, draw starts, fit, report in original units."""
     raw = V.pts_orders(spark, sf_dir)
-    scales = compute_scales(raw)
+    scales = fix_scales(compute_scales(raw))
     points = minmax_scale(raw, scales)
     result = fit_em(points, _start(points, K), max_iter=3)
     return _report_columns(component_report(result.model_df(spark), scales), 3)
@@ -276,7 +276,7 @@ def _comparison_sql() -> str:
 @query("m12_trainer_comparison", _comparison_sql())
 def comparison(spark, sf_dir):
     raw = V.pts_orders(spark, sf_dir)
-    scales = compute_scales(raw)
+    scales = fix_scales(compute_scales(raw))
     points = minmax_scale(raw, scales).persist()
     report = compare_trainers(
         points,

@@ -41,11 +41,15 @@ def with_positions(
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = runs.withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    ).drop("_n")
+    # landed too: Spark then knows its size and broadcasts it only if it is small
+    offsets_path = landing_path(spark, "offsets")
+    runs.select(
+        group,
+        "_part",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+    ).write.parquet(offsets_path)
     return (
-        landed.join(offsets, [group, "_part"])
-        .withColumn(out, F.col("_row") - F.col("_first") + F.col("_offset"))
-        .drop("_row", "_part", "_first", "_offset")
+        landed.join(spark.read.parquet(offsets_path), [group, "_part"])
+        .withColumn(out, F.col("_row") + F.col("_shift"))
+        .drop("_row", "_part", "_shift")
     )

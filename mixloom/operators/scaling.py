@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.functions.columns import unit_scale, unit_unscale
+from mixloom.schemas import SCALES
 
 XY = ("x", "y")
 
@@ -25,6 +26,14 @@ def compute_scales(points: DataFrame, cols=XY) -> DataFrame:
     return bounds.selectExpr(f"stack({len(cols)}, {triples}) AS (dim, min, max)")
 
 
+def fix_scales(scales: DataFrame) -> DataFrame:
+    """Compute the axis rows once (as many as dimensions) and hold them as values,
+    so that later uses do not scan the points again."""
+    return scales.sparkSession.createDataFrame(
+        scales.select("dim", "min", "max").collect(), SCALES
+    )
+
+
 def scales_row(scales: DataFrame, n_dims: int) -> DataFrame:
     """The scales as one row ``_lo0, _hi0, _lo1, ...``."""
     picks = [

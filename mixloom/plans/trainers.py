@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mixloom.model import Mixture, as_mixture
 from mixloom.operators.augment import augment
 from mixloom.operators.report import component_report
-from mixloom.operators.scaling import compute_scales, minmax_scale, without_null_axes
+from mixloom.operators.scaling import compute_scales, fix_scales, minmax_scale, without_null_axes
 from mixloom.operators.starts import initial_mixture, sample_starts
 from mixloom.plans.blocks import XY
 from mixloom.plans.em import FitResult, fit_em, log_likelihood
@@ -105,7 +105,7 @@ def sweep(
             id_col, F.col(id_col) * F.lit(aug + 1) + F.col("copy")
         )
         scaled = without_null_axes(
-            minmax_scale(copies, compute_scales(copies, cols), cols), cols
+            minmax_scale(copies, fix_scales(compute_scales(copies, cols)), cols), cols
         ).select(id_col, *cols).persist()
         n_points = scaled.count()
         for g in (g for g in wanted if g["aug"] == aug):

@@ -49,12 +49,12 @@ def to_documents(
     partition, so a document never grows with the data. Every document carries
     the category list, which is one row by construction.
     """
-    row_id = F.monotonically_increasing_id()
+    shard = F.expr(f"monotonically_increasing_id() div {int(per_document)}")
     listed = categories.agg(
         F.sort_array(F.collect_set(F.struct("id", "name"))).alias("categories")
     )
     shards = (
-        annotations.withColumn("shard", F.floor(row_id / F.lit(per_document)))
+        annotations.withColumn("shard", shard)
         .groupBy("split", "shard")
         .agg(
             F.collect_list(

@@ -19,7 +19,7 @@ def write_history(
     ``chunk_rows`` values starting at position ``p``, so no line grows with the
     data however many values a category has.
     """
-    chunk = F.floor(F.col("pos") / F.lit(chunk_rows)).alias("_chunk")
+    chunk = F.expr(f"pos div {int(chunk_rows)}").alias("_chunk")
     runs = history.groupBy("category", chunk).agg(
         F.min("pos").alias("start"),
         F.sort_array(F.collect_list(F.struct("pos", *VALUES))).alias("_run"),
@@ -71,11 +71,8 @@ def _chunks(spark: SparkSession, path: str, whole: bool) -> DataFrame:
     )
 
 
-def _long(chunks: DataFrame, name: str) -> DataFrame:
-    lists = chunks.select("start", F.explode("values").alias("category", "_list"))
-    return lists.select("category", "start", F.posexplode("_list").alias("_i", name)).select(
-        "category", (F.col("start") + F.col("_i")).alias("pos"), name
-    )
+def _lists(chunks: DataFrame, name: str) -> DataFrame:
+    return chunks.select("start", F.explode("values").alias("category", name))
 
 
 def read_history(
@@ -84,13 +81,23 @@ def read_history(
     """Read the three files into ``(category, pos, wh, hw, area)``.
 
     ``paths`` is the folder of ``write_history`` or a file per value name.
-    ``whole=True`` reads the form with one JSON object per file. Values are
-    matched by category and position; a position missing in one file is NULL.
+    ``whole=True`` reads the form with one JSON object per file. The lists are
+    matched by category and start before they are spread into rows, so the joins
+    move whole lists; a position missing in one list is NULL.
     """
     if isinstance(paths, str):
         paths = {name: f"{paths}/name={name}" for name in VALUES}
     first, second, third = (
-        _long(_chunks(spark, paths[name], whole), name) for name in VALUES
+        _lists(_chunks(spark, paths[name], whole), name) for name in VALUES
+    )
+    keys = ["category", "start"]
+    joined = first.join(second, keys, "full").join(third, keys, "full")
+    empty = F.array().cast("array<double>")
+    zipped = F.arrays_zip(*[F.coalesce(v, empty).alias(v) for v in VALUES])
+    return joined.select(
+        "category", "start", F.posexplode(zipped).alias("_i", "_v")
+    ).select(
+        "category",
+        (F.col("start") + F.col("_i")).alias("pos"),
+        *[F.col("_v").getField(v).alias(v) for v in VALUES],
     )
-    keys = ["category", "pos"]
-    return first.join(second, keys, "full").join(third, keys, "full")
