@@ -53,7 +53,10 @@ def box_features(boxes: DataFrame, keep_degenerate: bool = False) -> DataFrame:
             "inverse_ratio": F.try_divide(h, w),
         }
     )
-    return featured if keep_degenerate else featured.filter("ratio <> 0")
+    if keep_degenerate:
+        return featured
+    # the first two conditions follow from the third and can reach the scan
+    return featured.filter("w <> 0 AND h <> 0 AND ratio <> 0")
 
 
 def _sums() -> list[Column]:
@@ -110,9 +113,15 @@ def merge_stats(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def class_means(boxes: DataFrame, category: str = "category") -> DataFrame:
     """Means per category over all splits and, with ``category`` NULL and
-    ``is_total = 1``, over everything - one pass, one shuffle."""
-    sums = boxes.rollup(category).agg(
-        *_sums(), F.grouping(category).cast("int").alias("is_total")
+    ``is_total = 1``, over everything.
+
+    The rollup runs over the per-category sums, not over the boxes, so that it
+    does not double the rows of the scan.
+    """
+    per_category = boxes.groupBy(category).agg(*_sums())
+    sums = per_category.rollup(category).agg(
+        *[F.sum(c).alias(c) for c in (*MEASURES, "count")],
+        F.grouping(category).cast("int").alias("is_total"),
     )
     return _means(sums).select(
         F.col(category).alias("category"), "is_total", *MEASURES, "count", "mean_h", "mean_w"

@@ -7,47 +7,62 @@ from pyspark.sql import functions as F
 
 from mixloom.functions.columns import equal_width_bin
 
+Range = tuple[float | None, float | None]
 
-def _range_row(df: DataFrame, cols: list[str], given) -> DataFrame:
-    """One row ``_lo0, _hi0, ...``; a single-valued axis is widened by 1/2 each way."""
-    picks = []
-    for i, c in enumerate(cols):
-        lo, hi = given[i] if given and given[i] else (None, None)
-        picks += [
-            (F.min(c) if lo is None else F.first(F.lit(float(lo)))).alias(f"_a{i}"),
-            (F.max(c) if hi is None else F.first(F.lit(float(hi)))).alias(f"_b{i}"),
-        ]
-    known = given and all(g and None not in g for g in given)
-    row = (df.sparkSession.range(1) if known else df).agg(*picks)
-    sides = []
-    for i in range(len(cols)):
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        pad = F.when(a == b, F.lit(0.5)).otherwise(F.lit(0.0))
-        sides += [(a - pad).alias(f"_lo{i}"), (b + pad).alias(f"_hi{i}")]
-    return row.select(*sides)
 
+def _ranges(df: DataFrame, cols: list[str], given: list[Range]) -> list[tuple[float, float]]:
+    """The range of each axis; two numbers per axis reach the driver.
 
-def _binned(df: DataFrame, cols: list[str], bins: int, given, names: list[str]) -> tuple:
-    bounds = _range_row(df, cols, given)
-    placed = df.select(*[F.col(c) for c in cols]).crossJoin(F.broadcast(bounds))
-    for i, c in enumerate(cols):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        placed = placed.filter((F.col(c) >= lo) & (F.col(c) <= hi)).withColumn(
-            names[i], equal_width_bin(F.col(c), lo, hi, bins)
-        )
-    counts = placed.groupBy(*names).agg(F.count(F.lit(1)).alias("count"))
-    return counts, bounds
+    A single-valued axis is widened by 1/2 each way, an empty one is [0, 1].
+    """
+    lows, highs = [g[0] for g in given], [g[1] for g in given]
+    if None in lows or None in highs:
+        seen = df.agg(
+            *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
+            *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
+        ).first()
+        lows = [seen[f"lo{i}"] if v is None else v for i, v in enumerate(lows)]
+        highs = [seen[f"hi{i}"] if v is None else v for i, v in enumerate(highs)]
+    ranges = []
+    for lo, hi in zip(lows, highs):
+        if lo is None or hi is None:
+            lo, hi = 0.0, 1.0
+        pad = 0.5 if lo == hi else 0.0
+        ranges.append((float(lo) - pad, float(hi) + pad))
+    return ranges
 
 
-def _edges(frame: DataFrame, bounds: DataFrame, names: list[str], bins: int) -> DataFrame:
-    out = frame.crossJoin(F.broadcast(bounds))
-    for i, name in enumerate(names):
-        width = (F.col(f"_hi{i}") - F.col(f"_lo{i}")) / F.lit(float(bins))
-        suffix = "" if len(names) == 1 else f"_{'xy'[i]}"
-        out = out.withColumn(
-            f"lo{suffix}", F.col(f"_lo{i}") + width * F.col(name)
-        ).withColumn(f"hi{suffix}", F.col(f"_lo{i}") + width * (F.col(name) + 1))
-    return out.drop(*[f"_{s}{i}" for i in range(len(names)) for s in ("lo", "hi")])
+def _histogram(
+    df: DataFrame, cols: list[str], names: list[str], bins: int, given: list[Range], dense: bool
+) -> DataFrame:
+    ranges = _ranges(df, cols, given)
+    placed = df.select(*cols)
+    for c, (lo, hi) in zip(cols, ranges):
+        placed = placed.filter(F.col(c).between(lo, hi))
+    counts = (
+        placed.select(
+            *[
+                equal_width_bin(F.col(c), F.lit(lo), F.lit(hi), bins).alias(name)
+                for c, name, (lo, hi) in zip(cols, names, ranges)
+            ]
+        )
+        .groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+    if dense:
+        cells = df.sparkSession.range(bins ** len(cols))
+        axes = [
+            (F.expr(f"(id div {bins ** (len(cols) - 1 - i)}) % {bins}")).alias(name)
+            for i, name in enumerate(names)
+        ]
+        counts = cells.select(*axes).join(counts, names, "left").na.fill(0, ["count"])
+    edges = {}
+    for name, (lo, hi) in zip(names, ranges):
+        suffix = name.removeprefix("bin")
+        width = F.lit((hi - lo) / bins)
+        edges[f"lo{suffix}"] = F.lit(lo) + width * F.col(name)
+        edges[f"hi{suffix}"] = F.lit(lo) + width * (F.col(name) + 1)
+    return counts.withColumns(edges).select(*names, *edges, "count")
 
 
 def hist1d(
@@ -62,22 +77,17 @@ def hist1d(
 
     Values outside a given range are left out. ``dense`` adds the empty bins.
     """
-    counts, bounds = _binned(df, [col], bins, [(lo, hi)], ["bin"])
-    if dense:
-        grid = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-        counts = grid.join(counts, "bin", "left").na.fill(0, ["count"])
-    return _edges(counts, bounds, ["bin"], bins)
+    return _histogram(df, [col], ["bin"], bins, [(lo, hi)], dense)
 
 
 def hist2d(
-    df: DataFrame, cx: str = "x", cy: str = "y", bins: int = 100, dense: bool = False
+    df: DataFrame,
+    cx: str = "x",
+    cy: str = "y",
+    bins: int = 100,
+    x_range: Range = (None, None),
+    y_range: Range = (None, None),
+    dense: bool = False,
 ) -> DataFrame:
-    """``(bin_x, bin_y, lo_x, hi_x, lo_y, hi_y, count)`` over the observed ranges."""
-    names = ["bin_x", "bin_y"]
-    counts, bounds = _binned(df, [cx, cy], bins, None, names)
-    if dense:
-        grid = df.sparkSession.range(bins * bins).select(
-            F.floor(F.col("id") / bins).alias("bin_x"), (F.col("id") % bins).alias("bin_y")
-        )
-        counts = grid.join(counts, names, "left").na.fill(0, ["count"])
-    return _edges(counts, bounds, names, bins)
+    """``(bin_x, bin_y, lo_x, hi_x, lo_y, hi_y, count)``."""
+    return _histogram(df, [cx, cy], ["bin_x", "bin_y"], bins, [x_range, y_range], dense)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.functions.columns import unit_scale, unit_unscale
-from mixloom.schemas import SCALES
 
 XY = ("x", "y")
+Scales = DataFrame | list[tuple[float, float]]
 
 
 def compute_scales(points: DataFrame, cols=XY) -> DataFrame:
@@ -26,12 +26,14 @@ def compute_scales(points: DataFrame, cols=XY) -> DataFrame:
     return bounds.selectExpr(f"stack({len(cols)}, {triples}) AS (dim, min, max)")
 
 
-def fix_scales(scales: DataFrame) -> DataFrame:
-    """Compute the axis rows once (as many as dimensions) and hold them as values,
-    so that later uses do not scan the points again."""
-    return scales.sparkSession.createDataFrame(
-        scales.select("dim", "min", "max").collect(), SCALES
-    )
+def fix_scales(scales: DataFrame) -> list[tuple[float, float]]:
+    """Compute the axis rows once and hold them as plain ``(min, max)`` pairs.
+
+    As many rows as dimensions reach the driver. Later uses then need neither a
+    join nor another scan of the points.
+    """
+    rows = sorted(scales.select("dim", "min", "max").collect())
+    return [(r["min"], r["max"]) for r in rows]
 
 
 def scales_row(scales: DataFrame, n_dims: int) -> DataFrame:
@@ -44,23 +46,26 @@ def scales_row(scales: DataFrame, n_dims: int) -> DataFrame:
     return scales.agg(*picks)
 
 
-def _per_axis(points: DataFrame, scales: DataFrame, cols, change) -> DataFrame:
-    # one row by construction, so broadcasting it is safe at any data size
-    joined = points.crossJoin(F.broadcast(scales_row(scales, len(cols))))
+def _per_axis(points: DataFrame, scales: Scales, cols, change) -> DataFrame:
+    if isinstance(scales, DataFrame):
+        # one row by construction, so broadcasting it is safe at any data size
+        points = points.crossJoin(F.broadcast(scales_row(scales, len(cols))))
+        bounds = [(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(cols))]
+    else:
+        bounds = [tuple(F.lit(v).cast("double") for v in pair) for pair in scales]
     changed = {
-        c: change(F.col(c).cast("double"), F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-        for i, c in enumerate(cols)
+        c: change(F.col(c).cast("double"), *bounds[i]) for i, c in enumerate(cols)
     }
     drops = [f"_{n}{i}" for i in range(len(cols)) for n in ("lo", "hi")]
-    return joined.withColumns(changed).drop(*drops)
+    return points.withColumns(changed).drop(*drops)
 
 
-def minmax_scale(points: DataFrame, scales: DataFrame, cols=XY) -> DataFrame:
+def minmax_scale(points: DataFrame, scales: Scales, cols=XY) -> DataFrame:
     """Scale each axis to [0, 1]. A constant axis becomes NULL."""
     return _per_axis(points, scales, cols, unit_scale)
 
 
-def inverse_scale(points: DataFrame, scales: DataFrame, cols=XY) -> DataFrame:
+def inverse_scale(points: DataFrame, scales: Scales, cols=XY) -> DataFrame:
     """Bring scaled coordinates back to original units."""
     return _per_axis(points, scales, cols, unit_unscale)
 

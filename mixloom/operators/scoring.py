@@ -11,7 +11,6 @@ from mixloom.functions.density import (
     fits_expression,
     log_densities,
     log_densities_arrow,
-    squared_distances,
 )
 from mixloom.model import Mixture, as_mixture
 
@@ -57,23 +56,19 @@ def posteriors(points: DataFrame, model: Mixture | DataFrame, cols=XY) -> DataFr
         "_top", F.array_max("_ld")
     )
     if model.k <= _UNROLL:
-        total = reduce(
-            lambda a, b: a + b,
-            [F.exp(F.get("_ld", i) - F.col("_top")) for i in range(model.k)],
-        )
-        scored = scored.withColumn("loglik", F.col("_top") + F.ln(total))
-        shares = F.array(
-            *[F.exp(F.get("_ld", i) - F.col("loglik")) for i in range(model.k)]
-        )
+        ks = range(model.k)
+        scored = scored.withColumn(
+            "_g", F.array(*[F.exp(F.get("_ld", i) - F.col("_top")) for i in ks])
+        ).withColumn("_sum", reduce(lambda a, b: a + b, [F.get("_g", i) for i in ks]))
+        shares = F.array(*[F.get("_g", i) / F.col("_sum") for i in ks])
     else:
-        total = F.aggregate(
-            F.transform("_ld", lambda v: F.exp(v - F.col("_top"))),
-            F.lit(0.0),
-            lambda a, b: a + b,
-        )
-        scored = scored.withColumn("loglik", F.col("_top") + F.ln(total))
-        shares = F.transform("_ld", lambda v: F.exp(v - F.col("loglik")))
-    return scored.withColumn("posterior", shares).drop("_ld", "_top")
+        scored = scored.withColumn(
+            "_g", F.transform("_ld", lambda v: F.exp(v - F.col("_top")))
+        ).withColumn("_sum", F.aggregate("_g", F.lit(0.0), lambda a, b: a + b))
+        shares = F.transform("_g", lambda g: g / F.col("_sum"))
+    return scored.withColumns(
+        {"posterior": shares, "loglik": F.col("_top") + F.ln("_sum")}
+    ).drop("_ld", "_top", "_g", "_sum")
 
 
 def posteriors_long(points: DataFrame, model: Mixture | DataFrame, cols=XY) -> DataFrame:
@@ -138,19 +133,13 @@ def component_coverage(
     one aggregation over K groups.
     """
     model = as_mixture(model)
-    labelled = assign(points, model, cols)
-    if fits_expression(model):
-        distance = F.get(
-            F.array(*squared_distances(model, _coords(points, cols, model.d))),
-            F.col("component"),
-        )
-    else:
-        # ln density and squared distance differ by a constant per component
-        _, constant = model.whitening()
-        labelled = with_log_density(labelled, model, cols, "_ld")
-        own = F.get("_ld", F.col("component"))
-        constants = F.array(*[F.lit(float(c)) for c in constant])
-        distance = F.lit(2.0) * (F.get(constants, F.col("component")) - own)
+    labelled = with_log_density(points, model, cols, "_ld").withColumn(
+        "component", (F.array_position("_ld", F.array_max("_ld")) - 1).cast("int")
+    )
+    # log-density and squared distance differ by a constant per component
+    constants = F.array(*[F.lit(float(c)) for c in model.whitening()[1]])
+    own = F.get("_ld", F.col("component"))
+    distance = F.lit(2.0) * (F.get(constants, F.col("component")) - own)
     inside = (distance <= F.lit(float(q))).cast("int")
     return (
         labelled.select("component", inside.alias("_in"))

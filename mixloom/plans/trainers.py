@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from mixloom.model import Mixture, as_mixture
 from mixloom.operators.augment import augment
 from mixloom.operators.report import component_report
-from mixloom.operators.scaling import compute_scales, fix_scales, minmax_scale, without_null_axes
+from mixloom.operators.scaling import (
+    Scales,
+    compute_scales,
+    fix_scales,
+    minmax_scale,
+    without_null_axes,
+)
 from mixloom.operators.starts import initial_mixture, sample_starts
 from mixloom.plans.blocks import XY
 from mixloom.plans.em import FitResult, fit_em, log_likelihood
@@ -59,7 +65,7 @@ def compare_trainers(
     points: DataFrame,
     trainers: list[str],
     start: Mixture | DataFrame,
-    scales: DataFrame,
+    scales: Scales,
     options: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Reports of all trainers from one start, matched by the rank of a component.
