@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 
 BLOCK_SCHEMA = "n int, block binary"
+KEYED_BLOCK_SCHEMA = "key bigint, n int, block binary"
 STATS_SCHEMA = "component int, term int, value double"
 
 # component number of rows that belong to the whole data set
@@ -40,6 +41,16 @@ def _columns_to_matrix(batch: pa.RecordBatch) -> np.ndarray:
     )
 
 
+def _matrices(batch: pa.RecordBatch):
+    """The (d, n) matrices of a batch of packed blocks or of plain points."""
+    if batch.schema.names == ["n", "block"]:
+        for n, block in zip(batch.column(0), batch.column(1)):
+            flat = np.frombuffer(block.as_buffer(), dtype="float64")
+            yield flat.reshape(-1, n.as_py())
+    elif batch.num_rows:
+        yield _columns_to_matrix(batch)
+
+
 def pack_batches(batches):
     """Each Arrow batch of points becomes one row holding a (d, n) float64 block."""
     for batch in batches:
@@ -54,8 +65,27 @@ def pack_batches(batches):
             )
 
 
+def pack_keyed_batches(batches):
+    """The same for rows led by a key column: a block holds one key only."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        rest = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+            if hi > lo:
+                matrix = _columns_to_matrix(rest.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([keys[lo]], pa.int64()),
+                        pa.array([hi - lo], pa.int32()),
+                        pa.array([matrix.tobytes()], pa.binary()),
+                    ],
+                    names=["key", "n", "block"],
+                )
+
+
 def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, hard: bool):
-    """Task function: packed blocks -> the partition's sums per component.
+    """Task function: packed blocks or points -> the partition's sums per component.
 
     For each component the sums of r, r*z and r*z*z' are returned, z being the
     point whitened by that component. ``hard`` gives each point to its most
@@ -85,9 +115,7 @@ def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, har
         total = 0.0
         count = 0
         for batch in batches:
-            for n, block in zip(batch.column(0), batch.column(1)):
-                x = np.frombuffer(block.as_buffer(), dtype="float64")
-                x = x.reshape(-1, n.as_py())
+            for x in _matrices(batch):
                 if x.shape[0] != d:
                     raise ValueError(
                         f"points have {x.shape[0]} dimensions, the model has {d}"

@@ -35,8 +35,10 @@ def _ranges(df: DataFrame, cols: list[str], given: list[Range]) -> list[tuple[fl
 def _histogram(
     df: DataFrame, cols: list[str], names: list[str], bins: int, given: list[Range], dense: bool
 ) -> DataFrame:
-    ranges = _ranges(df, cols, given)
-    placed = df.select(*cols)
+    placed = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    for c in cols:
+        placed = placed.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    ranges = _ranges(placed, cols, given)
     for c, (lo, hi) in zip(cols, ranges):
         placed = placed.filter(F.col(c).between(lo, hi))
     counts = (
@@ -75,7 +77,7 @@ def hist1d(
 ) -> DataFrame:
     """``(bin, lo, hi, count)``; the last bin includes its right edge.
 
-    Values outside a given range are left out. ``dense`` adds the empty bins.
+    Values outside a given range, NULL and NaN are left out. ``dense`` adds the empty bins.
     """
     return _histogram(df, [col], ["bin"], bins, [(lo, hi)], dense)
 

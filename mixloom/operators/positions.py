@@ -44,12 +44,14 @@ def with_positions(
     # landed too: Spark then knows its size and broadcasts it only if it is small
     offsets_path = landing_path(spark, "offsets")
     runs.select(
-        group,
-        "_part",
+        F.col(group).alias("_group"),
+        F.col("_part").alias("_run"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     ).write.parquet(offsets_path)
+    offsets = spark.read.parquet(offsets_path)
+    same_run = (F.col("_part") == F.col("_run")) & F.col(group).eqNullSafe(F.col("_group"))
     return (
-        landed.join(spark.read.parquet(offsets_path), [group, "_part"])
+        landed.join(offsets, same_run)
         .withColumn(out, F.col("_row") + F.col("_shift"))
-        .drop("_row", "_part", "_shift")
+        .drop("_row", "_part", "_group", "_run", "_shift")
     )

@@ -12,38 +12,56 @@ from pyspark.sql import functions as F
 
 from mixloom.functions import kernels
 from mixloom.model import DegenerateComponent, Mixture
-from mixloom.session import landing_path
+from mixloom.session import discard, landing_path
 
 XY = ("x", "y")
 
 
+def coordinates(points: DataFrame, cols=XY) -> DataFrame:
+    """The coordinate columns alone, as doubles (or one array of doubles)."""
+    dtypes = dict(points.dtypes)
+    if len(cols) == 1 and dtypes[cols[0]].startswith("array"):
+        return points.select(F.col(cols[0]).cast("array<double>").alias(cols[0]))
+    return points.select(*[F.col(c).cast("double").alias(c) for c in cols])
+
+
 def pack_points(points: DataFrame, cols=XY) -> DataFrame:
     """Points as rows of float64 blocks, one per Arrow batch. No shuffle.
 
     ``cols`` are numeric coordinate columns, or one ``array`` column. Packing
     once removes per-row work from every later pass over the points.
     """
-    dtypes = dict(points.dtypes)
-    if len(cols) == 1 and dtypes[cols[0]].startswith("array"):
-        selected = points.select(F.col(cols[0]).cast("array<double>"))
-    else:
-        selected = points.select(*[F.col(c).cast("double") for c in cols])
-    return selected.mapInArrow(kernels.pack_batches, kernels.BLOCK_SCHEMA)
+    return coordinates(points, cols).mapInArrow(
+        kernels.pack_batches, kernels.BLOCK_SCHEMA
+    )
+
+
+def for_one_pass(points: DataFrame, cols=XY) -> DataFrame:
+    """What a single pass should read: packed blocks as they are, else the plain
+    coordinates, which the pass folds without packing them first."""
+    return points if points.columns == ["n", "block"] else coordinates(points, cols)
 
 
 @contextmanager
-def packed(points: DataFrame, cols=XY, storage: str = "memory"):
+def packed(
+    points: DataFrame, cols=XY, storage: str = "memory", spread: int | None = None
+):
     """Packed blocks kept for the length of a fit.
 
     ``memory`` caches them (spilling to disk); ``table`` lands them as Parquet
     in the shared folder, which also survives the loss of executors without
-    recomputation; ``none`` re-reads the source on each pass. A frame that is
-    already packed is used as it is.
+    recomputation; ``none`` re-reads and packs the source on each pass. A frame
+    that is already packed is used as it is.
+
+    ``spread`` deals the blocks out over that many partitions, for inputs that
+    split badly (few row groups, compressed text); whole blocks are moved, once.
     """
     if points.columns == ["n", "block"]:
         yield points
         return
     blocks = pack_points(points, cols)
+    if spread is not None:
+        blocks = blocks.repartition(spread)
     if storage == "memory":
         blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -51,9 +69,13 @@ def packed(points: DataFrame, cols=XY, storage: str = "memory"):
         finally:
             blocks.unpersist()
     elif storage == "table":
-        path = landing_path(points.sparkSession, "blocks")
-        blocks.write.parquet(path)
-        yield points.sparkSession.read.schema(kernels.BLOCK_SCHEMA).parquet(path)
+        spark = points.sparkSession
+        path = landing_path(spark, "blocks")
+        try:
+            blocks.write.parquet(path)
+            yield spark.read.schema(kernels.BLOCK_SCHEMA).parquet(path)
+        finally:
+            discard(spark, path)
     elif storage == "none":
         yield blocks
     else:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mixloom.model import DegenerateComponent, Mixture, as_mixture
-from mixloom.plans.blocks import XY, moments, packed, sum_blocks
+from mixloom.plans.blocks import XY, for_one_pass, moments, packed, sum_blocks
 from mixloom.schemas import FIT_HISTORY
 
 
@@ -42,15 +43,13 @@ def em_step(
 ) -> tuple[Mixture, float]:
     """One EM step: the improved model and the log-likelihood of the given one."""
     model = as_mixture(model)
-    with packed(points, cols, storage="none") as blocks:
-        sums = sum_blocks(blocks, model)
+    sums = sum_blocks(for_one_pass(points, cols), model)
     return moments(sums, model, reg_covar), sums.total
 
 
 def log_likelihood(points: DataFrame, model: Mixture | DataFrame, cols=XY) -> float:
     """Log-likelihood of all points under a model."""
-    with packed(points, cols, storage="none") as blocks:
-        return sum_blocks(blocks, as_mixture(model)).total
+    return sum_blocks(for_one_pass(points, cols), as_mixture(model)).total
 
 
 def fit_em(
@@ -62,13 +61,17 @@ def fit_em(
     reg_covar: float = 0.0,
     cols=XY,
     storage: str = "memory",
+    spread: int | None = None,
     final_loglik: bool = False,
+    on_epoch: Callable[[Epoch, Mixture], None] | None = None,
 ) -> FitResult:
     """Fit from a given start.
 
     With ``tol = 0`` exactly ``max_iter`` epochs run. A positive ``tol`` stops
     the fit once the log-likelihood (``tol_kind='total'``) or its mean per point
-    (``'mean'``) changes by less than that between two epochs.
+    (``'mean'``) changes by less than that between two epochs. ``on_epoch`` sees
+    each epoch and its model, e.g. to save the model so that a fit whose driver
+    is lost can go on from there as its start.
     """
     if tol_kind not in ("total", "mean"):
         raise ValueError("tol_kind must be 'total' or 'mean'")
@@ -77,7 +80,7 @@ def fit_em(
     converged = False
     n_points = 0
     last = None
-    with packed(points, cols, storage) as blocks:
+    with packed(points, cols, storage, spread) as blocks:
         for epoch in range(1, max_iter + 1):
             begun = time.perf_counter()
             try:
@@ -90,6 +93,8 @@ def fit_em(
             model = improved
             n_points = sums.count
             history.append(Epoch(epoch, sums.total, time.perf_counter() - begun))
+            if on_epoch is not None:
+                on_epoch(history[-1], model)
             level = sums.total / sums.count if tol_kind == "mean" else sums.total
             if tol > 0 and last is not None and abs(level - last) < tol:
                 converged = True

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mixloom.model import Mixture
 from mixloom.operators.vectors import to_features, to_vectors
-from mixloom.plans.blocks import XY, Sums, packed, sum_blocks
+from mixloom.plans.blocks import XY, Sums, for_one_pass, packed, sum_blocks
 from mixloom.plans.em import Epoch, FitResult, fit_em
 
 
@@ -49,8 +49,7 @@ def library_centres(points: DataFrame, k: int, seed: int = 0, cols=XY) -> np.nda
 
 def kmeans_step(points: DataFrame, centres, cols=XY) -> tuple[np.ndarray, float]:
     """One Lloyd step: new centres and the inertia under the given ones."""
-    with packed(points, cols, storage="none") as blocks:
-        moved, sums = _lloyd(blocks, np.asarray(centres, dtype=float))
+    moved, sums = _lloyd(for_one_pass(points, cols), np.asarray(centres, dtype=float))
     return moved, inertia(sums)
 
 
@@ -63,6 +62,7 @@ def fit_kmeans(
     tol: float = 1e-4,
     cols=XY,
     storage: str = "memory",
+    spread: int | None = None,
 ) -> FitResult:
     """k-means with hard-assignment weights and covariances as a mixture.
 
@@ -81,7 +81,7 @@ def fit_kmeans(
         )
     history: list[Epoch] = []
     converged = False
-    with packed(points, cols, storage) as blocks:
+    with packed(points, cols, storage, spread) as blocks:
         for epoch in range(1, max_iter + 1):
             begun = time.perf_counter()
             moved, sums = _lloyd(blocks, centres)
@@ -112,8 +112,8 @@ def warm_start(
     points: DataFrame, centres, reg_covar: float = 1e-6, cols=XY
 ) -> Mixture:
     """The centres as means; weights and covariances of the nearest-centre groups."""
-    with packed(points, cols, storage="none") as blocks:
-        return _hard_mixture(blocks, np.asarray(centres, dtype=float), reg_covar)[0]
+    frame = for_one_pass(points, cols)
+    return _hard_mixture(frame, np.asarray(centres, dtype=float), reg_covar)[0]
 
 
 def fit_em_warm(
@@ -128,6 +128,7 @@ def fit_em_warm(
     reg_covar: float = 1e-6,
     cols=XY,
     storage: str = "memory",
+    spread: int | None = None,
 ) -> FitResult:
     """EM started from k-means, stopped on the mean log-likelihood per point.
 
@@ -137,7 +138,7 @@ def fit_em_warm(
         if k is None:
             raise ValueError("give k or start centres")
         start = library_centres(points, k, seed, cols)
-    with packed(points, cols, storage) as blocks:
+    with packed(points, cols, storage, spread) as blocks:
         centres = fit_kmeans(
             blocks, start=start, max_iter=kmeans_iter, tol=kmeans_tol
         ).extra["centres"]

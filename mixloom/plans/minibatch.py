@@ -9,23 +9,58 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixloom.functions import kernels
 from mixloom.functions.columns import digest_word, seeded_digest
 from mixloom.model import Mixture, as_mixture
-from mixloom.plans.blocks import XY, NoPoints, Sums, packed, sum_blocks
+from mixloom.plans.blocks import XY, NoPoints, Sums, coordinates, sum_blocks
 from mixloom.plans.em import Epoch, FitResult
-from mixloom.session import landing_path
+from mixloom.session import discard, landing_path
 
 BATCH_SIZE = 131_072
 # batches landed by one pass over the points
 WAVE = 4_096
-# points of a batch that one task writes
-SLICE = 262_144
+SMALL_WAVE = 128
+# points of a batch that one task packs
+SLICE = 65_536
 
 
-def batch_number(id_col: str, seed: int, epoch: int, n_batches: int):
-    """The batch of a point in an epoch, from a hash of its id."""
-    digest = seeded_digest(F.col(id_col), seed, epoch)
-    return digest_word(digest, 0) % F.lit(n_batches)
+def _land_batches(
+    points: DataFrame,
+    coords: list[str],
+    id_col: str,
+    seed: int,
+    n_batches: int,
+    slices: int,
+    first: int,
+    last: int,
+    path: str,
+) -> None:
+    """Cut out the batches of steps ``first .. last - 1`` by one pass and land them.
+
+    In epoch e, step ``e * n_batches + b`` takes the points whose hash of id, seed
+    and e falls on b.
+    """
+    epochs = first // n_batches, (last - 1) // n_batches
+    dealt = points.select(F.col(id_col).alias("_id"), *coords).withColumn(
+        "_epoch",
+        F.lit(epochs[0])
+        if epochs[0] == epochs[1]
+        else F.explode(F.sequence(F.lit(epochs[0]), F.lit(epochs[1]))),
+    )
+    batch = digest_word(seeded_digest(F.col("_id"), seed, F.col("_epoch")), 0) % n_batches
+    blocks = (
+        dealt.select(
+            (F.col("_epoch").cast("bigint") * n_batches + batch).alias("key"),
+            F.pmod(F.xxhash64("_id"), F.lit(slices)).alias("_slice"),
+            *coords,
+        )
+        .filter(F.col("key").between(first, last - 1))
+        .repartition("key", "_slice")
+        .sortWithinPartitions("key")
+        .select("key", *coords)
+        .mapInArrow(kernels.pack_keyed_batches, kernels.KEYED_BLOCK_SCHEMA)
+    )
+    blocks.write.partitionBy("key").parquet(path)
 
 
 def minibatch_update(model: Mixture, sums: Sums, rate: float) -> Mixture:
@@ -56,8 +91,8 @@ def fit_minibatch(
     """Step through hashed batches; step t uses the rate ``rate / (1 + t / decay)``.
 
     A step needs one batch only, so the batches of the coming steps are cut out
-    by one pass over the points and landed as Parquet by batch; each step then
-    reads its own folder. Passing over all the data once takes
+    by one pass over the points and landed as packed blocks in a folder per
+    batch; each step then reads its own folder. Passing over all the data once takes
     ``ceil(n / batch_size)`` steps, and a new epoch deals the points anew.
     """
     if not 0 < rate <= 1:
@@ -66,30 +101,27 @@ def fit_minibatch(
     spark = points.sparkSession
     n_points = points.count()
     n_batches = max(1, math.ceil(n_points / batch_size))
+    coords = coordinates(points, cols).columns
     history: list[Epoch] = []
+    # small data come round often: cut several epochs out at once, but not too many
+    wave = WAVE if n_batches >= WAVE else max(n_batches, SMALL_WAVE)
     step = 0
     while step < steps:
-        epoch, first = divmod(step, n_batches)
-        last = min(n_batches, first + WAVE, first + steps - step)
-        slices = math.ceil(batch_size / SLICE)
-        dealt = points.select(
-            batch_number(id_col, seed, epoch, n_batches).alias("batch"),
-            F.pmod(F.xxhash64(id_col), F.lit(slices)).alias("_slice"),
-            *cols,
-        ).filter(F.col("batch").between(first, last - 1))
+        last = min(step + wave, steps)
         path = landing_path(spark, "batches")
-        dealt.repartition("batch", "_slice").drop("_slice").write.partitionBy(
-            "batch"
-        ).parquet(path)
-        landed = spark.read.parquet(path)
-        for batch in range(first, last):
+        _land_batches(
+            points, coords, id_col, seed, n_batches, math.ceil(batch_size / SLICE), step, last, path
+        )
+        landed = spark.read.schema(kernels.KEYED_BLOCK_SCHEMA).parquet(path)
+        for number in range(step, last):
             begun = time.perf_counter()
             step += 1
             try:
-                with packed(landed.filter(F.col("batch") == batch), cols, "none") as blocks:
-                    sums = sum_blocks(blocks, model)
+                own = landed.filter(F.col("key") == number).select("n", "block")
+                sums = sum_blocks(own, model)
             except NoPoints:  # the hash dealt this batch nothing
                 continue
             model = minibatch_update(model, sums, rate / (1 + (step - 1) / decay))
             history.append(Epoch(step, sums.total, time.perf_counter() - begun))
+        discard(spark, path)
     return FitResult(model, history, n_points, trainer="sgd")

@@ -12,7 +12,7 @@ from pyspark.mllib.stat.distribution import MultivariateGaussian
 from pyspark.sql import DataFrame
 
 from mixloom.model import Mixture, as_mixture
-from mixloom.plans.blocks import XY, packed
+from mixloom.plans.blocks import XY, pack_points
 from mixloom.plans.em import Epoch, FitResult, log_likelihood
 
 
@@ -48,15 +48,15 @@ def fit_mllib(
         return [DenseVector(point) for point in block.T]
 
     begun = time.perf_counter()
-    with packed(points, cols, storage="none") as blocks:
-        fitted = GaussianMixture.train(
-            blocks.rdd.flatMap(vectors),
-            model.k,
-            convergenceTol=tol,
-            maxIterations=max_iter,
-            seed=seed,
-            initialModel=_library_model(model),
-        )
+    blocks = points if points.columns == ["n", "block"] else pack_points(points, cols)
+    fitted = GaussianMixture.train(
+        blocks.rdd.flatMap(vectors),
+        model.k,
+        convergenceTol=tol,
+        maxIterations=max_iter,
+        seed=seed,
+        initialModel=_library_model(model),
+    )
     mixture = Mixture(
         fitted.weights,
         [g.mu.toArray() for g in fitted.gaussians],

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_landed: dict[str, list[str]] = {}
 
 
 def build_session(
@@ -56,4 +57,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def landing_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/mixloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/mixloom/{label}-{uuid.uuid4().hex}"
+    _landed.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``landing_path`` named in this application."""
+    paths = _landed.get(spark.sparkContext.applicationId, [])
+    if path not in paths:
+        raise ValueError("only tables landed by this application can be discarded")
+    paths.remove(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target.getFileSystem(conf).delete(target, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove every landed table, once no frame that reads one is needed."""
+    for path in list(_landed.get(spark.sparkContext.applicationId, [])):
+        discard(spark, path)

@@ -221,6 +221,9 @@ def test_histogram_edges_and_given_range(spark):
     frame = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (2.0,), (9.0,), (None,)], "v double")
     rows = hist1d(frame, "v", 2, lo=0.0, hi=2.0).orderBy("bin").collect()
     assert [(r.bin, r["count"]) for r in rows] == [(0, 1), (1, 3)]
+    assert hist1d(frame.union(spark.createDataFrame([(float("nan"),)], "v double")), "v", 3).agg(
+        F.sum("count")
+    ).first()[0] == 5
     single = spark.createDataFrame([(3.0,), (3.0,)], "v double")
     rows = hist1d(single, "v", 4).collect()
     assert [(r.bin, r["count"]) for r in rows] == [(2, 2)]
@@ -364,6 +367,13 @@ def test_positions_are_dense_and_ordered(uneven, partitions):
         assert keys == sorted(keys)
 
 
+def test_positions_keep_rows_without_a_group(spark):
+    frame = spark.createDataFrame([(None, i) for i in range(5)] + [("a", 1)], "g string, i int")
+    rows = with_positions(frame, "g", ["i"]).collect()
+    assert sorted(r.pos for r in rows if r.g is None) == [0, 1, 2, 3, 4]
+    assert len(rows) == 6
+
+
 def test_history_files_in_chunks(spark, uneven, tmp_path):
     placed = with_positions(uneven, "category", ORDER).cache()
     path = str(tmp_path / "h")

@@ -8,7 +8,7 @@ from mixloom.plans import kmeans as KM
 from mixloom.plans.em import fit_em
 from mixloom.plans.minibatch import fit_minibatch
 from mixloom.plans.trainers import compare_trainers, fit, resolve_trainer, sweep
-from mixloom.session import landing_path, shared_dir
+from mixloom.session import discard, landing_path, shared_dir
 from mixloom.sources import models as M
 
 
@@ -179,6 +179,28 @@ def test_shared_folder_is_the_session_setting(spark):
     assert landing_path(spark, "a") != landing_path(spark, "a")
 
 
+def test_landed_tables_are_discarded(spark, blobs, start):
+    path = landing_path(spark, "mine")
+    blobs.write.parquet(path)
+    discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        discard(spark, "/somewhere/else")
+
+
+def test_fit_goes_on_from_a_saved_epoch(spark, blobs, start, tmp_path):
+    path = str(tmp_path / "latest")
+    fit_em(
+        blobs,
+        start,
+        max_iter=3,
+        on_epoch=lambda epoch, model: M.save_model(model, path, spark, if_exists="overwrite"),
+    )
+    resumed = fit_em(blobs, M.load_model(spark, path), max_iter=2).mixture
+    np.testing.assert_allclose(resumed.means, fit_em(blobs, start, max_iter=5).mixture.means)
+
+
 def test_fit_history_table(spark, blobs, start, tmp_path):
     path = str(tmp_path / "h")
     for run in ("a", "b"):
