@@ -228,11 +228,12 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 def annotations_nested(spark, sf_dir):
     path = landing_path(spark, "annotations")
-    write_annotations(
-        to_documents(V.categories(spark, sf_dir), V.annotations(spark, sf_dir)), path
+    documents = to_documents(
+        V.categories(spark, sf_dir), V.annotations(spark, sf_dir), splits=V.SPLITS
     )
-    splits = {s: f"{path}/split={s}" for s in ("val", "train")}
-    cats, anns = read_annotations(spark, splits, multi_line=False)
+    write_annotations(documents, path)
+    paths = {s: f"{path}/split={s}" for s in V.SPLITS}
+    cats, anns = read_annotations(spark, paths, multi_line=False)
     return feat.box_sides(feat.annotations_of(anns, cats)).select(
         "split", "id", "image_id", "category", "area", rounded("w"), rounded("h"), "iscrowd"
     )
@@ -243,8 +244,10 @@ def annotations_nested(spark, sf_dir):
     f"SELECT id, name FROM ({O.CATEGORIES})",
 )
 def category_list(spark, sf_dir):
-    """Categories found again in every shard, once each."""
-    documents = to_documents(V.categories(spark, sf_dir), V.annotations(spark, sf_dir))
+    """Categories found again in both splits' documents, once each."""
+    documents = to_documents(
+        V.categories(spark, sf_dir), V.annotations(spark, sf_dir), splits=V.SPLITS
+    )
     return explode_documents(documents)[0]
 
 

@@ -20,8 +20,10 @@ from mixloom.plans.trainers import compare_trainers, sweep
 from mixloom.session import landing_path
 from mixloom.sources.models import (
     append_history,
+    append_runs,
     load_model,
     read_fit_history,
+    read_runs,
     save_model,
 )
 
@@ -182,7 +184,7 @@ def _minibatch_fit(steps: int) -> O.Fit:
     return fit
 
 
-@query("m06_sgd_steps", _minibatch_fit(5).model_sql())
+@query("m06_sgd_step", _minibatch_fit(5).model_sql())
 def minibatch_steps(spark, sf_dir):
     """Five steps; with four batches the last one opens the second epoch."""
     points = _scaled(spark, sf_dir)
@@ -323,10 +325,13 @@ def _sweep_sql() -> str:
 
 @query("m13_sweep", _sweep_sql())
 def scalability_sweep(spark, sf_dir):
+    """Every fit of the grid, through the run log."""
     runs = sweep(
         V.pts_pixels(spark, sf_dir),
         _GRID,
         V.SEED,
         {"em": {"max_iter": 2}, "kmeans": {"max_iter": 2, "tol": 0.0}},
     )
-    return runs.select("trainer", "k", "aug", "n_points", "epochs", rounded("loglik", 4))
+    path = landing_path(spark, "runs")
+    append_runs(runs, path)
+    return read_runs(spark, path).select("trainer", "k", "aug", "n_points", "epochs", rounded("loglik", 4))

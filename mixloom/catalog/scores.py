@@ -110,7 +110,7 @@ def component_points(spark, sf_dir):
 
 
 @query(
-    "a13_component_sizes",
+    "a13_sizes",
     O.scored(idle=True)
     + "SELECT CAST(m.k AS INT) AS component, count(l.id) AS size FROM model m LEFT JOIN lab l ON l.k = m.k GROUP BY m.k",
 )

@@ -10,6 +10,7 @@ from mixloom.model import Mixture
 from mixloom.operators.features import box_features
 
 SEED = 2014595
+SPLITS = ["val", "train"]
 
 # A recorded three-component model of box sides in pixels.
 RECORDED_WEIGHTS = [0.378064, 0.239208, 0.382728]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixloom.model import Mixture, as_mixture
 from mixloom.operators.scaling import Scales
 
 
@@ -49,9 +50,10 @@ def anchor_boxes(model: DataFrame) -> DataFrame:
     )
 
 
-def with_anchor(labelled: DataFrame, model: DataFrame) -> DataFrame:
+def with_anchor(labelled: DataFrame, model: Mixture | DataFrame) -> DataFrame:
     """Each labelled point with the anchor box of its component.
 
-    The model's size is bounded (see ``mixloom.model``), so it is broadcast.
+    Reading the model checks its size, so its boxes can be broadcast.
     """
-    return labelled.join(F.broadcast(anchor_boxes(model)), "component")
+    boxes = anchor_boxes(as_mixture(model).to_df(labelled.sparkSession))
+    return labelled.join(F.broadcast(boxes), "component")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from mixloom.schemas import ANNOTATION_DOCUMENT
 
+MAX_SPLITS = 1_000
+
 
 def read_annotations(
     spark: SparkSession, splits: dict[str, str], multi_line: bool = True
@@ -41,28 +43,45 @@ def explode_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def to_documents(
-    categories: DataFrame, annotations: DataFrame, per_document: int = 4096
+    categories: DataFrame,
+    annotations: DataFrame,
+    per_document: int = 4096,
+    splits: list[str] | None = None,
 ) -> DataFrame:
-    """Nest flat annotations into document rows ``(split, shard, ...)``.
+    """Nest flat annotations into document rows ``(split, categories, annotations)``.
 
     Rows are gathered in runs of at most ``per_document`` from their own input
-    partition, so a document never grows with the data. Every document carries
-    the category list, which is one row by construction.
+    partition, so no document grows with the data. Categories get documents of
+    their own in each split, instead of a copy in every annotation document.
+    Without ``splits`` the names are looked up first; each is a folder later.
     """
-    shard = F.expr(f"monotonically_increasing_id() div {int(per_document)}")
-    listed = categories.agg(
-        F.sort_array(F.collect_set(F.struct("id", "name"))).alias("categories")
-    )
+    if splits is None:
+        found = annotations.select("split").distinct().limit(MAX_SPLITS + 1).collect()
+        splits = sorted(row["split"] for row in found)
+    if not 1 <= len(splits) <= MAX_SPLITS:
+        raise ValueError(f"there must be 1 to {MAX_SPLITS} splits")
+    run = F.expr(f"monotonically_increasing_id() div {int(per_document)}")
+    category = F.struct("id", "name")
+    annotation = F.struct("id", "image_id", "category_id", "area", "bbox", "iscrowd")
     shards = (
-        annotations.withColumn("shard", shard)
-        .groupBy("split", "shard")
-        .agg(
-            F.collect_list(
-                F.struct("id", "image_id", "category_id", "area", "bbox", "iscrowd")
-            ).alias("annotations")
+        annotations.withColumn("_run", run)
+        .groupBy("split", "_run")
+        .agg(F.collect_list(annotation).alias("annotations"))
+        .select("split", "annotations")
+    )
+    lists = (
+        categories.withColumn("_run", run)
+        .groupBy("_run")
+        .agg(F.collect_list(category).alias("categories"))
+        .select(
+            F.explode(F.array(*[F.lit(s) for s in splits])).alias("split"), "categories"
         )
     )
-    return shards.crossJoin(F.broadcast(listed))
+    return shards.unionByName(lists, allowMissingColumns=True).select(
+        "split",
+        F.coalesce("categories", F.expr("array()")).alias("categories"),
+        F.coalesce("annotations", F.expr("array()")).alias("annotations"),
+    )
 
 
 def write_annotations(documents: DataFrame, path: str, mode: str = "error") -> None:
