@@ -6,26 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixloom.model import Mixture, as_mixture
-from mixloom.operators.scaling import Scales
+from mixloom.operators.scaling import Scales, fix_scales
 
 
 def component_report(model: DataFrame, scales: Scales) -> DataFrame:
     """Components in original units, numbered by ascending first coordinate.
 
     ``(rank, component, weight, mean, cov)``; means by ``v * (max - min) + min``
-    and covariances by the product of the two ranges. K rows times one row.
+    and covariances by the product of the two ranges. K rows.
     """
-    if isinstance(scales, DataFrame):
-        axis = F.struct(
-            "dim", F.col("min").alias("lo"), (F.col("max") - F.col("min")).alias("span")
-        )
-        axes = scales.agg(F.sort_array(F.collect_list(axis)).alias("_axes"))
-        joined = model.crossJoin(F.broadcast(axes))
-    else:
-        literal = [
-            F.struct(F.lit(lo).alias("lo"), F.lit(hi - lo).alias("span")) for lo, hi in scales
-        ]
-        joined = model.withColumn("_axes", F.array(*literal))
+    axes = [
+        F.struct(F.lit(lo).alias("lo"), F.lit(hi - lo).alias("span"))
+        for lo, hi in fix_scales(scales)
+    ]
+    joined = model.withColumn("_axes", F.array(*axes))
     means = F.zip_with("mean", "_axes", lambda m, a: m * a["span"] + a["lo"])
     covs = F.zip_with(
         "cov",

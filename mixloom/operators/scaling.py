@@ -26,42 +26,35 @@ def compute_scales(points: DataFrame, cols=XY) -> DataFrame:
     return bounds.selectExpr(f"stack({len(cols)}, {triples}) AS (dim, min, max)")
 
 
-def fix_scales(scales: DataFrame) -> list[tuple[float, float]]:
+def fix_scales(scales: Scales) -> list[tuple[float, float]]:
     """Compute the axis rows once and hold them as plain ``(min, max)`` pairs.
 
     As many rows as dimensions reach the driver. Later uses then need neither a
     join nor another scan of the points.
     """
+    if not isinstance(scales, DataFrame):
+        return list(scales)
     rows = sorted(scales.select("dim", "min", "max").collect())
     return [(r["min"], r["max"]) for r in rows]
 
 
-def scales_row(scales: DataFrame, n_dims: int) -> DataFrame:
-    """The scales as one row ``_lo0, _hi0, _lo1, ...``."""
-    picks = [
-        F.max(F.when(F.col("dim") == i, F.col(source))).alias(f"_{name}{i}")
-        for i in range(n_dims)
-        for name, source in (("lo", "min"), ("hi", "max"))
-    ]
-    return scales.agg(*picks)
-
-
 def _per_axis(points: DataFrame, scales: Scales, cols, change) -> DataFrame:
-    if isinstance(scales, DataFrame):
-        # one row by construction, so broadcasting it is safe at any data size
-        points = points.crossJoin(F.broadcast(scales_row(scales, len(cols))))
-        bounds = [(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(cols))]
-    else:
-        bounds = [tuple(F.lit(v).cast("double") for v in pair) for pair in scales]
-    changed = {
-        c: change(F.col(c).cast("double"), *bounds[i]) for i, c in enumerate(cols)
-    }
-    drops = [f"_{n}{i}" for i in range(len(cols)) for n in ("lo", "hi")]
-    return points.withColumns(changed).drop(*drops)
+    bounds = fix_scales(scales)
+    if len(bounds) != len(cols):
+        raise ValueError(f"{len(bounds)} axes in the scales for {len(cols)} columns")
+    return points.withColumns(
+        {
+            c: change(F.col(c).cast("double"), *[F.lit(v).cast("double") for v in pair])
+            for c, pair in zip(cols, bounds)
+        }
+    )
 
 
 def minmax_scale(points: DataFrame, scales: Scales, cols=XY) -> DataFrame:
-    """Scale each axis to [0, 1]. A constant axis becomes NULL."""
+    """Scale each axis to [0, 1]. A constant axis becomes NULL.
+
+    The bounds enter as literals: a projection without join or shuffle.
+    """
     return _per_axis(points, scales, cols, unit_scale)
 
 
