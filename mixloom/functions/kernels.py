@@ -11,6 +11,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 BLOCK_SCHEMA = "n int, block binary"
@@ -84,6 +85,29 @@ def pack_keyed_batches(batches):
                 )
 
 
+def nest_batches(per_list: int):
+    """Task function: rows led by a split -> ``(split, list of the other columns)``.
+
+    A list holds at most ``per_list`` rows of one batch, so nothing is shuffled.
+    """
+
+    def nest(batches):
+        for batch in batches:
+            names = batch.schema.names[1:]
+            for split in batch.column(0).unique():
+                own = batch.filter(pc.equal(batch.column(0), split))
+                for lo in range(0, own.num_rows, per_list):
+                    part = own.slice(lo, per_list)
+                    rows = pa.StructArray.from_arrays(part.columns[1:], names=names)
+                    offsets = pa.array([0, len(rows)], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([split.as_py()]), pa.ListArray.from_arrays(offsets, rows)],
+                        names=["split", "rows"],
+                    )
+
+    return nest
+
+
 def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, hard: bool):
     """Task function: packed blocks or points -> the partition's sums per component.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixloom.session import landing_path
+from mixloom.session import discard, landing_path
 
 _ROW_BITS = 33  # low bits of monotonically_increasing_id() count rows of a partition
 
@@ -17,14 +17,19 @@ def with_positions(
 
     A window over ``group`` would sort a whole group in one task, and one group
     may hold a third of all rows. Here the rows are range-partitioned by group
-    and order (equal rows spread by a tie-break), landed once in the shared
-    folder, and each partition's rows are numbered from where the group's rows
+    and order and each partition's rows are numbered from where the group's rows
     in earlier partitions end. The offsets table has at most one row per
     partition and group boundary.
+
+    The rows are landed with a tie-break first: it spreads copies over several
+    partitions, and as it is stored, a task that is run again sees the same one.
+    Numbered rows are landed too, so that offsets and rows agree.
     """
     spark = df.sparkSession
+    tied_path = landing_path(spark, "tied")
+    df.withColumn("_tie", F.monotonically_increasing_id()).write.parquet(tied_path)
+    tied = spark.read.parquet(tied_path)
     keys = [group, *order, "_tie"]
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
     ranged = (
         tied.repartitionByRange(partitions, *keys)
         if partitions
@@ -32,6 +37,7 @@ def with_positions(
     ).sortWithinPartitions(*keys)
     path = landing_path(spark, "positions")
     ranged.withColumn("_row", F.monotonically_increasing_id()).drop("_tie").write.parquet(path)
+    discard(spark, tied_path)
     landed = spark.read.parquet(path).withColumn(
         "_part", F.shiftright("_row", _ROW_BITS)
     )

@@ -54,32 +54,32 @@ def packed(
     that is already packed is used as it is.
 
     ``spread`` deals the blocks out over that many partitions, for inputs that
-    split badly (few row groups, compressed text); whole blocks are moved, once.
+    split badly (few row groups, compressed text). The blocks are landed before
+    they are moved, so a task that is run again moves the very same blocks.
     """
     if points.columns == ["n", "block"]:
         yield points
         return
+    if storage not in ("memory", "table", "none"):
+        raise ValueError("storage must be 'memory', 'table' or 'none'")
+    spark = points.sparkSession
     blocks = pack_points(points, cols)
-    if spread is not None:
-        blocks = blocks.repartition(spread)
-    if storage == "memory":
-        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            yield blocks
-        finally:
-            blocks.unpersist()
-    elif storage == "table":
-        spark = points.sparkSession
-        path = landing_path(spark, "blocks")
-        try:
+    path = None
+    try:
+        if storage == "table" or spread is not None:
+            path = landing_path(spark, "blocks")
             blocks.write.parquet(path)
-            yield spark.read.schema(kernels.BLOCK_SCHEMA).parquet(path)
-        finally:
-            discard(spark, path)
-    elif storage == "none":
+            blocks = spark.read.schema(kernels.BLOCK_SCHEMA).parquet(path)
+        if spread is not None:
+            blocks = blocks.repartition(spread)
+        if storage == "memory":
+            blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         yield blocks
-    else:
-        raise ValueError("storage must be 'memory', 'table' or 'none'")
+    finally:
+        if storage == "memory":
+            blocks.unpersist()
+        if path is not None:
+            discard(spark, path)
 
 
 class NoPoints(ValueError):

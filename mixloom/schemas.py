@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-ANNOTATION_DOCUMENT = (
-    "categories array<struct<id:bigint,name:string>>,"
-    "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,"
+CATEGORIES = "array<struct<id:bigint,name:string>>"
+
+ANNOTATIONS = (
+    "array<struct<id:bigint,image_id:bigint,category_id:bigint,"
     "area:double,bbox:array<double>,iscrowd:int>>"
 )
 
+ANNOTATION_DOCUMENT = f"categories {CATEGORIES}, annotations {ANNOTATIONS}"
+
 SCALES = "dim int, min double, max double"
 
 MODEL = "component int, weight double, mean array<double>, cov array<array<double>>"

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.schemas import ANNOTATION_DOCUMENT
+from mixloom.functions import kernels
+from mixloom.schemas import ANNOTATION_DOCUMENT, ANNOTATIONS, CATEGORIES
 
 MAX_SPLITS = 1_000
 
@@ -50,8 +51,8 @@ def to_documents(
 ) -> DataFrame:
     """Nest flat annotations into document rows ``(split, categories, annotations)``.
 
-    Rows are gathered in runs of at most ``per_document`` from their own input
-    partition, so no document grows with the data. Categories get documents of
+    Each task nests its own rows in runs of at most ``per_document``: nothing is
+    shuffled and no document grows with the data. Categories get documents of
     their own in each split, instead of a copy in every annotation document.
     Without ``splits`` the names are looked up first; each is a folder later.
     """
@@ -60,24 +61,23 @@ def to_documents(
         splits = sorted(row["split"] for row in found)
     if not 1 <= len(splits) <= MAX_SPLITS:
         raise ValueError(f"there must be 1 to {MAX_SPLITS} splits")
-    run = F.expr(f"monotonically_increasing_id() div {int(per_document)}")
-    category = F.struct("id", "name")
-    annotation = F.struct("id", "image_id", "category_id", "area", "bbox", "iscrowd")
-    shards = (
-        annotations.withColumn("_run", run)
-        .groupBy("split", "_run")
-        .agg(F.collect_list(annotation).alias("annotations"))
-        .select("split", "annotations")
+    nest = kernels.nest_batches(per_document)
+    every_split = F.explode(F.array(*[F.lit(s) for s in splits]))
+    category_documents = (
+        categories.select(every_split.alias("split"), "id", "name")
+        .mapInArrow(nest, f"split string, rows {CATEGORIES}")
+        .withColumnRenamed("rows", "categories")
     )
-    lists = (
-        categories.withColumn("_run", run)
-        .groupBy("_run")
-        .agg(F.collect_list(category).alias("categories"))
-        .select(
-            F.explode(F.array(*[F.lit(s) for s in splits])).alias("split"), "categories"
+    annotation_documents = (
+        annotations.select(
+            "split", "id", "image_id", "category_id", "area", "bbox", "iscrowd"
         )
+        .mapInArrow(nest, f"split string, rows {ANNOTATIONS}")
+        .withColumnRenamed("rows", "annotations")
     )
-    return shards.unionByName(lists, allowMissingColumns=True).select(
+    return annotation_documents.unionByName(
+        category_documents, allowMissingColumns=True
+    ).select(
         "split",
         F.coalesce("categories", F.expr("array()")).alias("categories"),
         F.coalesce("annotations", F.expr("array()")).alias("annotations"),
