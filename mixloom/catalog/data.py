@@ -109,6 +109,34 @@ def axis_bounds(spark, sf_dir):
     return compute_scales(V.pts_lineitem(spark, sf_dir))
 
 
+_WIDE = """(SELECT vec_id, CAST(pos - 1 AS INT) AS dim, CAST(embedding[pos] AS DOUBLE) AS v
+FROM embeddings, (SELECT unnest(range(1, 65)) AS pos))"""
+
+
+@query(
+    "a01_axis_bounds_64d",
+    f"SELECT dim, round(min(v), 6) AS min, round(max(v), 6) AS max FROM {_WIDE} GROUP BY dim",
+)
+def axis_bounds_wide(spark, sf_dir):
+    return compute_scales(V.pts_emb(spark, sf_dir), ("features",)).select(
+        "dim", rounded("min"), rounded("max")
+    )
+
+
+@query(
+    "p04_minmax_scale_64d",
+    f"""SELECT vec_id, dim, round((v - lo) / (hi - lo), 6) AS value FROM {_WIDE}
+JOIN (SELECT dim, min(v) AS lo, max(v) AS hi FROM {_WIDE} GROUP BY dim) USING (dim)""",
+)
+def minmax_wide(spark, sf_dir):
+    points = V.pts_emb(spark, sf_dir)
+    cols = ("features",)
+    scaled = minmax_scale(points, compute_scales(points, cols), cols)
+    return scaled.select(
+        F.col("point_id").alias("vec_id"), F.posexplode("features").alias("dim", "_v")
+    ).select("vec_id", "dim", rounded("_v", alias="value"))
+
+
 @query(
     "a02_point_count",
     "SELECT count(*) AS n_points, count(DISTINCT x) AS distinct_x FROM "

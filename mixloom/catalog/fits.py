@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.ml.clustering import GaussianMixtureModel
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from mixloom.catalog import oracle as O
 from mixloom.catalog import views as V
@@ -21,10 +22,12 @@ from mixloom.session import landing_path
 from mixloom.sources.models import (
     append_history,
     append_runs,
+    from_ml,
     load_model,
     read_fit_history,
     read_runs,
     save_model,
+    to_ml,
 )
 
 K = 7
@@ -86,6 +89,15 @@ def model_saved(spark, sf_dir):
     return model_columns(load_model(spark, path))
 
 
+@query("s11_library_model_roundtrip", O.Fit(O.PTS_ORDERS, K).em().model_sql())
+def library_model_saved(spark, sf_dir):
+    """The stepped model as a library transformer, saved and loaded as such."""
+    points = _scaled(spark, sf_dir)
+    path = landing_path(spark, "library-model")
+    to_ml(spark, em_step(points, _start(points, K))[0]).write().save(path)
+    return model_columns(from_ml(GaussianMixtureModel.load(path)).to_df(spark))
+
+
 @query("m03_em_step", O.Fit(O.PTS_ORDERS, K).em().model_sql())
 def one_step(spark, sf_dir):
     points = _scaled(spark, sf_dir)

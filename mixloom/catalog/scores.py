@@ -11,6 +11,7 @@ from mixloom.operators import scoring as S
 from mixloom.operators.report import with_anchor
 from mixloom.session import landing_path
 from mixloom.sources.models import read_labels, save_labels
+from mixloom.streaming.scoring import score_stream
 
 
 def _labelled(spark, sf_dir, idle=False):
@@ -86,6 +87,27 @@ def labels(spark, sf_dir):
     return _labelled(spark, sf_dir)[0].select("point_id", "component")
 
 
+@query(
+    "m09_stream_scores",
+    O.scored()
+    + """SELECT l.id AS point_id, CAST(l.k AS INT) AS component, round(r.loglik, 6) AS loglik
+FROM lab l JOIN r ON r.id = l.id AND r.k = l.k""",
+)
+def stream_scores(spark, sf_dir):
+    """A folder of points as a stream, scored and appended until none is left."""
+    path = landing_path(spark, "stream-scores")
+    points = V.pts_pixels(spark, sf_dir)
+    points.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(points.schema).parquet(f"{path}/in")
+    scored = score_stream(stream, V.recorded_model())
+    scored.select("point_id", "component", rounded("loglik")).writeStream.format(
+        "parquet"
+    ).option("checkpointLocation", f"{path}/progress").option(
+        "path", f"{path}/table"
+    ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/table")
+
+
 @query("s10_labels_roundtrip", _LABELS)
 def labels_saved(spark, sf_dir):
     path = landing_path(spark, "labels")

@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.functions.columns import unit_scale, unit_unscale
+from mixloom.operators.vectors import is_array
 
 XY = ("x", "y")
 Scales = DataFrame | list[tuple[float, float]]
 
 
 def compute_scales(points: DataFrame, cols=XY) -> DataFrame:
-    """``(dim, min, max)``, one row per axis, from a single aggregation."""
+    """``(dim, min, max)``, one row per axis, from a single aggregation.
+
+    ``cols`` are coordinate columns or one array column.
+    """
+    if is_array(points, cols):
+        long = points.select(
+            F.posexplode(F.col(cols[0]).cast("array<double>")).alias("dim", "_v")
+        )
+        return long.groupBy("dim").agg(F.min("_v").alias("min"), F.max("_v").alias("max"))
     bounds = points.agg(
         *[
             f(F.col(c).cast("double")).alias(f"_{name}{i}")
@@ -40,6 +49,13 @@ def fix_scales(scales: Scales) -> list[tuple[float, float]]:
 
 def _per_axis(points: DataFrame, scales: Scales, cols, change) -> DataFrame:
     bounds = fix_scales(scales)
+    if is_array(points, cols):
+        lows, highs = (F.array(*[F.lit(v).cast("double") for v in side]) for side in zip(*bounds))
+        scaled = F.transform(
+            F.col(cols[0]).cast("array<double>"),
+            lambda v, i: change(v, F.get(lows, i), F.get(highs, i)),
+        )
+        return points.withColumn(cols[0], scaled)
     if len(bounds) != len(cols):
         raise ValueError(f"{len(bounds)} axes in the scales for {len(cols)} columns")
     return points.withColumns(

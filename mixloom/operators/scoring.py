@@ -13,17 +13,14 @@ from mixloom.functions.density import (
     log_densities_arrow,
 )
 from mixloom.model import Mixture, as_mixture
+from mixloom.operators.vectors import is_array
 
 XY = ("x", "y")
 _UNROLL = 64
 
 
-def _is_array(points: DataFrame, cols) -> bool:
-    return len(cols) == 1 and dict(points.dtypes)[cols[0]].startswith("array")
-
-
 def _coords(points: DataFrame, cols, d: int) -> list[Column]:
-    if _is_array(points, cols):
+    if is_array(points, cols):
         return [F.get(F.col(cols[0]), i).cast("double") for i in range(d)]
     if len(cols) != d:
         raise ValueError(f"{len(cols)} coordinate columns for a model of {d} dimensions")
@@ -43,7 +40,7 @@ def with_log_density(
         return points.withColumn(out, log_densities(model, _coords(points, cols, model.d)))
     features = (
         F.col(cols[0]).cast("array<double>")
-        if _is_array(points, cols)
+        if is_array(points, cols)
         else F.array(*_coords(points, cols, model.d))
     )
     return points.withColumn(out, log_densities_arrow(model, features))

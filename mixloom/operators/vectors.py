@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def is_array(df: DataFrame, cols) -> bool:
+    """Whether ``cols`` names one array column rather than coordinate columns."""
+    return len(cols) == 1 and dict(df.dtypes)[cols[0]].startswith("array")
+
+
 def to_features(df: DataFrame, cols, out: str = "features") -> DataFrame:
     """Gather columns into one ``array<double>`` column."""
     return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mixloom.functions import kernels
 from mixloom.model import DegenerateComponent, Mixture
+from mixloom.operators.vectors import is_array
 from mixloom.session import discard, landing_path
 
 XY = ("x", "y")
@@ -19,8 +20,7 @@ XY = ("x", "y")
 
 def coordinates(points: DataFrame, cols=XY) -> DataFrame:
     """The coordinate columns alone, as doubles (or one array of doubles)."""
-    dtypes = dict(points.dtypes)
-    if len(cols) == 1 and dtypes[cols[0]].startswith("array"):
+    if is_array(points, cols):
         return points.select(F.col(cols[0]).cast("array<double>").alias(cols[0]))
     return points.select(*[F.col(c).cast("double").alias(c) for c in cols])
 

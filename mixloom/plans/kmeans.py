@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.model import Mixture
-from mixloom.operators.vectors import to_features, to_vectors
+from mixloom.operators.vectors import is_array, to_features, to_vectors
 from mixloom.plans.blocks import XY, Sums, for_one_pass, packed, sum_blocks
 from mixloom.plans.em import Epoch, FitResult, fit_em
 
@@ -34,8 +34,7 @@ def inertia(sums: Sums) -> float:
 
 def library_centres(points: DataFrame, k: int, seed: int = 0, cols=XY) -> np.ndarray:
     """Centres from ``pyspark.ml`` KMeans (k-means|| start)."""
-    dtypes = dict(points.dtypes)
-    if len(cols) == 1 and dtypes[cols[0]].startswith("array"):
+    if is_array(points, cols):
         prepared = points.select(F.col(cols[0]).alias("features"))
     else:
         prepared = to_features(points, cols).select("features")

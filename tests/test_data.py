@@ -408,3 +408,14 @@ def test_lists_of_unlike_length(spark, tmp_path):
         ("a", 1, 2.0, None, 4.0),
         ("b", 0, 5.0, 0.2, None),
     ]
+
+
+def test_array_axes_are_scaled_as_columns_are(spark, blobs):
+    wide = to_features(blobs, ["x", "y"]).select("point_id", "features")
+    cols = ("features",)
+    scales = compute_scales(wide, cols)
+    assert sorted(map(tuple, scales.collect())) == sorted(map(tuple, compute_scales(blobs).collect()))
+    scaled = from_features(minmax_scale(wide, scales, cols), ["x", "y"])
+    assert scaled.exceptAll(minmax_scale(blobs, compute_scales(blobs))).count() == 0
+    with pytest.raises(ValueError, match="axes"):
+        minmax_scale(blobs, [(0.0, 1.0)])
