@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,13 +52,17 @@ def log_densities_arrow(model: Mixture, features: Column) -> Column:
     flat = whiten.reshape(k * d, d)
     shift = np.einsum("kij,kj->ki", whiten, model.means).reshape(k * d, 1)
 
-    def score(batch: pd.Series) -> pd.Series:
-        out = []
-        step = max(64, (1 << 20) // (k * d))
-        for lo in range(0, len(batch), step):
-            x = np.stack(batch.iloc[lo : lo + step].to_list()).astype(float).T
-            z = (flat @ x - shift).reshape(k, d, -1)
-            out.extend((constant[:, None] - 0.5 * (z * z).sum(axis=1)).T)
-        return pd.Series(out)
+    def score(batch: pa.Array) -> pa.Array:
+        n = len(batch)
+        if batch.null_count:
+            raise ValueError("feature arrays must be present")
+        points = batch.flatten().to_numpy(zero_copy_only=False).reshape(n, d)
+        out = np.empty((n, k))
+        step = max(64, (1 << 18) // (k * d))
+        for lo in range(0, n, step):
+            z = (flat @ points[lo : lo + step].T - shift).reshape(k, d, -1)
+            out[lo : lo + step] = (constant[:, None] - 0.5 * (z * z).sum(axis=1)).T
+        offsets = np.arange(0, (n + 1) * k, k, dtype="int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
-    return F.pandas_udf(score, "array<double>")(features)
+    return F.arrow_udf(score, "array<double>")(features)

@@ -24,12 +24,17 @@ class Epoch:
 class FitResult:
     mixture: Mixture
     history: list[Epoch]
-    n_points: int
+    n_points: int | None
     converged: bool = False
     final_loglik: float | None = None
     trainer: str = "em"
     extra: dict = field(default_factory=dict)
 
+    @property
+    def epochs(self) -> int | None:
+        """Epochs or steps that ran; None where the trainer does not tell."""
+        return self.extra.get("epochs", len(self.history))
+
     def model_df(self, spark: SparkSession) -> DataFrame:
         return self.mixture.to_df(spark)
 

@@ -66,6 +66,13 @@ def fit_mllib(
     closing = log_likelihood(points, mixture, cols) if final_loglik else None
     # the library reports no epochs, so the history is one closing row
     history = [] if closing is None else [Epoch(max_iter, closing, seconds)]
+    # with a tolerance the library may stop early, and does not say when
+    epochs = max_iter if tol == 0 else None
     return FitResult(
-        mixture, history, 0, final_loglik=closing, trainer="mllib", extra={"seconds": seconds}
+        mixture,
+        history,
+        None,
+        final_loglik=closing,
+        trainer="mllib",
+        extra={"seconds": seconds, "epochs": epochs},
     )

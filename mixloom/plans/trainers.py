@@ -131,7 +131,7 @@ def sweep(
                     seed,
                     spark.sparkContext.master,
                     n_points,
-                    len(result.history),
+                    result.epochs,
                     log_likelihood(scaled, result.mixture, cols),
                     seconds,
                 )
