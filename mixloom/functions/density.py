@@ -50,7 +50,8 @@ def log_densities_arrow(model: Mixture, features: Column) -> Column:
     whiten, constant = model.whitening()
     k, d = model.means.shape
     flat = whiten.reshape(k * d, d)
-    shift = np.einsum("kij,kj->ki", whiten, model.means).reshape(k * d, 1)
+    middle = model.means.mean(axis=0)
+    shift = np.einsum("kij,kj->ki", whiten, model.means - middle).reshape(k * d, 1)
 
     def score(batch: pa.Array) -> pa.Array:
         n = len(batch)
@@ -60,7 +61,8 @@ def log_densities_arrow(model: Mixture, features: Column) -> Column:
         out = np.empty((n, k))
         step = max(64, (1 << 18) // (k * d))
         for lo in range(0, n, step):
-            z = (flat @ points[lo : lo + step].T - shift).reshape(k, d, -1)
+            part = points[lo : lo + step] - middle
+            z = (flat @ part.T - shift).reshape(k, d, -1)
             out[lo : lo + step] = (constant[:, None] - 0.5 * (z * z).sum(axis=1)).T
         offsets = np.arange(0, (n + 1) * k, k, dtype="int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))

@@ -117,7 +117,10 @@ def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, har
     """
     k, d = means.shape
     flat = whiten.reshape(k * d, d)
-    shift = np.einsum("kij,kj->ki", whiten, means).reshape(k * d, 1)
+    # distances are taken from the middle of the means, so that data far from zero
+    # lose no digits
+    middle = means.mean(axis=0)
+    shift = np.einsum("kij,kj->ki", whiten, means - middle).reshape(k * d, 1)
     upper = np.triu_indices(d)
     # points per slice, so that the temporaries of a slice stay in cache
     step = max(256, (1 << 15) // (k * d))
@@ -145,7 +148,7 @@ def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, har
                         f"points have {x.shape[0]} dimensions, the model has {d}"
                     )
                 for lo in range(0, x.shape[1], step):
-                    part = x[:, lo : lo + step]
+                    part = x[:, lo : lo + step] - middle[:, None]
                     z = whitened(part)
                     score = constant[:, None] - 0.5 * np.einsum("kdn,kdn->kn", z, z)
                     top = score.max(axis=0)

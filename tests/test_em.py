@@ -84,6 +84,19 @@ def test_odd_dimension_density(spark):
     assert log_likelihood(frame, model, cols=("x",)) == pytest.approx(expected)
 
 
+def test_narrow_data_far_from_zero_keep_their_digits(spark, blob_points, start):
+    far = blob_points * 1e-3 + 1e6
+    frame = spark.createDataFrame([(float(x), float(y)) for x, y in far], "x double, y double")
+    near = far - 1e6
+    covs = np.tile(np.eye(2) * 1e-8, (3, 1, 1))
+    means = start.means * 1e-3
+    model, loglik = em_step(frame, Mixture(start.weights, means + 1e6, covs))
+    w, m, c, ll, _ = plain_em_step(near, start.weights, means, covs)
+    assert loglik == pytest.approx(ll, rel=1e-6)
+    np.testing.assert_allclose(model.means - 1e6, m, atol=1e-9)
+    np.testing.assert_allclose(model.covs, c, rtol=1e-4, atol=1e-13)
+
+
 def test_tolerance_stops_early(blobs, start, blob_points):
     total = fit_em(blobs, start, max_iter=50, tol=1.0)
     assert total.converged and len(total.history) < 50
