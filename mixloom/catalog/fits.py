@@ -10,6 +10,8 @@ from mixloom.catalog import oracle as O
 from mixloom.catalog import views as V
 from mixloom.catalog.registry import model_columns, query, rounded
 from mixloom.model import Mixture
+from mixloom.operators.augment import augment
+from mixloom.operators.features import category_history, reconstruct_sides
 from mixloom.operators.report import component_report
 from mixloom.operators.scaling import compute_scales, fix_scales, minmax_scale
 from mixloom.operators.starts import initial_mixture, initial_model, sample_starts
@@ -29,6 +31,7 @@ from mixloom.sources.models import (
     save_model,
     to_ml,
 )
+from mixloom.sources.points import write_points
 
 K = 7
 
@@ -236,9 +239,11 @@ def warm_em(spark, sf_dir):
     return model_columns(result.model_df(spark))
 
 
-def _report_sql(model: str, digits: int, trainer: str | None = None) -> str:
+def _report_sql(
+    model: str, digits: int, trainer: str | None = None, points: str = O.PTS_ORDERS
+) -> str:
     lead = f"'{trainer}' AS trainer, " if trainer else ""
-    box = f"(SELECT min(x) AS x0, max(x) - min(x) AS xr, min(y) AS y0, max(y) - min(y) AS yr FROM ({O.PTS_ORDERS}))"
+    box = f"(SELECT min(x) AS x0, max(x) - min(x) AS xr, min(y) AS y0, max(y) - min(y) AS yr FROM ({points}))"
     return (
         f"SELECT {lead}CAST(row_number() OVER (ORDER BY mx, k) - 1 AS INT) AS rank, round(w, 6) AS weight, "
         f"round(mx * xr + x0, {digits}) AS mean_x, round(my * yr + y0, {digits}) AS mean_y, "
@@ -275,6 +280,34 @@ def centroid_report(spark, sf_dir):
     return _report_columns(component_report(result.model_df(spark), scales), 3)
 
 
+_BOX_POINTS = (
+    f"SELECT concat_ws(':', id, copy) AS id, x, y FROM ({O.augmented(O.BOX_SIDES, 2, V.SEED)})"
+)
+_BOX_FIT = O.Fit(_BOX_POINTS, 5).em().em()
+
+
+@query("m11_boxes_to_report", _BOX_FIT.sql(_report_sql("m2", 3, points=_BOX_POINTS)))
+def boxes_to_report(spark, sf_dir):
+    """The whole way: boxes, sides, jittered copies, scales, starts, fit, report."""
+    history = category_history(
+        V.kept_boxes(spark, sf_dir).withColumn("point_id", V.box_id()), F.lit(0), ["point_id"]
+    )
+    sides = reconstruct_sides(history).select(
+        "point_id", F.col("w").alias("x"), F.col("h").alias("y")
+    )
+    copies = augment(sides, 2, V.SEED).withColumn(
+        "point_id", F.concat_ws(":", "point_id", F.col("copy").cast("string"))
+    )
+    # landed once: bounds, starts and packing each pass over the copies
+    path = landing_path(spark, "copies")
+    write_points(copies.select("point_id", "x", "y"), path)
+    copies = spark.read.parquet(path)
+    scales = fix_scales(compute_scales(copies))
+    points = minmax_scale(copies, scales)
+    result = fit_em(points, _start(points, 5), max_iter=2)
+    return _report_columns(component_report(result.model_df(spark), scales), 3)
+
+
 def _comparison_sql() -> str:
     fits = {
         "em": O.Fit(O.PTS_ORDERS, K).em().em(),

@@ -33,6 +33,11 @@ KEPT = f"""SELECT *, w * h AS area_box, w / h AS ratio, h / w AS inverse_ratio
 FROM ({BOXES}) WHERE w <> 0 AND h <> 0"""
 CATEGORIES = """SELECT min(p_partkey) AS id, p_type AS name FROM part GROUP BY p_type
 UNION ALL SELECT -1, 'UNUSED'"""
+# the columns that identify a box, as one string
+BOX_ID = """concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT))"""
+BOX_SIDES = f"""SELECT {BOX_ID} AS id, sqrt(area_segm / inverse_ratio) AS x, sqrt(area_segm * inverse_ratio) AS y
+FROM ({KEPT})"""
 BOX_ORDER = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice"
 
 

@@ -87,6 +87,16 @@ def labels(spark, sf_dir):
     return _labelled(spark, sf_dir)[0].select("point_id", "component")
 
 
+@query("w03_labels_long", _LABELS)
+def labels_long(spark, sf_dir):
+    scored = S.with_log_density(V.pts_pixels(spark, sf_dir), V.recorded_model())
+    return S.assign_long(
+        scored.select(
+            "point_id", F.posexplode("log_density").alias("component", "log_density")
+        )
+    )
+
+
 @query(
     "m09_stream_scores",
     O.scored()

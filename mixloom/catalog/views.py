@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixloom.model import Mixture
@@ -114,6 +114,16 @@ def kept_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_features(boxes(spark, sf_dir))
 
 
+def box_id() -> Column:
+    """The columns that identify a box, as one string."""
+    return F.concat_ws(
+        "-",
+        *[F.col(c).cast("string") for c in BOX_ORDER[:4]],
+        F.col("l_quantity").cast("bigint").cast("string"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
+    )
+
+
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part types, numbered by their lowest part key, and one without parts."""
     types = (

@@ -96,6 +96,20 @@ def assign(points: DataFrame, model: Mixture | DataFrame, cols=XY) -> DataFrame:
     return scored.withColumn("component", best.cast("int")).drop("_ld")
 
 
+def assign_long(densities: DataFrame, key: str = "point_id") -> DataFrame:
+    """``(key, component)`` from a long table ``(key, component, log_density)``.
+
+    The same choice as ``assign`` for densities that come from elsewhere: a maximum
+    per point, combined before it is shuffled, in place of a ranking window.
+    """
+    best = F.max(F.struct("log_density", (-F.col("component")).alias("_c")))
+    return (
+        densities.groupBy(key)
+        .agg(best.alias("_best"))
+        .select(key, (-F.col("_best._c")).cast("int").alias("component"))
+    )
+
+
 def component_points(labelled: DataFrame, component: int) -> DataFrame:
     """Points of one component."""
     return labelled.filter(F.col("component") == component)

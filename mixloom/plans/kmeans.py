@@ -38,12 +38,10 @@ def library_centres(points: DataFrame, k: int, seed: int = 0, cols=XY) -> np.nda
         prepared = points.select(F.col(cols[0]).alias("features"))
     else:
         prepared = to_features(points, cols).select("features")
-    vectors = to_vectors(prepared).select("vector").persist()
-    try:
-        fitted = KMeans(k=k, seed=seed, featuresCol="vector").fit(vectors)
-        return np.array(fitted.clusterCenters())
-    finally:
-        vectors.unpersist()
+    # the estimator keeps its own cache of the vectors
+    vectors = to_vectors(prepared).select("vector")
+    fitted = KMeans(k=k, seed=seed, featuresCol="vector").fit(vectors)
+    return np.array(fitted.clusterCenters())
 
 
 def kmeans_step(points: DataFrame, centres, cols=XY) -> tuple[np.ndarray, float]:
@@ -138,15 +136,13 @@ def fit_em_warm(
             raise ValueError("give k or start centres")
         start = library_centres(points, k, seed, cols)
     with packed(points, cols, storage, spread) as blocks:
-        centres = fit_kmeans(
-            blocks, start=start, max_iter=kmeans_iter, tol=kmeans_tol
-        ).extra["centres"]
+        hard = fit_kmeans(blocks, start=start, max_iter=kmeans_iter, tol=kmeans_tol).mixture
+        warm = Mixture(hard.weights, hard.means, hard.covs + reg_covar * np.eye(hard.d))
         return fit_em(
             blocks,
-            _hard_mixture(blocks, centres, reg_covar)[0],
+            warm,
             max_iter=max_iter,
             tol=tol,
             tol_kind="mean",
             reg_covar=reg_covar,
         )
-
