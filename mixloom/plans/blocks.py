@@ -111,19 +111,17 @@ def sum_blocks(blocks: DataFrame, model: Mixture, hard: bool = False) -> Sums:
         )
         .groupBy("component", "term")
         .agg(F.sum("value").alias("value"))
-        .collect()
+        .toArrow()
     )
-    if not rows:
+    if not rows.num_rows:
         raise NoPoints("there are no points to fit")
+    component, term, value = (rows[c].to_numpy() for c in ("component", "term", "value"))
     k, d = model.means.shape
-    terms = 1 + d + d * (d + 1) // 2
-    table = np.zeros((k, terms))
+    table = np.zeros((k, 1 + d + d * (d + 1) // 2))
     whole = np.zeros(2)
-    for row in rows:
-        if row.component == kernels.WHOLE:
-            whole[row.term] = row.value
-        else:
-            table[row.component, row.term] = row.value
+    own = component != kernels.WHOLE
+    table[component[own], term[own]] = value[own]
+    whole[term[~own]] = value[~own]
     if not np.isfinite(table).all() or not np.isfinite(whole).all():
         raise ValueError("points hold NULL or NaN coordinates; filter them first")
     upper = np.triu_indices(d)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.operators.vectors import from_features
-
 _AXES = ("x", "y")
 
 
 def tokens(line: Column) -> Column:
     """The line's tokens: outer spaces dropped, runs of spaces taken as one."""
-    return F.split(F.trim(line), " +")
+    trimmed = F.trim(line)
+    # splitting on one plain character needs no regular expression
+    return F.when(F.contains(trimmed, F.lit("  ")), F.split(trimmed, " +")).otherwise(
+        F.split(trimmed, " ")
+    )
 
 
 def read_points(
@@ -41,37 +45,36 @@ def parse_points(lines: DataFrame, n_cols: int | None = None, mode: str = "failf
     """Parse a frame of ``point_id, line``; see ``read_points``."""
     if mode not in ("failfast", "quarantine"):
         raise ValueError("mode must be 'failfast' or 'quarantine'")
-    wrong_size = (
-        F.lit(False) if n_cols is None else F.size("_tokens") != F.lit(n_cols)
-    )
-    judged = (
-        lines.withColumn("_tokens", tokens(F.col("line")))
-        .withColumn("features", F.transform("_tokens", lambda t: t.try_cast("double")))
-        .withColumn(
-            "reason",
-            F.when(wrong_size, F.lit("column count")).when(
-                F.exists("features", lambda v: v.isNull()), F.lit("not a number")
-            ),
-        )
+    split = lines.withColumn("_tokens", tokens(F.col("line")))
+    if n_cols is None:
+        names = ["features"]
+        wrong_size = F.lit(False)
+        parsed = {"features": F.transform("_tokens", lambda t: t.try_cast("double"))}
+        no_number = F.exists("features", lambda v: v.isNull())
+    else:
+        # single columns stay inside generated code, array functions do not
+        names = list(_AXES) if n_cols == 2 else [f"c{i}" for i in range(n_cols)]
+        wrong_size = F.size("_tokens") != F.lit(n_cols)
+        parsed = {n: F.get("_tokens", i).try_cast("double") for i, n in enumerate(names)}
+        no_number = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
+    judged = split.withColumns(parsed).withColumn(
+        "reason",
+        F.when(wrong_size, F.lit("column count")).when(no_number, F.lit("not a number")),
     )
     if mode == "failfast":
         complaint = F.concat_ws(": ", F.lit("bad point line"), "reason", "line")
-        checked = F.when(
-            F.col("reason").isNotNull(),
-            F.raise_error(complaint).cast("array<double>"),
-        ).otherwise(F.col("features"))
-        return _shape(judged.withColumn("features", checked), n_cols)
-    good = judged.filter(F.col("reason").isNull())
+        bad = F.col("reason").isNotNull()
+        kinds = dict(judged.dtypes)
+        return judged.select(
+            "point_id",
+            *[
+                F.when(bad, F.raise_error(complaint).cast(kinds[n])).otherwise(F.col(n)).alias(n)
+                for n in names
+            ],
+        )
+    good = judged.filter(F.col("reason").isNull()).select("point_id", *names)
     rejected = judged.filter(F.col("reason").isNotNull())
-    return _shape(good, n_cols), rejected.select("point_id", "line", "reason")
-
-
-def _shape(parsed: DataFrame, n_cols: int | None) -> DataFrame:
-    kept = parsed.select("point_id", "features")
-    if n_cols is None:
-        return kept
-    names = _AXES if n_cols == 2 else [f"c{i}" for i in range(n_cols)]
-    return from_features(kept, list(names))
+    return good, rejected.select("point_id", "line", "reason")
 
 
 def ingest_points(
