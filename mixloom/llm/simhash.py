@@ -52,24 +52,25 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(packed.view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
-    """All columns and the fingerprint as a signed long; a null text counts as empty."""
-    fields = [f for f in docs.schema.fields if f.name != out]
-    kept = docs.select(*[F.col(f"`{f.name}`") for f in fields])
-    schema = docs.select(*[f"`{f.name}`" for f in fields], F.lit(0).cast("long").alias(out)).schema
-    names = [f.name for f in fields]
+def with_fingerprints(
+    docs: DataFrame, carry: list[str], text: str = "text", out: str = "_fp"
+) -> DataFrame:
+    """The carried columns and the fingerprint as a signed long; a null text counts as empty."""
+    columns = [F.col(f"`{c}`") for c in carry]
+    source = docs.select(*columns, F.col(f"`{text}`").alias("_text"))
+    schema = docs.select(*columns, F.lit(0).cast("long").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(names.index(text))
+            texts = batch.column(len(carry))
             found = np.fromiter(
                 (fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found.view(np.int64))], names=[*names, out]
+                [*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*carry, out]
             )
 
-    return kept.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def chain_pairs(fps: np.ndarray, keys: np.ndarray, max_bits: int) -> Iterator[tuple]:
@@ -178,8 +179,16 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, doc_id: str = "doc_id") -> DataFrame:
-    """Every row of ``docs`` (all columns) with fingerprint, component_id and kept.
+def near_duplicates(
+    docs: DataFrame,
+    max_bits: int = MAX_BITS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """Every row of ``docs`` with fingerprint, component_id and kept.
+
+    ``carry`` names the columns to keep beside ``doc_id`` (all by default).
 
     component_id is the smallest id reachable over links; a null id is larger than
     any, and a group of null ids alone has a null component. ``kept`` is true for
@@ -189,10 +198,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, doc_id: str = "do
     replaced.
     """
     taken = {"_fp", "_row", "fingerprint", "component_id", "kept"}
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in taken])
-    landed = land(
-        with_fingerprints(docs).withColumn("_row", F.monotonically_increasing_id()), "simhash"
-    )
+    wanted = docs.columns if carry is None else [doc_id, *(c for c in carry if c != doc_id)]
+    marked = with_fingerprints(docs, [c for c in wanted if c not in taken], text)
+    landed = land(marked.withColumn("_row", F.monotonically_increasing_id()), "simhash")
     ident = F.col(f"`{doc_id}`")
     groups = landed.groupBy("_fp").agg(
         F.min(ident).alias("_low"),
