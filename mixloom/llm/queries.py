@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm import ann, chat, forest, langid, packing, simhash, warc
+from mixloom.llm import ann, bpe, chat, forest, langid, packing, simhash, warc
 from mixloom.llm.common import land, table
 from mixloom.session import landing_path
 
@@ -115,6 +115,18 @@ def op7(spark, sf_dir):
     return chat.digest_conversations(chat.format_windows(rows.union(planted)))
 
 
+@query("op9_word_table_bpe")
+def op9(spark, sf_dir):
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer, carry=["doc_id"])
+    return bpe.decode(encoded, tokenizer).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op10_projection_forest_dedup",
     """
