@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from mixloom.llm.chunks import chunks
 from mixloom.llm.common import pack, shuffle_partitions, unpack
 
-_SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
+_SPACE = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # fixed value: the word pattern of byte-level BPE, with its white space spelled out
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"

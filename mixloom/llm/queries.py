@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm import ann, bpe, chat, forest, langid, packing, simhash, warc
+from mixloom.llm import ann, bpe, chat, forest, langid, packing, pii, simhash, warc
 from mixloom.llm.common import land, table
 from mixloom.session import landing_path
 
@@ -115,6 +115,11 @@ def op7(spark, sf_dir):
     return chat.digest_conversations(chat.format_windows(rows.union(planted)))
 
 
+@query("op8_disclosure_pii")
+def op8(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 @query("op9_word_table_bpe")
 def op9(spark, sf_dir):
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
