@@ -54,3 +54,18 @@ def join_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> None
             if np.array_equal(further, labels):
                 break
             labels[:] = further
+
+
+def land_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Land in buckets of ``key``, so that joins on it do not shuffle this side.
+
+    The table's name is of this session only; its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    path = landing_path(spark, label)
+    name = f"{label}_{path[-32:]}"
+    (
+        df.write.format("parquet").option("compression", "zstd").option("path", path)
+        .bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
+    )
+    return spark.table(name)

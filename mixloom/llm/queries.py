@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm import ann, bpe, chat, forest, langid, packing, pii, simhash, warc
+from mixloom.llm import ann, bpe, chat, forest, langid, packing, pii, simhash, suffixtree, warc
 from mixloom.llm.common import land, table
 from mixloom.session import landing_path
 
@@ -31,6 +31,11 @@ def fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+@query("op1_suffix_tree_lm")
+def op1(spark, sf_dir):
+    return suffixtree.score_documents(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 @query(
     "op2_warc_transactions",
     """
