@@ -30,7 +30,7 @@ from mixloom.llm.common import land, land_by, pack, shuffle_partitions, unpack
 MIN_COUNT = 16
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 20 << 20
 END = " "  # no word can be this
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS, _PAIRS, _TRIPLES, _ONE, _TWO = range(5)
@@ -151,7 +151,7 @@ class _Chunk:
         self.parts = parts
         self.sizes = unpack(row["sizes"], np.int64)
         self.held = unpack(row["held"], np.uint8).astype(bool)
-        self.codes = unpack(row["codes"], np.uint32).astype(np.int64)
+        self.codes = unpack(row["codes"], np.uint32).view(np.int32)
         self.ids = unpack(row["ids"], np.uint32)
         self.counts = unpack(row["counts"], np.int64)
         self.replies: dict[int, list] = {}
@@ -161,14 +161,14 @@ class _Chunk:
         ends = np.cumsum(self.sizes)
         starts = ends - self.sizes
         self.train = np.repeat(~self.held, self.sizes)
-        place = np.arange(n) - np.repeat(starts, self.sizes)
+        place = (np.arange(n) - np.repeat(starts, self.sizes)).astype(np.int32)
         # pairs that end at a position, where the word before is a counted context
         self.at = np.flatnonzero(place >= 1)
         self.at = self.at[self.counts[self.codes[self.at - 1]] >= MIN_COUNT]
-        key = (self.codes[self.at - 1] << 32) | self.codes[self.at]
+        key = (self.codes[self.at - 1].astype(np.int64) << 32) | self.codes[self.at]
         distinct, inverse = np.unique(key, return_inverse=True)
         self.pair_a, self.pair_b = distinct >> 32, distinct & 0xFFFFFFFF
-        self.pair_at = np.full(n, -1, np.int64)
+        self.pair_at = np.full(n, -1, np.int32)
         self.pair_at[self.at] = inverse
         self.pair_n = np.bincount(inverse, self.train[self.at], len(distinct)).astype(np.int64)
         self.place = place
@@ -199,14 +199,14 @@ class _Chunk:
     def with_pairs(self):
         value = self.replied(_PAIRS, self.pair_ids(), np.uint64).astype(np.int64)
         self.pair_total, self.pair_own = value >> 1, (value & 1).astype(bool)
-        before = np.full(len(self.codes), -1, np.int64)
+        before = np.full(len(self.codes), -1, np.int32)
         before[1:] = self.pair_at[:-1]
         before[self.place < 2] = -1
         frequent = np.zeros(len(self.codes), bool)
         some = before >= 0
         frequent[some] = self.pair_total[before[some]] >= MIN_COUNT
         self.three_at = np.flatnonzero(frequent)
-        key = (before[self.three_at] << 32) | self.codes[self.three_at]
+        key = (before[self.three_at].astype(np.int64) << 32) | self.codes[self.three_at]
         distinct, self.three_of = np.unique(key, return_inverse=True)
         self.three_pair, self.three_c = distinct >> 32, distinct & 0xFFFFFFFF
         self.three_n = np.bincount(self.three_of, self.train[self.three_at], len(distinct)).astype(np.int64)
