@@ -30,7 +30,7 @@ def pack(values: np.ndarray) -> bytes:
     values = np.ascontiguousarray(values)
     width = values.dtype.itemsize
     planes = values.view(np.uint8).reshape(-1, width).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:

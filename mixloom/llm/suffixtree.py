@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from mixloom.llm.chunks import chunks, listed
 from mixloom.llm.common import land, land_by, pack, shuffle_partitions, unpack
 
-MIN_COUNT = 16
+MIN_COUNT = (16, 64)  # of contexts of one and two words
+GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
 CHUNK_BYTES = 20 << 20
@@ -164,7 +165,7 @@ class _Chunk:
         place = (np.arange(n) - np.repeat(starts, self.sizes)).astype(np.int32)
         # pairs that end at a position, where the word before is a counted context
         self.at = np.flatnonzero(place >= 1)
-        self.at = self.at[self.counts[self.codes[self.at - 1]] >= MIN_COUNT]
+        self.at = self.at[self.counts[self.codes[self.at - 1]] >= MIN_COUNT[0]]
         key = (self.codes[self.at - 1].astype(np.int64) << 32) | self.codes[self.at]
         distinct, inverse = np.unique(key, return_inverse=True)
         self.pair_a, self.pair_b = distinct >> 32, distinct & 0xFFFFFFFF
@@ -204,7 +205,7 @@ class _Chunk:
         before[self.place < 2] = -1
         frequent = np.zeros(len(self.codes), bool)
         some = before >= 0
-        frequent[some] = self.pair_total[before[some]] >= MIN_COUNT
+        frequent[some] = self.pair_total[before[some]] >= MIN_COUNT[1]
         self.three_at = np.flatnonzero(frequent)
         key = (before[self.three_at].astype(np.int64) << 32) | self.codes[self.three_at]
         distinct, self.three_of = np.unique(key, return_inverse=True)
@@ -248,7 +249,7 @@ class _Chunk:
             term = np.zeros(len(n))
             some = own & (n > 0)
             term[some] = n[some] * np.log((n[some] - 1 + m * p[some]) / (above[some] - 1 + m) / p[some])
-            return np.bincount(group, term, size).astype(np.float32)
+            return np.rint(np.bincount(group, term, size) / GAIN_UNIT).astype(np.int64)
 
         one = gains(
             self.pair_total, self.pair_own, self.root[self.pair_b], self.counts[self.pair_a],
@@ -260,6 +261,7 @@ class _Chunk:
         )
         for kind, ids, gain in ((_ONE, self._one_ids(ones), one), (_TWO, self._two_ids(twos), two)):
             if len(gain):
+                gain = (np.abs(gain) << 1) | (gain < 0)  # small numbers stay small in bytes
                 part, order = self._ordered(*ids)
                 yield from _asks(self.ident, kind, self.parts, ids, gain, order, part)
 
@@ -354,7 +356,8 @@ def score_documents(
         return ((sums << 1) | first).astype(np.uint64)
 
     def retain(kind, columns, gain):
-        return (sum_equal(columns, gain.astype(np.float64))[0] >= LEAST_GAIN).astype(np.uint8)
+        gain = (gain >> 1) * (1 - 2 * (gain & 1))
+        return (sum_equal(columns, gain)[0] * GAIN_UNIT >= LEAST_GAIN).astype(np.uint8)
 
     state = resolved.select("chunk", "held", "sizes", "codes", "ids", "counts")
     pairs = land(_answers(state.mapInArrow(stage(lambda c: c.ask_pairs()), _ASK), parts, count, np.uint32), "pairs")
@@ -363,7 +366,7 @@ def score_documents(
     asked = _joined(state, counted).mapInArrow(
         stage(lambda c: c.with_pairs().with_triples(total, distinct).ask_contexts()), _ASK
     )
-    retained = land(_answers(asked, parts, retain, np.float32), "contexts")
+    retained = land(_answers(asked, parts, retain, np.int64), "contexts")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
