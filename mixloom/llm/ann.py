@@ -22,7 +22,10 @@ from mixloom.llm.common import land, shuffle_partitions
 BLOCK = 2048
 QUERY_BLOCK = 512
 QUERIES_IN_TASK = 16 * QUERY_BLOCK
-BOUND = 3.0
+LEAST_QUERIES = 256
+STRIPE = 32 * BLOCK
+BOUND = 2.4
+_PAIRS = 1 << 14
 SEED = 17
 
 
@@ -72,12 +75,11 @@ class Codes:
         ``turned`` holds rotated queries; the error is per unit of query length.
         """
         signs = np.unpackbits(self.bits, axis=1, count=self.d).astype(np.float32) * 2 - 1
-        signs /= np.sqrt(self.d)
         safe = np.maximum(self.overlap, 1e-9)
-        raw = signs @ turned.T.astype(np.float32)
-        found = raw * (self.length / safe).astype(np.float32)[:, None]
+        found = signs @ turned.T.astype(np.float32)
+        found *= (self.length / safe / np.sqrt(self.d)).astype(np.float32)[:, None]
         unit = self.length * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(self.d - 1, 1))
-        return found, unit
+        return found, unit.astype(np.float32)
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,27 +103,40 @@ class Best:
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes, bound: float) -> None:
         estimate, unit = codes.estimates(self.turned)
-        # inner product = <vector - centre, query> + <centre, query>
-        slack = bound * np.outer(unit, self.norm) + 1e-6 * self.norm
-        upper = estimate + slack + self.shift
-        kth = self.score[:, -1]
-        if len(ids) > self.k:
-            # the k-th best lower bound of this block is also reached
-            lower = upper - 2 * slack
-            lower[ids[:, None] == self.ids[None, :]] = -np.inf
-            kth = np.maximum(kth, np.partition(lower, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        row, query = np.nonzero((upper >= kth) & (ids[:, None] != self.ids[None, :]))
-        if not len(row):
-            return
-        score = exact_products(vectors[row], self.queries[query])
+        estimate[ids[:, None] == self.ids[None, :]] = -np.inf
+        norm = self.norm.astype(np.float32)
+        # the best by estimate first: they bring the bar close to its final height
+        first = min(self.k, len(ids))
+        head = np.argpartition(estimate, len(ids) - first, axis=0)[len(ids) - first :]
+        query = np.tile(np.arange(len(self.ids)), first)
+        row = head.reshape(-1)
+        fine = np.isfinite(estimate[row, query])
+        self.rerank(ids, vectors, row[fine], query[fine])
+        estimate[row, query] = -np.inf
+        bar = (self.score[:, -1] - self.shift).astype(np.float32) - 1e-6 * norm
+        row, query = np.nonzero(estimate >= bar - bound * np.outer(unit, norm))
+        fine = np.isfinite(estimate[row, query])
+        self.rerank(ids, vectors, row[fine], query[fine])
+
+    def rerank(self, ids: np.ndarray, vectors: np.ndarray, row: np.ndarray, query: np.ndarray) -> None:
+        """Exact products of the given pairs; the best stay."""
+        score = np.concatenate(
+            [
+                exact_products(vectors[row[a : a + _PAIRS]], self.queries[query[a : a + _PAIRS]])
+                for a in range(0, len(row), _PAIRS)
+            ]
+            or [np.empty(0)]
+        )
         worth = score >= self.score[query, -1]
         row, query, score = row[worth], query[worth], score[worth]
-        for q in np.unique(query):
-            own = query == q
-            both = np.concatenate([self.score[q], score[own]])
-            names = np.concatenate([self.found[q], ids[row[own]]])
-            order = np.lexsort((names, -both))[: self.k]
-            self.score[q], self.found[q] = both[order], names[order]
+        order = np.argsort(query, kind="stable")
+        row, query, score = row[order], query[order], score[order]
+        some, starts = np.unique(query, return_index=True)
+        for q, a, b in zip(some, starts, [*starts[1:], len(query)]):
+            both = np.concatenate([self.score[q], score[a:b]])
+            names = np.concatenate([self.found[q], ids[row[a:b]]])
+            best = np.lexsort((names, -both))[: self.k]
+            self.score[q], self.found[q] = both[best], names[best]
 
     def result(self) -> pa.RecordBatch:
         at, place = np.nonzero(np.isfinite(self.score))
@@ -145,8 +160,8 @@ def search(
     id is no candidate. Repeated ids are one vector each time they occur, and a
     repeated query id has k rows in all. Vectors of another length than the most
     frequent one take no part. ``bound``
-    is the number of error units in a bound: 3 misses about one neighbour in a
-    thousand. Every row is coded and offered to every query, in blocks: a task
+    is the number of error units in a bound: 2.4 misses about one neighbour in a
+    hundred. Every row is coded and offered to every query, in blocks: a task
     holds one block of queries and reads a stripe of blocks of vectors.
     """
     spark = df.sparkSession
@@ -160,9 +175,11 @@ def search(
     turn = rotation(d)
     vector_blocks = land(_blocks(rows, BLOCK, d), "vectors")
     query_blocks = land(_blocks(asked, QUERY_BLOCK, d), "queries")
-    n_blocks, n_queries = vector_blocks.count(), query_blocks.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, -(-n_queries // QUERIES_IN_TASK))
-    stripes = max(1, min(n_blocks, shuffle_partitions(spark)))
+    n_vectors, n_queries = (x.agg(F.sum("n")).first()[0] or 0 for x in (vector_blocks, query_blocks))
+    # long stripes keep the bar high; tasks come from groups of queries first
+    stripes = max(1, -(-n_vectors // STRIPE))
+    wanted = min(-(-n_queries // LEAST_QUERIES), -(-4 * shuffle_partitions(spark) // stripes))
+    groups = max(1, wanted, -(-n_queries // QUERIES_IN_TASK))
     # the stated query set against all rows: a cell is a group of queries and a stripe of vectors
     asking = query_blocks.withColumn("group", F.pmod(F.xxhash64("first", "ids"), F.lit(groups))).withColumn(
         "stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
@@ -221,7 +238,7 @@ def search(
         yield from (b.result() for b in best)
 
     found = (
-        cells.repartition(min(groups * stripes, 4 * shuffle_partitions(spark)), "cell")
+        cells.repartition(min(groups * stripes, 8 * shuffle_partitions(spark)), "cell")
         .sortWithinPartitions("cell", "kind", "first")
         .mapInArrow(scan, "query_id long, vec_id long, score double")
     )
