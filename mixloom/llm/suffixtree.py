@@ -30,7 +30,7 @@ from mixloom.llm.common import land, land_by, pack, shuffle_partitions, unpack
 
 MIN_COUNT = 16
 #: a context of two words needs the square root of the training tokens over this, too
-ROOT_SHARE = 48
+ROOT_SHARE = 32
 GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
