@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.llm.chunks import chunks
-from mixloom.llm.common import pack, shuffle_partitions, unpack
+from mixloom.llm.common import pack, shuffle_partitions, spare, unpack
 
 _SPACE = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # fixed value: the word pattern of byte-level BPE, with its white space spelled out
@@ -239,4 +239,4 @@ def decode(
                 [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*wanted, out]
             )
 
-    return docs.select(*columns, F.col(f"`{ids}`").alias("_ids")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(f"`{ids}`").alias(spare("_ids", wanted))).mapInArrow(run, schema)

@@ -69,3 +69,11 @@ def land_by(df: DataFrame, key: str, label: str) -> DataFrame:
         .bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
     )
     return spark.table(name)
+
+
+def spare(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

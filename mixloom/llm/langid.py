@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixloom.llm.common import spare
+
 PIECE = 500
 SAMPLE_CHARS = 60_000
 MAX_LANGUAGES = 64
@@ -290,7 +292,7 @@ def identify(
                 names=[*carried, "lang_pred", "score"],
             )
 
-    return docs.select(*columns, F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(f"`{text}`").alias(spare("_text", carried))).mapInArrow(run, schema)
 
 
 _parsers: dict[int, Parser] = {}

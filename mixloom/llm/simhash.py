@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.llm.common import join_labels, land
+from mixloom.llm.common import join_labels, land, spare
 from mixloom.llm.components import connected_components
 
 SEGMENTS = 4
@@ -57,7 +57,7 @@ def with_fingerprints(
 ) -> DataFrame:
     """The carried columns and the fingerprint as a signed long; a null text counts as empty."""
     columns = [F.col(f"`{c}`") for c in carry]
-    source = docs.select(*columns, F.col(f"`{text}`").alias("_text"))
+    source = docs.select(*columns, F.col(f"`{text}`").alias(spare("_text", carry)))
     schema = docs.select(*columns, F.lit(0).cast("long").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +194,10 @@ def near_duplicates(
     any, and a group of null ids alone has a null component. ``kept`` is true for
     one row of each group: the smallest id, the first stored of equal ones. Empty,
     null and word-less texts share fingerprint 0 and are one group. The input
-    columns ``_fp``, ``_row``, ``fingerprint``, ``component_id`` and ``kept`` are
+    columns ``_fp``, ``_row``, ``_keep``, ``fingerprint``, ``component_id`` and ``kept`` are
     replaced.
     """
-    taken = {"_fp", "_row", "fingerprint", "component_id", "kept"}
+    taken = {"_fp", "_row", "_keep", "fingerprint", "component_id", "kept"}
     wanted = docs.columns if carry is None else [doc_id, *(c for c in carry if c != doc_id)]
     marked = with_fingerprints(docs, [c for c in wanted if c not in taken], text)
     landed = land(marked.withColumn("_row", F.monotonically_increasing_id()), "simhash")
