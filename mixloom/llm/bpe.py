@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.llm.chunks import chunks
-from mixloom.llm.common import pack, shuffle_partitions, spare, unpack
+from mixloom.llm.common import bounded_batches, pack, shuffle_partitions, spare, unpack
 
 _SPACE = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # fixed value: the word pattern of byte-level BPE, with its white space spelled out
@@ -86,6 +86,7 @@ def encode(
     and raised.
     """
     wanted = [c for c in docs.columns if c != text] if carry is None else carry
+    bounded_batches(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     key = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted)])
     rows = docs.select(key.alias("key"), split_words(F.col(f"`{text}`"), special_strings(tokenizer)).alias("words"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mixloom.session import landing_path
 
@@ -77,3 +78,23 @@ def spare(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name += "_"
     return name
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand at most so many rows at once to Python tasks of this session.
+
+    The default of 10,000 is made for short rows; documents of many kilobytes would
+    take hundreds of megabytes outside the heap. A smaller setting is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def with_text(docs: DataFrame, carry: list[str], text: str) -> tuple[DataFrame, int]:
+    """The carried columns and the text, which is not sent twice, and where it stands."""
+    columns = [F.col(f"`{c}`") for c in carry]
+    if text in carry:
+        return docs.select(*columns), carry.index(text)
+    return docs.select(*columns, F.col(f"`{text}`").alias(spare("_text", carry))), len(carry)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.llm.common import spare
+from mixloom.llm.common import bounded_batches, with_text
 
 PIECE = 500
 SAMPLE_CHARS = 60_000
@@ -272,13 +272,15 @@ def identify(
         *columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")
     ).schema
     spark = docs.sparkSession
+    bounded_batches(spark)
+    source, at = with_text(docs, carried, text)
     shared = spark.sparkContext.broadcast(samples)  # bounded by sample_chars x max_languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared)
         names = [x.name for x in parser.model.languages]
         for batch in batches:
-            rates, lettered = parser.rates(batch.column(batch.num_columns - 1).to_pylist())
+            rates, lettered = parser.rates(batch.column(at).to_pylist())
             if len(names) > 1:
                 two = np.partition(rates, 1, axis=1)[:, :2]
                 score = two[:, 1] / np.maximum(two.sum(1), 1e-300)
@@ -288,11 +290,11 @@ def identify(
             best = rates.argmin(1) if names else np.zeros(len(rates), int)
             found = [names[b] if k else "und" for b, k in zip(best, known)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(np.where(known, score, 0.0))],
+                [*batch.columns[: len(carried)], pa.array(found, pa.string()), pa.array(np.where(known, score, 0.0))],
                 names=[*carried, "lang_pred", "score"],
             )
 
-    return docs.select(*columns, F.col(f"`{text}`").alias(spare("_text", carried))).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 _parsers: dict[int, Parser] = {}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.llm.common import land
+from mixloom.llm.common import bounded_batches, land
 
 CAPACITY = 1024
 GROUPS = 128
@@ -38,6 +38,7 @@ def pieces(
     gives at least one piece. Only documents above the capacity are cut; their
     first piece takes what is left over when the rest is cut into full pieces.
     """
+    bounded_batches(docs.sparkSession)
     schema = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.lit(0).alias("piece"),
         *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32")],

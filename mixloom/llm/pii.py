@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.llm.common import land
+from mixloom.llm.common import bounded_batches, land, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("term", "removed")
@@ -111,13 +111,15 @@ def find_base(docs: DataFrame, carry: list[str], text: str = "text") -> DataFram
     base spans blanked (only where there are any)."""
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     head = docs.select(*columns)
+    source, at = with_text(docs, carry, text)
+    bounded_batches(docs.sparkSession)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in head.schema), _FOUND])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             shas, spans_out, entities, bodies = [], [], [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(at):
                 own = value.as_py() or ""
                 spans = base_spans(own)
                 for k in range(4):
@@ -138,7 +140,7 @@ def find_base(docs: DataFrame, carry: list[str], text: str = "text") -> DataFram
             kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1],
+                    *batch.columns[: len(carry)],
                     *[pa.array(c, pa.int64()) for c in counts],
                     pa.array(shas, pa.string()),
                     pa.array(spans_out, pa.string()),
@@ -151,7 +153,7 @@ def find_base(docs: DataFrame, carry: list[str], text: str = "text") -> DataFram
                 ],
             )
 
-    return docs.select(*columns, F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def _mark(value: str) -> int:

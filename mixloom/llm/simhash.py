@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.llm.common import join_labels, land, spare
+from mixloom.llm.common import bounded_batches, join_labels, land, with_text
 from mixloom.llm.components import connected_components
 
 SEGMENTS = 4
@@ -57,17 +57,17 @@ def with_fingerprints(
 ) -> DataFrame:
     """The carried columns and the fingerprint as a signed long; a null text counts as empty."""
     columns = [F.col(f"`{c}`") for c in carry]
-    source = docs.select(*columns, F.col(f"`{text}`").alias(spare("_text", carry)))
+    source, at = with_text(docs, carry, text)
     schema = docs.select(*columns, F.lit(0).cast("long").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(carry))
+            texts = batch.column(at)
             found = np.fromiter(
                 (fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*carry, out]
+                [*batch.columns[: len(carry)], pa.array(found.view(np.int64))], names=[*carry, out]
             )
 
     return source.mapInArrow(run, schema)
@@ -197,6 +197,7 @@ def near_duplicates(
     columns ``_fp``, ``_row``, ``_keep``, ``fingerprint``, ``component_id`` and ``kept`` are
     replaced.
     """
+    bounded_batches(docs.sparkSession)
     taken = {"_fp", "_row", "_keep", "fingerprint", "component_id", "kept"}
     wanted = docs.columns if carry is None else [doc_id, *(c for c in carry if c != doc_id)]
     marked = with_fingerprints(docs, [c for c in wanted if c not in taken], text)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.llm.chunks import chunks, listed
-from mixloom.llm.common import land, land_by, pack, shuffle_partitions, unpack
+from mixloom.llm.common import bounded_batches, land, land_by, pack, shuffle_partitions, unpack
 
 MIN_COUNT = 16
 #: a context of two words needs the square root of the training tokens over this, too
@@ -313,6 +313,7 @@ def score_documents(
     without training rows both scores are that of one unknown token each.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_partitions(spark)
     key = F.struct(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out")
