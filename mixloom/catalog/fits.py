@@ -159,6 +159,20 @@ def three_epochs(spark, sf_dir):
     return model_columns(result.model_df(spark))
 
 
+def _epochs(count: int) -> O.Fit:
+    fit = O.Fit(O.PTS_ORDERS, K)
+    for _ in range(count):
+        fit.em()
+    return fit
+
+
+@query("m04_em_fit50", _epochs(50).model_sql())
+def fifty_epochs(spark, sf_dir):
+    """The whole fit: 50 epochs without tolerance."""
+    points = _scaled(spark, sf_dir)
+    return model_columns(fit_em(points, _start(points, K), max_iter=50).model_df(spark))
+
+
 def _history_sql(epochs: int) -> str:
     fit = O.Fit(O.PTS_ORDERS, K)
     for _ in range(epochs):

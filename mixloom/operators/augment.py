@@ -29,9 +29,9 @@ def augment(
     """
     if extra < 0:
         raise ValueError("extra must not be negative")
-    if extra == 0:
-        return points.withColumn("copy", F.lit(0))
     x, y = (F.col(c).cast("double") for c in cols)
+    if extra == 0:
+        return points.withColumns({cols[0]: x, cols[1]: y, "copy": F.lit(0)})
     copies = points.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(extra))))
     hashed = copies.withColumn("_digest", seeded_digest(F.col(id_col), F.col("copy"), seed))
     angle = F.radians(F.floor(digest_uniform(F.col("_digest"), 0) * ANGLES).cast("double"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.functions.columns import unit_scale, unit_unscale
-from mixloom.operators.vectors import is_array
+from mixloom.operators.vectors import is_array, of_length
 
 XY = ("x", "y")
 Scales = DataFrame | list[tuple[float, float]]
@@ -52,7 +52,7 @@ def _per_axis(points: DataFrame, scales: Scales, cols, change) -> DataFrame:
     if is_array(points, cols):
         lows, highs = (F.array(*[F.lit(v).cast("double") for v in side]) for side in zip(*bounds))
         scaled = F.transform(
-            F.col(cols[0]).cast("array<double>"),
+            of_length(F.col(cols[0]).cast("array<double>"), len(bounds)),
             lambda v, i: change(v, F.get(lows, i), F.get(highs, i)),
         )
         return points.withColumn(cols[0], scaled)

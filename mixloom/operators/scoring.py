@@ -13,7 +13,7 @@ from mixloom.functions.density import (
     log_densities_arrow,
 )
 from mixloom.model import Mixture, as_mixture
-from mixloom.operators.vectors import is_array
+from mixloom.operators.vectors import is_array, of_length
 
 XY = ("x", "y")
 _UNROLL = 64
@@ -21,7 +21,8 @@ _UNROLL = 64
 
 def _coords(points: DataFrame, cols, d: int) -> list[Column]:
     if is_array(points, cols):
-        return [F.get(F.col(cols[0]), i).cast("double") for i in range(d)]
+        whole = of_length(F.col(cols[0]), d)
+        return [F.get(whole, i).cast("double") for i in range(d)]
     if len(cols) != d:
         raise ValueError(f"{len(cols)} coordinate columns for a model of {d} dimensions")
     return [F.col(c).cast("double") for c in cols]
@@ -33,25 +34,33 @@ def with_log_density(
     """Add ``ln(weight_k * N_k(x))`` for every component as an array.
 
     Small models become plain JVM expressions over the coordinate columns; larger
-    ones are scored in Arrow batches.
+    ones are scored in Arrow batches. On both ways a point with a NULL or NaN
+    coordinate gets NULL, and an array of another length than the model's raises.
     """
     model = as_mixture(model)
+    coords = _coords(points, cols, model.d)
+    present = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in coords])
     if fits_expression(model):
-        return points.withColumn(out, log_densities(model, _coords(points, cols, model.d)))
-    features = (
-        F.col(cols[0]).cast("array<double>")
-        if is_array(points, cols)
-        else F.array(*_coords(points, cols, model.d))
-    )
-    return points.withColumn(out, log_densities_arrow(model, features))
+        density = log_densities(model, coords)
+    else:
+        nowhere = F.array(*[F.lit(0.0)] * model.d)
+        density = log_densities_arrow(model, F.when(present, F.array(*coords)).otherwise(nowhere))
+    return points.withColumn(out, F.when(present, density))
 
 
-def posteriors(points: DataFrame, model: Mixture | DataFrame, cols=XY) -> DataFrame:
-    """Add ``posterior array<double>`` (sums to 1) and ``loglik`` of each point."""
+def posteriors(
+    points: DataFrame, model: Mixture | DataFrame, cols=XY, component: bool = False
+) -> DataFrame:
+    """Add ``posterior array<double>`` (sums to 1) and ``loglik`` of each point.
+
+    Both are NULL for a point without density. ``component`` adds the most likely
+    one before them, from the same densities.
+    """
     model = as_mixture(model)
-    scored = with_log_density(points, model, cols, "_ld").withColumn(
-        "_top", F.array_max("_ld")
-    )
+    scored = with_log_density(points, model, cols, "_ld")
+    if component:
+        scored = scored.withColumn("component", _best("_ld"))
+    scored = scored.withColumn("_top", F.array_max("_ld"))
     if model.k <= _UNROLL:
         ks = range(model.k)
         scored = scored.withColumn(
@@ -64,7 +73,7 @@ def posteriors(points: DataFrame, model: Mixture | DataFrame, cols=XY) -> DataFr
         ).withColumn("_sum", F.aggregate("_g", F.lit(0.0), lambda a, b: a + b))
         shares = F.transform("_g", lambda g: g / F.col("_sum"))
     return scored.withColumns(
-        {"posterior": shares, "loglik": F.col("_top") + F.ln("_sum")}
+        {"posterior": F.when(F.col("_ld").isNotNull(), shares), "loglik": F.col("_top") + F.ln("_sum")}
     ).drop("_ld", "_top", "_g", "_sum")
 
 
@@ -92,8 +101,11 @@ def normalise_long(densities: DataFrame, key: str = "point_id") -> DataFrame:
 def assign(points: DataFrame, model: Mixture | DataFrame, cols=XY) -> DataFrame:
     """Add ``component``, the most likely one (lowest number on ties)."""
     scored = with_log_density(points, model, cols, "_ld")
-    best = F.array_position("_ld", F.array_max("_ld")) - 1
-    return scored.withColumn("component", best.cast("int")).drop("_ld")
+    return scored.withColumn("component", _best("_ld")).drop("_ld")
+
+
+def _best(densities: str) -> Column:
+    return (F.array_position(densities, F.array_max(densities)) - 1).cast("int")
 
 
 def assign_long(densities: DataFrame, key: str = "point_id") -> DataFrame:

@@ -44,7 +44,7 @@ def sample_starts(
 def initial_mixture(starts: DataFrame, k: int, cols=("x", "y")) -> Mixture:
     """Equal weights, the starts as means, identity covariances.
 
-    Raises when fewer than K starts were found.
+    Raises unless there are exactly K starts, numbered 0 to K - 1.
     """
     rows = sorted(
         starts.select("component", *cols).limit(k + 1).collect(),
@@ -52,10 +52,12 @@ def initial_mixture(starts: DataFrame, k: int, cols=("x", "y")) -> Mixture:
     )
     if len(rows) < k:
         raise ValueError(f"only {len(rows)} points are there for {k} components")
+    if [r.component for r in rows] != list(range(k)):
+        raise ValueError(f"starts must be numbered 0 to {k - 1}, once each")
     if len(cols) == 1 and isinstance(rows[0][1], (list, tuple)):
-        means = [list(r[1]) for r in rows[:k]]
+        means = [list(r[1]) for r in rows]
     else:
-        means = [[float(v) for v in r[1:]] for r in rows[:k]]
+        means = [[float(v) for v in r[1:]] for r in rows]
     return Mixture.at_points(means)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,9 @@ def to_vectors(df: DataFrame, col: str = "features", out: str = "vector") -> Dat
 
 def from_vectors(df: DataFrame, col: str = "vector", out: str = "features") -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col(col)))
+
+
+def of_length(array: Column, d: int) -> Column:
+    """The array; one of another length than ``d`` raises, NULL stays NULL."""
+    message = F.concat(F.lit("an array has "), F.size(array).cast("string"), F.lit(f" components, not {d}"))
+    return F.when(array.isNull() | (F.size(array) == d), array).otherwise(F.raise_error(message))

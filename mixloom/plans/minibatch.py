@@ -109,19 +109,21 @@ def fit_minibatch(
     while step < steps:
         last = min(step + wave, steps)
         path = landing_path(spark, "batches")
-        _land_batches(
-            points, coords, id_col, seed, n_batches, math.ceil(batch_size / SLICE), step, last, path
-        )
-        landed = spark.read.schema(kernels.KEYED_BLOCK_SCHEMA).parquet(path)
-        for number in range(step, last):
-            begun = time.perf_counter()
-            step += 1
-            try:
-                own = landed.filter(F.col("key") == number).select("n", "block")
-                sums = sum_blocks(own, model)
-            except NoPoints:  # the hash dealt this batch nothing
-                continue
-            model = minibatch_update(model, sums, rate / (1 + (step - 1) / decay))
-            history.append(Epoch(step, sums.total, time.perf_counter() - begun))
-        discard(spark, path)
+        try:
+            _land_batches(
+                points, coords, id_col, seed, n_batches, math.ceil(batch_size / SLICE), step, last, path
+            )
+            landed = spark.read.schema(kernels.KEYED_BLOCK_SCHEMA).parquet(path)
+            for number in range(step, last):
+                begun = time.perf_counter()
+                step += 1
+                try:
+                    own = landed.filter(F.col("key") == number).select("n", "block")
+                    sums = sum_blocks(own, model)
+                except NoPoints:  # the hash dealt this batch nothing
+                    continue
+                model = minibatch_update(model, sums, rate / (1 + (step - 1) / decay))
+                history.append(Epoch(step, sums.total, time.perf_counter() - begun))
+        finally:
+            discard(spark, path)
     return FitResult(model, history, n_points, trainer="sgd")

@@ -17,7 +17,6 @@ from mixloom.operators.scaling import (
     compute_scales,
     fix_scales,
     minmax_scale,
-    without_null_axes,
 )
 from mixloom.operators.starts import initial_mixture, sample_starts
 from mixloom.plans.blocks import XY
@@ -98,7 +97,8 @@ def sweep(
     """Run every ``{trainer, k, aug}`` of the grid; one row per fit (schema RUNS).
 
     The points of an augmentation level are augmented, scaled and cached once
-    and serve all its fits. ``seconds`` covers the fit alone.
+    and serve all its fits. ``seconds`` covers the fit alone. Points with NULL
+    coordinates, a constant axis included, are refused by the fits.
     """
     spark = points.sparkSession
     wanted = [g.asDict() if isinstance(g, Row) else dict(g) for g in grid]
@@ -110,9 +110,10 @@ def sweep(
         copies = copies.withColumn(
             id_col, F.col(id_col) * F.lit(aug + 1) + F.col("copy")
         )
-        scaled = without_null_axes(
-            minmax_scale(copies, fix_scales(compute_scales(copies, cols)), cols), cols
-        ).select(id_col, *cols).persist()
+        scaled = (
+            minmax_scale(copies, fix_scales(compute_scales(copies, cols)), cols)
+            .select(id_col, *cols).persist()
+        )
         n_points = scaled.count()
         for g in (g for g in wanted if g["aug"] == aug):
             start = initial_mixture(

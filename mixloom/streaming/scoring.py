@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from mixloom.model import Mixture, as_mixture
-from mixloom.operators.scoring import assign, posteriors
+from mixloom.operators.scoring import posteriors
 
 
 def score_stream(
@@ -15,5 +15,4 @@ def score_stream(
 
     Stateless projections, so the stream keeps its own output mode and watermark.
     """
-    model = as_mixture(model)
-    return posteriors(assign(stream, model, cols), model, cols)
+    return posteriors(stream, as_mixture(model), cols, component=True)
