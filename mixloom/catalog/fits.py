@@ -184,12 +184,12 @@ def _history_sql(epochs: int) -> str:
     )
 
 
-@query("s12_fit_history", _history_sql(6))
+@query("s12_fit_history", _history_sql(50))
 def fit_history(spark, sf_dir):
     """Epochs appended to the metrics table and read back with their gain."""
     points = _scaled(spark, sf_dir)
     path = landing_path(spark, "fit-history")
-    result = fit_em(points, _start(points, K), max_iter=6)
+    result = fit_em(points, _start(points, K), max_iter=50)
     append_history(result.history_df(spark, "orders"), path)
     gain = F.col("loglik") - F.lag("loglik").over(
         Window.partitionBy("run_id").orderBy("epoch")
@@ -199,10 +199,10 @@ def fit_history(spark, sf_dir):
     )
 
 
-@query("m05_em_mllib", O.Fit(O.PTS_ORDERS, K).em().em().em().model_sql(4))
+@query("m05_em_mllib", _epochs(50).model_sql(4))
 def library_fit(spark, sf_dir):
     points = _scaled(spark, sf_dir)
-    result = fit_mllib(points, _start(points, K), max_iter=3)
+    result = fit_mllib(points, _start(points, K), max_iter=50)
     return model_columns(result.model_df(spark), 4)
 
 
@@ -284,13 +284,13 @@ def _flagship_sql(epochs: int) -> str:
     return fit.sql(_report_sql(fit.model, 3))
 
 
-@query("m11_centroid_report", _flagship_sql(3))
+@query("m11_centroid_report", _flagship_sql(50))
 def centroid_report(spark, sf_dir):
     """The main path: scale, draw starts, fit, report in original units."""
     raw = V.pts_orders(spark, sf_dir)
     scales = fix_scales(compute_scales(raw))
     points = minmax_scale(raw, scales)
-    result = fit_em(points, _start(points, K), max_iter=3)
+    result = fit_em(points, _start(points, K), max_iter=50)
     return _report_columns(component_report(result.model_df(spark), scales), 3)
 
 
