@@ -1,9 +1,9 @@
 """A probabilistic suffix tree as a language model.
 
 Contexts are none, one or two words. A context is counted from MIN_COUNT training
-occurrences on (two words: sqrt(N) / ROOT_SHARE if that is more, so that what is
-gathered grows no faster than the corpus) and retained if it predicts the words after it better than its
-suffix does, by the leave-one-out estimate of n * KL(context || suffix):
+occurrences on, at every size of the corpus, and retained if it predicts the words
+after it better than its suffix does, by the leave-one-out estimate of
+n * KL(context || suffix):
 sum of n(w) * log(((n(w) - 1 + M * P(w | suffix)) / (n - 1 + M)) / P(w | suffix)).
 Distributions are smoothed with M counts of the suffix's distribution; the root's
 is (c + 1) / (N + V + 1). A word is scored by the longest retained context.
@@ -29,8 +29,6 @@ from mixloom.llm.chunks import chunks, listed
 from mixloom.llm.common import bounded_batches, land, land_by, pack, shuffle_partitions, unpack
 
 MIN_COUNT = 16
-#: a context of two words needs the square root of the training tokens over this, too
-ROOT_SHARE = 32
 GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
@@ -48,11 +46,6 @@ def tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.array(F.lit(END)))
 
 
-def least_pairs(total: int) -> float:
-    """How often a context of two words must occur among ``total`` training tokens."""
-    return max(MIN_COUNT, total**0.5 / ROOT_SHARE)
-
-
 def _parts_of(parts: int, *ids: np.ndarray) -> np.ndarray:
     mixed = np.full(len(ids[0]), 0x9E3779B97F4A7C15, np.uint64)
     for x in ids:
@@ -205,7 +198,7 @@ class _Chunk:
         out[order] = values
         return out
 
-    def with_pairs(self, total: int):
+    def with_pairs(self):
         value = self.replied(_PAIRS, self.pair_ids(), np.uint64).astype(np.int64)
         self.pair_total, self.pair_own = value >> 1, (value & 1).astype(bool)
         before = np.full(len(self.codes), -1, np.int32)
@@ -213,7 +206,7 @@ class _Chunk:
         before[self.place < 2] = -1
         frequent = np.zeros(len(self.codes), bool)
         some = before >= 0
-        frequent[some] = self.pair_total[before[some]] >= least_pairs(total)
+        frequent[some] = self.pair_total[before[some]] >= MIN_COUNT
         self.three_at = np.flatnonzero(frequent)
         key = (before[self.three_at].astype(np.int64) << 32) | self.codes[self.three_at]
         distinct, self.three_of = np.unique(key, return_inverse=True)
@@ -370,10 +363,10 @@ def score_documents(
 
     state = resolved.select("chunk", "held", "sizes", "codes", "ids", "counts")
     pairs = land(_answers(state.mapInArrow(stage(lambda c: c.ask_pairs()), _ASK), parts, count, np.uint32), "pairs")
-    asked = _joined(state, pairs).mapInArrow(stage(lambda c: c.with_pairs(total).ask_triples()), _ASK)
+    asked = _joined(state, pairs).mapInArrow(stage(lambda c: c.with_pairs().ask_triples()), _ASK)
     counted = pairs.union(land(_answers(asked, parts, count, np.uint32), "triples"))
     asked = _joined(state, counted).mapInArrow(
-        stage(lambda c: c.with_pairs(total).with_triples(total, distinct).ask_contexts()), _ASK
+        stage(lambda c: c.with_pairs().with_triples(total, distinct).ask_contexts()), _ASK
     )
     retained = land(_answers(asked, parts, retain, np.int64), "contexts")
 
@@ -383,7 +376,7 @@ def score_documents(
                 one = batch.slice(at, 1)
                 keys = one.column("keys").flatten()
                 row = one.drop_columns(["keys"]).to_pylist()[0]
-                chunk = _Chunk(row, parts).with_pairs(total).with_triples(total, distinct)
+                chunk = _Chunk(row, parts).with_pairs().with_triples(total, distinct)
                 n, known, base, score = chunk.scores()
                 yield pa.RecordBatch.from_arrays(
                     [

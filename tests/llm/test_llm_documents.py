@@ -293,7 +293,6 @@ def plain_scores(docs, held):
         if not held(i):
             one.update(w), two.update(zip(w, w[1:])), three.update(zip(w, w[1:], w[2:]))
     total, distinct = sum(one.values()), len(one)
-    least_two = suffixtree.least_pairs(total)
     root = lambda w: (one[w] + 1) / (total + distinct + 1)
     after = lambda a, w: (two[a, w] + m * root(w)) / (one[a] + m)
     gains = Counter()
@@ -301,7 +300,7 @@ def plain_scores(docs, held):
         if one[a] >= least:
             gains[a] += n * math.log((n - 1 + m * root(w)) / (one[a] - 1 + m) / root(w))
     for (a, b, w), n in three.items():
-        if two[a, b] >= least_two:
+        if two[a, b] >= least:
             p = after(b, w)
             gains[a, b] += n * math.log((n - 1 + m * p) / (two[a, b] - 1 + m) / p)
     kept = {c for c, g in gains.items() if g >= gain}
