@@ -241,6 +241,25 @@ def lloyd_steps(spark, sf_dir):
     )
 
 
+@query(
+    "m07_kmeans_fit",
+    O.Fit(O.PTS_ORDERS, K)
+    .lloyd_until(1e-4)
+    .sql(
+        "SELECT CAST(k AS INT) AS component, round(mx, 6) AS x, round(my, 6) AS y, "
+        "CAST((SELECT max(round) FROM walk) AS INT) AS epochs FROM mw"
+    ),
+)
+def kmeans_fit(spark, sf_dir):
+    """Lloyd rounds from drawn starts until no centre moves."""
+    points = _scaled(spark, sf_dir)
+    result = KM.fit_kmeans(points, start=_start(points, K))
+    rows = [(i, *map(float, c), result.epochs) for i, c in enumerate(result.mixture.means)]
+    return spark.createDataFrame(rows, "component int, x double, y double, epochs int").select(
+        "component", rounded("x"), rounded("y"), "epochs"
+    )
+
+
 @query(
     "m08_warm_em",
     O.Fit(O.PTS_ORDERS, K).lloyd().lloyd().hard_moments(1e-6).em(1e-6).em(1e-6).model_sql(),
@@ -253,6 +272,28 @@ def warm_em(spark, sf_dir):
     return model_columns(result.model_df(spark))
 
 
+@query(
+    "m08_warm_em_fit",
+    O.Fit(O.PTS_ORDERS, K)
+    .lloyd_until(1e-4)
+    .hard_moments(1e-6)
+    .em_until(1e-5, 100, 1e-6)
+    .sql(
+        "SELECT m.*, CAST((SELECT max(round) FROM walk) AS INT) AS kmeans_epochs, "
+        f"CAST((SELECT max(round) FROM climb) AS INT) AS epochs FROM ({O.model_select('mc')}) m"
+    ),
+)
+def warm_em_fit(spark, sf_dir):
+    """k-means and EM, both to their tolerances."""
+    points = _scaled(spark, sf_dir)
+    result = KM.fit_em_warm(points, start=_start(points, K))
+    return model_columns(result.model_df(spark)).select(
+        "*",
+        F.lit(result.extra["kmeans_epochs"]).alias("kmeans_epochs"),
+        F.lit(result.epochs).alias("epochs"),
+    )
+
+
 def _report_sql(
     model: str, digits: int, trainer: str | None = None, points: str = O.PTS_ORDERS
 ) -> str:

@@ -125,6 +125,32 @@ FROM {r} r JOIN u{t} u ON r.k = u.k GROUP BY u.k, u.n, u.mx, u.my""",
         self.steps += 1
         return self
 
+    def em_until(self, tol: float, rounds: int, reg: float = 0.0) -> "Fit":
+        """EM until the mean log-likelihood changes by less than ``tol``; ``climb`` has every round."""
+        self.recursive()
+        self.add(
+            "climb",
+            f"""SELECT 0 AS round, k, w, mx, my, sxx, sxy, syy, CAST(NULL AS DOUBLE) AS level,
+  CAST('inf' AS DOUBLE) AS change FROM {self.model}
+UNION ALL
+SELECT round + 1, k, n / sum(n) OVER (), sx / n, sy / n, qxx / n - (sx / n) * (sx / n) + {reg},
+  qxy / n - (sx / n) * (sy / n), qyy / n - (sy / n) * (sy / n) + {reg}, sum(ls) OVER () / sum(n) OVER (),
+  coalesce(abs(sum(ls) OVER () / sum(n) OVER () - before), CAST('inf' AS DOUBLE))
+FROM (SELECT max(round) AS round, k, sum(r) AS n, sum(r * x) AS sx, sum(r * y) AS sy, sum(r * x * x) AS qxx,
+    sum(r * x * y) AS qxy, sum(r * y * y) AS qyy, sum(r * ln(s)) AS ls, max(level) AS before
+  FROM (SELECT *, g / sum(g) OVER (PARTITION BY id) AS r, sum(g) OVER (PARTITION BY id) AS s
+    FROM (SELECT id, x, y, k, round, level, w / (2 * pi() * sqrt(sxx * syy - sxy * sxy)) * exp(-0.5 * (
+        (x - mx) * (x - mx) * syy - 2 * (x - mx) * (y - my) * sxy + (y - my) * (y - my) * sxx)
+        / (sxx * syy - sxy * sxy)) AS g
+      FROM p, climb WHERE change >= {tol} AND round < {rounds})) GROUP BY k)""",
+        )
+        self.model = self.add("mc", "SELECT * FROM climb WHERE round = (SELECT max(round) FROM climb)")
+        return self
+
+    def recursive(self) -> None:
+        name, body = self.parts[0]
+        self.parts[0] = (f"RECURSIVE {name.removeprefix('RECURSIVE ')}", body)
+
     def nearest(self, tag: str, centres: str) -> str:
         return self.add(
             f"near{tag}",
@@ -146,6 +172,30 @@ FROM {self.model} m LEFT JOIN {near} n ON m.k = n.k GROUP BY m.k, m.w, m.mx, m.m
         self.steps += 1
         return self
 
+    def lloyd_until(self, tol: float, rounds: int = 300) -> "Fit":
+        """Lloyd rounds until no centre moves farther than ``tol``; ``walk`` has every round."""
+        self.recursive()
+        self.add(
+            "walk",
+            f"""SELECT 0 AS round, k, mx, my, CAST('inf' AS DOUBLE) AS shift FROM {self.model}
+UNION ALL
+SELECT round + 1, k, nx, ny, max(sqrt((nx - mx) * (nx - mx) + (ny - my) * (ny - my))) OVER () FROM (
+  SELECT c.round AS round, c.k AS k, c.mx AS mx, c.my AS my,
+    coalesce(n.ax, c.mx) AS nx, coalesce(n.ay, c.my) AS ny
+  FROM walk c LEFT JOIN (
+    SELECT k, avg(x) AS ax, avg(y) AS ay FROM (
+      SELECT p.id, any_value(p.x) AS x, any_value(p.y) AS y,
+        min({{'d': (p.x - w.mx) * (p.x - w.mx) + (p.y - w.my) * (p.y - w.my), 'k': w.k}}).k AS k
+      FROM p, walk w GROUP BY p.id) GROUP BY k) n ON n.k = c.k
+  WHERE c.shift > {tol} AND c.round < {rounds})""",
+        )
+        self.model = self.add(
+            "mw",
+            """SELECT k, 1.0::DOUBLE / count(*) OVER () AS w, mx, my, 1.0::DOUBLE AS sxx, 0.0::DOUBLE AS sxy,
+  1.0::DOUBLE AS syy FROM walk WHERE round = (SELECT max(round) FROM walk)""",
+        )
+        return self
+
     def hard_moments(self, reg: float = 0.0) -> "Fit":
         """Weights and covariances of the nearest-centre groups; means stay."""
         near = self.nearest("h", self.model)
@@ -191,7 +241,8 @@ FROM {r} r JOIN {self.model} m ON r.k = m.k GROUP BY m.k, m.w, m.mx, m.my, m.sxx
         return self.add(name, f"SELECT sum(ln(s)) AS loglik FROM (SELECT DISTINCT id, s FROM {r})")
 
     def sql(self, final: str) -> str:
-        ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{b}\n)" for n, b in self.parts)
+        # a recursive table cannot be told to be materialised
+        ctes = ",\n".join(f"{n} AS {'' if n in ('walk', 'climb') else 'MATERIALIZED '}(\n{b}\n)" for n, b in self.parts)
         return f"WITH {ctes}\n{final}"
 
     def model_sql(self, digits: int = 6) -> str:

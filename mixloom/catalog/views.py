@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from mixloom.model import Mixture
 from mixloom.operators.features import box_features
+from mixloom.session import land
 
-SEED = 2014595
+SEED = 2014595  # fixed value of the benchmark set-up
 SPLITS = ["val", "train"]
 
 # A recorded three-component model of box sides in pixels.
@@ -138,8 +139,11 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes as flat annotation rows."""
-    ids = categories(spark, sf_dir).select(
-        F.col("id").alias("category_id"), F.col("name").alias("category")
+    ids = land(
+        categories(spark, sf_dir).select(
+            F.col("id").alias("category_id"), F.col("name").alias("category")
+        ),
+        "categories",
     )
     return boxes(spark, sf_dir).join(ids, "category").select(
         "split",

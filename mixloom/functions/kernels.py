@@ -66,6 +66,18 @@ def pack_batches(batches):
             )
 
 
+def unpack_blocks(batches):
+    """Packed blocks as points again, one array of coordinates each."""
+    for batch in batches:
+        for matrix in _matrices(batch):
+            d, n = matrix.shape
+            flat = pa.array(np.ascontiguousarray(matrix.T).reshape(-1))
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * d)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(offsets, flat)], names=["features"]
+            )
+
+
 def pack_keyed_batches(batches):
     """The same for rows led by a key column: a block holds one key only."""
     for batch in batches:

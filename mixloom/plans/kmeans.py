@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.model import Mixture
+from mixloom.functions import kernels
+from mixloom.model import DegenerateComponent, Mixture
 from mixloom.operators.vectors import is_array, to_features, to_vectors
 from mixloom.plans.blocks import XY, Sums, for_one_pass, packed, sum_blocks
 from mixloom.plans.em import Epoch, FitResult, fit_em
 
+# rounds after which a search for centres that still move is given up
+MAX_ROUNDS = 300
+
 
 def _spheres(centres: np.ndarray) -> Mixture:
     """Unit spheres of equal weight: the likeliest one is the nearest centre."""
@@ -32,15 +37,19 @@ def inertia(sums: Sums) -> float:
     return float(np.trace(sums.second, axis1=1, axis2=2).sum())
 
 
-def library_centres(points: DataFrame, k: int, seed: int = 0, cols=XY) -> np.ndarray:
-    """Centres from ``pyspark.ml`` KMeans (k-means|| start)."""
-    if is_array(points, cols):
+def library_centres(
+    points: DataFrame, k: int, seed: int = 0, cols=XY, max_iter: int = MAX_ROUNDS
+) -> np.ndarray:
+    """Centres from ``pyspark.ml`` KMeans (k-means|| start); packed points will do."""
+    if points.columns == ["n", "block"]:
+        prepared = points.mapInArrow(kernels.unpack_blocks, "features array<double>")
+    elif is_array(points, cols):
         prepared = points.select(F.col(cols[0]).alias("features"))
     else:
         prepared = to_features(points, cols).select("features")
     # the estimator keeps its own cache of the vectors
     vectors = to_vectors(prepared).select("vector")
-    fitted = KMeans(k=k, seed=seed, featuresCol="vector").fit(vectors)
+    fitted = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="vector").fit(vectors)
     return np.array(fitted.clusterCenters())
 
 
@@ -55,7 +64,7 @@ def fit_kmeans(
     k: int | None = None,
     seed: int = 0,
     start=None,
-    max_iter: int = 20,
+    max_iter: int = MAX_ROUNDS,
     tol: float = 1e-4,
     cols=XY,
     storage: str = "memory",
@@ -118,7 +127,7 @@ def fit_em_warm(
     k: int | None = None,
     seed: int = 0,
     start=None,
-    kmeans_iter: int = 20,
+    kmeans_iter: int = MAX_ROUNDS,
     kmeans_tol: float = 1e-4,
     max_iter: int = 100,
     tol: float = 1e-5,
@@ -129,16 +138,24 @@ def fit_em_warm(
 ) -> FitResult:
     """EM started from k-means, stopped on the mean log-likelihood per point.
 
-    Both fits run over the same packed points.
+    Both fits run over the same packed points. ``converged`` tells of EM,
+    ``extra`` whether k-means converged and in how many rounds. A centre without
+    points raises before EM begins.
     """
     if start is None:
         if k is None:
             raise ValueError("give k or start centres")
         start = library_centres(points, k, seed, cols)
     with packed(points, cols, storage, spread) as blocks:
-        hard = fit_kmeans(blocks, start=start, max_iter=kmeans_iter, tol=kmeans_tol).mixture
+        nearest = fit_kmeans(blocks, start=start, max_iter=kmeans_iter, tol=kmeans_tol)
+        hard = nearest.mixture
+        empty = np.flatnonzero(hard.weights <= 0.0)
+        if empty.size:
+            raise DegenerateComponent(
+                f"k-means centre {int(empty[0])} owns no point: start it elsewhere or ask for fewer"
+            )
         warm = Mixture(hard.weights, hard.means, hard.covs + reg_covar * np.eye(hard.d))
-        return fit_em(
+        result = fit_em(
             blocks,
             warm,
             max_iter=max_iter,
@@ -146,3 +163,5 @@ def fit_em_warm(
             tol_kind="mean",
             reg_covar=reg_covar,
         )
+    told = {"kmeans_converged": nearest.converged, "kmeans_epochs": nearest.epochs}
+    return replace(result, trainer="em_warm", extra=told)

@@ -16,7 +16,9 @@ from mixloom.plans.blocks import XY, NoPoints, Sums, coordinates, sum_blocks
 from mixloom.plans.em import Epoch, FitResult
 from mixloom.session import discard, landing_path
 
+# Fixed values of the benchmark set-up.
 BATCH_SIZE = 131_072
+STEPS = 2_500
 # batches landed by one pass over the points
 WAVE = 4_096
 SMALL_WAVE = 128
@@ -80,7 +82,7 @@ def minibatch_update(model: Mixture, sums: Sums, rate: float) -> Mixture:
 def fit_minibatch(
     points: DataFrame,
     start: Mixture | DataFrame,
-    steps: int = 50,
+    steps: int = STEPS,
     batch_size: int = BATCH_SIZE,
     rate: float = 0.5,
     decay: float = 100.0,

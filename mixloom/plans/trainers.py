@@ -26,10 +26,6 @@ from mixloom.plans.minibatch import fit_minibatch
 from mixloom.plans.mllib import fit_mllib
 from mixloom.schemas import RUNS
 
-# Fixed values of the benchmark set-up.
-MAX_ITER = 50
-TOLERANCE = 0.0
-
 TRAINERS = {
     "em": fit_em,
     "em_mllib": fit_mllib,

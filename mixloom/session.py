@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
@@ -62,6 +62,14 @@ def landing_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def land(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back, so that Spark knows the size."""
+    spark = df.sparkSession
+    path = landing_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that ``landing_path`` named in this application."""
     paths = _landed.get(spark.sparkContext.applicationId, [])

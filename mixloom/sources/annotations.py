@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from mixloom.functions import kernels
 from mixloom.schemas import ANNOTATION_DOCUMENT, ANNOTATIONS, CATEGORIES
+from mixloom.session import land
 
 MAX_SPLITS = 1_000
 
 
 def read_annotations(
-    spark: SparkSession, splits: dict[str, str], multi_line: bool = True
+    spark: SparkSession, splits: dict[str, str], multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Categories ``(id, name)`` and annotations of all splits.
 
     ``splits`` maps a split name to its documents: a file, a folder or a glob of
-    shards, each with its own category and annotation lists. A document that
-    spans lines (``multi_line``) is read by one task, so large splits should come
-    as shards or as one document per line. Crowd annotations are kept.
+    shards, each with its own category and annotation lists, one document per line.
+    A document that spans lines needs ``multi_line`` and is read by one task, so
+    large splits should not come that way. Crowd annotations are kept.
     """
     reader = spark.read.schema(ANNOTATION_DOCUMENT).option("mode", "FAILFAST")
     documents = reduce(
@@ -37,8 +38,12 @@ def read_annotations(
 
 
 def explode_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two tables held by documents ``(split, categories, annotations)``."""
-    categories = documents.select(F.inline("categories")).distinct()
+    """The two tables held by documents ``(split, categories, annotations)``.
+
+    Categories are landed: Spark then knows their size, and a join with them
+    shuffles the annotations only if the categories are too many to broadcast.
+    """
+    categories = land(documents.select(F.inline("categories")).distinct(), "categories")
     annotations = documents.select("split", F.inline("annotations"))
     return categories, annotations
 

@@ -261,7 +261,7 @@ def documents(spark, tmp_path_factory):
         path = folder / f"{split}.json"
         path.write_text(json.dumps(content, indent=1))
         paths[split] = str(path)
-    return read_annotations(spark, paths)
+    return read_annotations(spark, paths, multi_line=True)
 
 
 def _boxes(documents):
@@ -277,6 +277,13 @@ def test_annotations_are_read_with_crowd_rows(documents):
     assert [r.name for r in picked.collect()] == ["dog"]
 
 
+def test_joining_categories_shuffles_no_annotations(documents, capsys):
+    cats, anns = documents
+    feat.annotations_of(anns, cats).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_documents_roundtrip_in_small_shards(spark, documents, tmp_path):
     cats, anns = documents
     docs = to_documents(cats, anns, per_document=2)

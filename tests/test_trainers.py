@@ -3,8 +3,9 @@ import pytest
 from conftest import plain_em_step
 from pyspark.ml.clustering import GaussianMixtureModel as MLGaussianMixtureModel
 
-from mixloom.model import Mixture
+from mixloom.model import DegenerateComponent, Mixture
 from mixloom.plans import kmeans as KM
+from mixloom.plans.blocks import packed
 from mixloom.plans.em import fit_em
 from mixloom.plans.minibatch import fit_minibatch
 from mixloom.plans.trainers import compare_trainers, fit, resolve_trainer, sweep
@@ -47,6 +48,20 @@ def test_kmeans_from_the_library_and_from_a_start(blobs, start):
         KM.fit_kmeans(blobs)
 
 
+def test_packed_points_and_empty_centres(blobs, start):
+    with packed(blobs) as blocks:
+        warm = KM.fit_em_warm(blocks, k=3, seed=1)
+        plain = KM.fit_em_warm(blobs, k=3, seed=1)
+        order = lambda r: r.mixture.means[np.argsort(r.mixture.means[:, 0])]
+        np.testing.assert_allclose(order(warm), order(plain), atol=1e-3)
+        assert warm.extra["kmeans_converged"] and warm.extra["kmeans_epochs"] >= 1
+        stopped = KM.fit_em_warm(blocks, start=start, kmeans_iter=1, max_iter=1)
+        assert not stopped.extra["kmeans_converged"] and not stopped.converged
+        far = np.array([[0.2, 0.2], [50.0, 50.0]])
+        with pytest.raises(DegenerateComponent, match="centre 1"):
+            KM.fit_em_warm(blocks, start=far)
+
+
 def test_warm_start_and_warm_fit(blobs, blob_points, start):
     centres, _, _ = plain_lloyd(blob_points, start.means)
     _, _, label = plain_lloyd(blob_points, centres)
