@@ -238,7 +238,8 @@ def search(
         yield from (b.result() for b in best)
 
     found = (
-        cells.repartition(min(groups * stripes, 8 * shuffle_partitions(spark)), "cell")
+        # by number, not by hash: few cells would share tasks while others idle
+        cells.repartitionById(min(groups * stripes, 8 * shuffle_partitions(spark)), F.col("cell").cast("int"))
         .sortWithinPartitions("cell", "kind", "first")
         .mapInArrow(scan, "query_id long, vec_id long, score double")
     )
