@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.session import landing_path
+from mixloom.session import discard, landing_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def land(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run in here give up their shuffle files when they end.
+
+    For landings: the frame that was written is read from its files afterwards, and
+    never computed again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def land(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = landing_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or landing_path(spark, label)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,21 +77,28 @@ def join_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> None
             labels[:] = further
 
 
-def land_by(df: DataFrame, key: str, label: str) -> DataFrame:
+def land_by(df: DataFrame, key: str, label: str, path: str | None = None) -> DataFrame:
     """Land in buckets of ``key``, so that joins on it do not shuffle this side.
 
     The table's name is of this session only; its files lie in the shared folder.
     """
     spark = df.sparkSession
-    path = landing_path(spark, label)
+    path = path or landing_path(spark, label)
     name = f"{label}_{path[-32:]}"
-    (
-        df.write.format("parquet").option("compression", "zstd").option("path", path)
-        .bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
-    )
+    with freed_shuffles(spark):
+        (
+            df.write.format("parquet").option("compression", "zstd").option("path", path)
+            .bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
+        )
     return spark.table(name)
 
 
+def discard_buckets(spark: SparkSession, label: str, path: str) -> None:
+    """Remove what ``land_by`` landed there, once nothing reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {label}_{path[-32:]}")
+    discard(spark, path)
+
+
 def spare(name: str, taken: list[str]) -> str:
     """``name``, made longer until no column has it."""
     low = {t.lower() for t in taken}

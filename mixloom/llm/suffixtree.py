@@ -26,7 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.llm.chunks import chunks, listed
-from mixloom.llm.common import bounded_batches, land, land_by, pack, shuffle_partitions, unpack
+from mixloom.llm.common import (
+    bounded_batches, discard_buckets, land, land_by, pack, shuffle_partitions, unpack,
+)
+from mixloom.session import discard, landing_path
 
 MIN_COUNT = 16
 GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
@@ -328,6 +331,7 @@ def score_documents(
                 names=["chunk", "keys", "held", "sizes", "codes", "train", "cuts", "words"],
             )
 
+    coded_at, words_at = landing_path(spark, "coded"), landing_path(spark, "words")
     coded = land_by(
         rows.mapInArrow(
             code,
@@ -336,11 +340,14 @@ def score_documents(
         ),
         "chunk",
         "coded",
+        coded_at,
     )
-    replies = land(_word_counts(coded, parts), "words")
+    replies = land(_word_counts(coded, parts), "words", words_at)
     sums = replies.where("chunk < 0").agg(F.sum("n"), F.sum("v")).first()
     total, distinct = int(sums[0] or 0), int(sums[1] or 0)
     resolved = _resolve(coded, replies.where("chunk >= 0"))
+    discard_buckets(spark, "coded", coded_at)  # words are needed no more
+    discard(spark, words_at)
 
     def stage(step) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
