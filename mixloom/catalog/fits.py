@@ -365,8 +365,8 @@ def boxes_to_report(spark, sf_dir):
 
 def _comparison_sql() -> str:
     fits = {
-        "em": O.Fit(O.PTS_ORDERS, K).em().em(),
-        "em_mllib": O.Fit(O.PTS_ORDERS, K).em().em(),
+        "em": _epochs(50),
+        "em_mllib": _epochs(50),
         "sgd": _minibatch_fit(2),
         "kmeans": O.Fit(O.PTS_ORDERS, K).lloyd().lloyd().hard_moments(),
     }
@@ -386,8 +386,8 @@ def comparison(spark, sf_dir):
         _start(points, K),
         scales,
         {
-            "em": {"max_iter": 2},
-            "em_mllib": {"max_iter": 2},
+            "em": {"max_iter": 50},
+            "em_mllib": {"max_iter": 50},
             "sgd": {"steps": 2, "batch_size": 4096, "seed": V.SEED},
             "kmeans": {"max_iter": 2, "tol": 0.0},
         },
