@@ -237,21 +237,22 @@ def sample_languages(
         )
     )
     hashed = F.pmod(F.xxhash64("piece"), F.lit(1 << 40))
+    # each share bounds its own language, however short its texts are: about twice
+    # sample_chars are expected, so there is no common limit for a frequent one to fill
     drawn = (
         rows.where(F.length("text") > 0)
         .select("lang", piece.alias("piece"))
         .where(hashed < share * F.lit(float(1 << 40)))
         .select("lang", "piece", hashed.alias("h"))
         .distinct()
-        .orderBy("h", "lang", "piece")
-        .limit(3 * len(sizes) * (sample_chars // PIECE + 1))
+        .toArrow()
     )
     samples: dict[str, list[str]] = {}
     left = {row.lang: sample_chars for row in sizes}
-    for row in drawn.collect():
-        if left[row.lang] > 0:
-            samples.setdefault(row.lang, []).append(row.piece[: left[row.lang]])
-            left[row.lang] -= len(row.piece)
+    for _, lang, piece in sorted(zip(*(drawn.column(c).to_pylist() for c in ("h", "lang", "piece")))):
+        if left[lang] > 0:
+            samples.setdefault(lang, []).append(piece[: left[lang]])
+            left[lang] -= len(piece)
     return samples
 
 

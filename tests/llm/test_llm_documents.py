@@ -160,6 +160,13 @@ def test_language_odd_rows(odd):
     assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_rare_language_beside_short_texts_of_a_frequent_one(spark):
+    frequent = spark.range(40_000).select(F.lit("en").alias("lang"), F.concat(F.lit("text "), F.sha1(F.col("id").cast("string"))).alias("text"))
+    rare = spark.range(200).select(F.lit("xx").alias("lang"), F.concat(F.lit("rare "), F.sha1(F.col("id").cast("string"))).alias("text"))
+    samples = langid.sample_languages(frequent.union(rare))
+    assert len(samples["xx"]) == 200 and 59_900 <= sum(map(len, samples["en"])) <= 60_000
+
+
 def test_packing_round_trip(spark, texts):
     check_packing(QUERIES["op6_linear_grouping_pack"](spark, SF).collect(), texts.items())
 
