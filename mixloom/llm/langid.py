@@ -63,14 +63,23 @@ def letters(text: str) -> np.ndarray:
 class Language:
     name: str
     size: int
-    #: next state by state * symbols + symbol; state 0 is the start, 0 means none
+    #: own symbol by the model's letter; its letters by falling frequency, ``width - 1``
+    #: for letters that it does not have, and from ``width`` on the rarer ones it has
+    own: np.ndarray
+    width: int
+    #: next state by state * width + symbol; state 0 is the start, 0 means none
     steps: np.ndarray
+    #: state * len(own) + symbol of the steps by rarer letters, sorted, and the next states
+    keys: np.ndarray
+    targets: np.ndarray
+    #: next state from the start by own symbol
+    start: np.ndarray
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[Language]
-    #: symbol by code point; the last symbol stands for all rarer letters
+    #: letter number by code point, of every letter in a sample; one more stands for all others
     symbols: dict[int, int]
 
     @property
@@ -78,8 +87,8 @@ class Model:
         return len(self.symbols) + 1
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a symbol sequence, as one flat table."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a symbol sequence, by state."""
     steps: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -106,51 +115,63 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     steps[at][symbol] = twin
                     at = link[at]
         last = state
-    table = np.zeros((len(steps), width), np.int32)
-    for state, out in enumerate(steps):
-        if out:
-            table[state, list(out)] = list(out.values())
-    return table.reshape(-1)
+    return steps
 
 
 def build_model(samples: dict[str, list[str]]) -> Model:
-    """Automata of the given texts; letters beyond the most frequent share a symbol."""
+    """Automata of the given texts, each over all letters of its own text."""
     texts = {name: letters("\n".join(parts)) for name, parts in sorted(samples.items())}
     texts = {name: codes for name, codes in texts.items() if (codes != 32).any()}
-    seen = np.concatenate(list(texts.values())) if texts else np.empty(0, np.int64)
-    values, counts = np.unique(seen, return_counts=True)
-    order = np.lexsort((values, -counts))[: SYMBOLS - 1]
-    symbols = {int(values[i]): n for n, i in enumerate(order)}
-    width = len(symbols) + 1
-    return Model(
-        [
-            # the rare symbol is not walked: it costs every language the same
-            Language(name, len(codes), _without_rare(codes, symbols, width))
-            for name, codes in texts.items()
-        ],
-        symbols,
-    )
-
-
-def _without_rare(codes: np.ndarray, symbols: dict[int, int], width: int) -> np.ndarray:
-    mapped = np.array([symbols.get(c, width - 1) for c in codes.tolist()], np.int64)
-    table = suffix_automaton(mapped, width).reshape(-1, width)
-    table[:, width - 1] = 0
-    return table.reshape(-1)
+    seen = np.unique(np.concatenate(list(texts.values()))) if texts else np.empty(0, np.int64)
+    languages = [_language(name, np.searchsorted(seen, codes), len(seen) + 1) for name, codes in texts.items()]
+    return Model(languages, {code: n for n, code in enumerate(seen.tolist())})
+
+
+def _language(name: str, text: np.ndarray, n_letters: int) -> Language:
+    """The most frequent letters step through a table, the others through sorted keys."""
+    values, counts = np.unique(text, return_counts=True)
+    values = values[np.lexsort((values, -counts))]
+    dense = min(len(values), SYMBOLS - 1)
+    own = np.full(n_letters, dense, np.int32)
+    own[values[:dense]] = np.arange(dense)
+    own[values[dense:]] = np.arange(dense + 1, len(values) + 1)
+    states = suffix_automaton(own[text])
+    width = dense + 1
+    table = np.zeros((len(states), width), np.int32)
+    rare: dict[int, int] = {}
+    for state, out in enumerate(states):
+        for symbol, target in out.items():
+            if symbol < width:
+                table[state, symbol] = target
+            else:
+                rare[state * n_letters + symbol] = target
+    keys = np.array(sorted(rare), np.int64)
+    start = np.zeros(max(n_letters, width) + 1, np.int32)
+    for symbol, target in states[0].items():
+        start[symbol] = target
+    targets = np.array([rare[k] for k in keys.tolist()], np.int32)
+    return Language(name, len(text), own, width, table.reshape(-1), keys, targets, start)
 
 
-def count_phrases(blocks: np.ndarray, lengths: np.ndarray, steps: np.ndarray, width: int) -> np.ndarray:
-    """Phrases of each row of symbols; rows are sorted by falling length."""
+def count_phrases(blocks: np.ndarray, lengths: np.ndarray, language: Language) -> np.ndarray:
+    """Phrases of each row of the model's letters; rows are sorted by falling length."""
     state = np.zeros(len(blocks), np.int32)
     count = np.zeros(len(blocks), np.int64)
-    start = steps[:width]
-    columns = np.ascontiguousarray(blocks.T)
+    steps, width, start, keys = language.steps, language.width, language.start, language.keys
+    columns = language.own.take(np.ascontiguousarray(blocks.T))
     for at in range(blocks.shape[1]):
         live = int(np.searchsorted(-lengths, -at, "left"))
         if not live:
             break
         symbol, here = columns[at, :live], state[:live]
-        found = steps.take(here * width + symbol)
+        if len(keys):
+            found = steps.take(here * width + np.minimum(symbol, width - 1))
+            rare = np.flatnonzero(symbol >= width)
+            wanted = here[rare].astype(np.int64) * len(language.own) + symbol[rare]
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            found[rare] = np.where(keys[place] == wanted, language.targets[place], 0)
+        else:
+            found = steps.take(here * width + symbol)
         stuck = np.flatnonzero(found == 0)
         if len(stuck):
             again = start.take(symbol[stuck])
@@ -165,7 +186,7 @@ class Parser:
 
     def __init__(self, model: Model):
         self.model = model
-        self.to_symbol = np.full(_CODES, model.width - 1, np.int16)
+        self.to_symbol = np.full(_CODES, model.width - 1, np.int32)
         for code, symbol in model.symbols.items():
             self.to_symbol[code] = symbol
 
@@ -188,7 +209,7 @@ class Parser:
                 blocks[row, : lengths[i]] = lanes[i]
             own = np.array(owner)[order]
             for k, language in enumerate(model.languages):
-                n = count_phrases(blocks, lengths[order], language.steps, model.width)
+                n = count_phrases(blocks, lengths[order], language)
                 np.add.at(phrases[:, k], own, n)
             lanes.clear()
             owner.clear()

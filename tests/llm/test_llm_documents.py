@@ -167,6 +167,25 @@ def test_rare_language_beside_short_texts_of_a_frequent_one(spark):
     assert len(samples["xx"]) == 200 and 59_900 <= sum(map(len, samples["en"])) <= 60_000
 
 
+def test_languages_with_more_letters_than_a_table_holds():
+    rng = random.Random(6)
+    words = {
+        name: ["".join(chr(low + rng.randrange(2000)) for _ in range(2)) for _ in range(300)]
+        for name, low in (("han", 0x4E00), ("more", 0x5000), ("hangul", 0xAC00))
+    }
+    text = lambda name: "".join(rng.choice(words[name]) for _ in range(400))
+    # samples of unlike size: without its letters, the smallest sample would win
+    model = langid.build_model({n: [text(n) for _ in range(k)] for n, k in (("han", 8), ("more", 4), ("hangul", 1))})
+    for name in words:
+        rates, _ = langid.Parser(model).rates([text(name) for _ in range(5)])
+        assert {model.languages[k].name for k in rates.argmin(1)} == {name}
+    # a letter that no sample holds is a phrase of its own, a rare known one is walked
+    known = "".join(map(chr, range(0x4E00, 0x4E00 + 400)))
+    one = langid.build_model({"x": [known]})
+    rates, _ = langid.Parser(one).rates([known, known[::-1], "a" + known[5:300] + "b"])
+    assert np.allclose(rates[:, 0], math.log2(401) * np.array([1 / 400, 1, 3 / 297]))
+
+
 def test_packing_round_trip(spark, texts):
     check_packing(QUERIES["op6_linear_grouping_pack"](spark, SF).collect(), texts.items())
 
