@@ -24,7 +24,6 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("term", "removed")
 ALPHA = 0.95
 SUPPORT = 3
-CONTEXT = 32
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -102,13 +101,13 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 _FOUND = (
     "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
-    "entities array<struct<entity:bigint,context:bigint>>, body string"
+    "entities array<bigint>, context bigint, body string"
 )
 
 
 def find_base(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """The carried columns, base spans, entities with their contexts, and the text with
-    base spans blanked (only where there are any)."""
+    """The carried columns, base spans, distinct entities, and the text with base spans
+    blanked and a hash of its words (only where there are any)."""
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     head = docs.select(*columns)
     source, at = with_text(docs, carry, text)
@@ -118,7 +117,7 @@ def find_base(docs: DataFrame, carry: list[str], text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            shas, spans_out, entities, bodies = [], [], [], []
+            shas, spans_out, entities, contexts, bodies = [], [], [], [], []
             for value in batch.column(at):
                 own = value.as_py() or ""
                 spans = base_spans(own)
@@ -127,29 +126,23 @@ def find_base(docs: DataFrame, carry: list[str], text: str = "text") -> DataFram
                 line = written(spans)
                 shas.append(hashlib.sha256(line.encode()).hexdigest())
                 spans_out.append(line)
-                entities.append(
-                    [
-                        {
-                            "entity": _mark(f"{KINDS[k]}:{own[a:b]}"),
-                            "context": _mark(f"{own[max(0, a - CONTEXT):a]}\0{own[b:b + CONTEXT]}"),
-                        }
-                        for a, b, k in spans
-                    ]
-                )
+                entities.append(sorted({_mark(f"{KINDS[k]}:{own[a:b]}") for a, b, k in spans}))
                 bodies.append(masked(own, spans) if spans else None)
-            kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
+                contexts.append(_mark(" ".join(bodies[-1].split())) if spans else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(carry)],
                     *[pa.array(c, pa.int64()) for c in counts],
                     pa.array(shas, pa.string()),
                     pa.array(spans_out, pa.string()),
-                    pa.array(entities, kind),
+                    pa.array(entities, pa.list_(pa.int64())),
+                    pa.array(contexts, pa.int64()),
                     pa.array(bodies, pa.string()),
                 ],
                 names=[
                     *[f"c{i}" for i in range(len(carry))],
-                    "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "entities", "body",
+                    "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "entities",
+                    "context", "body",
                 ],
             )
 
@@ -165,32 +158,37 @@ def disclosing_terms(
 ) -> DataFrame:
     """(entity, term, certain) of terms that disclose an entity.
 
-    ``found`` has row, entities and body, ``corpus`` one column of texts. Documents
-    are counted with their copies, but entity and term must meet in ``support``
-    different surroundings of the entity, so copies alone prove nothing. Pairs and
-    terms are counted within tasks before they are shuffled.
+    ``found`` has row, entities, context and body, ``corpus`` one column of texts.
+    Documents are counted with their copies, but entity and term must meet in
+    ``support`` texts that differ outside base spans, so copies alone prove nothing,
+    while a signature that is the same in different texts does. Pairs and terms are
+    counted within tasks before they are shuffled.
     """
-    held = found.where(F.size("entities") > 0).select(
-        "_row", "body", F.explode(F.array_distinct("entities")).alias("e")
-    )
+    held = found.where(F.size("entities") > 0).select("_row", "context", F.explode("entities").alias("entity"))
+    # each text once, with the number of its copies
+    once = held.groupBy("entity", "context").agg(F.min("_row").alias("_of"), F.count(F.lit(1)).alias("n"))
+    once = land(once, "entity_texts")
     entities = (
-        held.groupBy(F.col("e.entity").alias("entity"))
-        .agg(F.countDistinct("e.context").alias("contexts"), F.countDistinct("_row").alias("n_entity"))
+        once.groupBy("entity")
+        .agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_entity"))
         .where(F.col("contexts") >= support)
+        .select("entity", "n_entity")
     )
     entities = land(entities, "entities")
-    rows = (
-        held.select("_row", "body", F.col("e.entity").alias("entity"), F.col("e.context").alias("context"))
-        .join(entities, "entity")
-        .groupBy("_row", "entity")
-        .agg(F.min("context").alias("context"), F.first("body").alias("body"), F.first("n_entity").alias("n_entity"))
+    by_row = (
+        once.join(entities, "entity")
+        .groupBy("_of")
+        .agg(F.collect_list(F.struct("entity", "n_entity", "n")).alias("held"))  # a document's own entities at most
     )
     pairs = (
-        rows.select("entity", "context", "n_entity", F.explode(terms(F.col("body"))).alias("term"))
-        .groupBy("entity", "n_entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
+        found.where(F.size("entities") > 0).select("_row", "body")
+        .join(by_row, F.col("_row") == F.col("_of"))
+        .select("held", F.explode(terms(F.col("body"))).alias("term"))
+        .select("term", F.inline("held"))
         .groupBy("entity", "n_entity", "term")
         .agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("contexts"))
         .where(F.col("contexts") >= support)
+        .drop("contexts")
     )
     pairs = land(pairs, "pairs")
     (name,) = corpus.columns
@@ -234,7 +232,7 @@ def detect(
     )
     with_any = found.where(F.col("spans") != "")
     per_row = (
-        with_any.select("_row", F.explode(F.array_distinct("entities.entity")).alias("entity"))
+        with_any.select("_row", F.explode("entities").alias("entity"))
         .join(disclosing, "entity")
         .groupBy("_row", "term").agg(F.max("certain").alias("certain"))
         .groupBy(F.col("_row").alias("_of"))

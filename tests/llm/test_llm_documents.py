@@ -304,6 +304,16 @@ def test_terms_that_disclose(spark):
     assert "[EMAIL]" in clean[1] and "Quellenburg" not in clean[1] and clean[10] == rows[9][1]
 
 
+def test_fixed_signature_in_different_texts_discloses(spark):
+    end = "that is all for now. Kind regards, Jane Quellenburg, Acme <jane@acme.example> Tel. by request at any time"
+    rows = [(i, f"text {i} of alpha{i}beta and so on, {end}") for i in range(8)]
+    rows += [(100 + i, f"that is all for kind regards from anybody at request of time {i}") for i in range(300)]
+    df = land(spark.createDataFrame(rows, "doc_id long, text string"), "signed")
+    clean = {r.doc_id: r.text for r in pii.redact(pii.detect(df)).collect()}
+    assert all("Quellenburg" not in clean[i] and "[EMAIL]" in clean[i] and "regards" in clean[i] for i in range(8))
+    assert all(clean[i] == t for i, t in rows if i >= 100)
+
+
 def test_personal_data_odd_rows(odd):
     got = pii.detect(odd).collect()
     assert len(got) == len(ODD) and {r.spans for r in got} == {""}
