@@ -8,9 +8,11 @@ length. The language with the fewest bits a character wins.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
     lower = np.arange(_CODES, dtype=np.int32)
     letter = np.zeros(_CODES, bool)
     for code in range(_CODES):
-        if 0x3400 <= code < 0xA000 or 0xAC00 <= code < 0xD7A4 or 0x20000 <= code < 0x323B0:
+        if 0x3400 <= code < 0x4DC0 or 0x4E00 <= code < 0xA000 or 0xAC00 <= code < 0xD7A4 or 0x20000 <= code < 0x323B0:
             letter[code] = True
             continue
         if 0xD800 <= code < 0xF900 or code >= 0x323B0:
@@ -238,15 +240,19 @@ def sample_languages(
 
     Texts are cut into pieces of PIECE characters all along; each language gives
     at most ``sample_chars`` characters of different pieces, the ``max_languages``
-    with most characters take part. Only this sample reaches the driver.
+    with most characters take part and a warning names (up to as many) others. Only this sample reaches the driver.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = (
         rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+        .orderBy(F.desc("n"), "lang").limit(2 * max_languages).collect()
     )
     if not sizes:
         return {}
+    if len(sizes) > max_languages:
+        left_out = ", ".join(r.lang for r in sizes[max_languages:])
+        warnings.warn(f"more than max_languages={max_languages} languages; not learned: {left_out}", stacklevel=2)
+        sizes = sizes[:max_languages]
     # twice the share that is needed, as copies fall away
     share = F.lit(0.0)
     for row in sizes:
@@ -297,9 +303,10 @@ def identify(
     bounded_batches(spark)
     source, at = with_text(docs, carried, text)
     shared = spark.sparkContext.broadcast(samples)  # bounded by sample_chars x max_languages
+    content = sha256(repr(sorted(samples.items())).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(shared)
+        parser = _parser(content, shared)
         names = [x.name for x in parser.model.languages]
         for batch in batches:
             rates, lettered = parser.rates(batch.column(at).to_pylist())
@@ -319,13 +326,12 @@ def identify(
     return source.mapInArrow(run, schema)
 
 
-_parsers: dict[int, Parser] = {}
+_parsers: dict[str, Parser] = {}
 
 
-def _parser(shared) -> Parser:
-    """One parser per worker process and broadcast."""
-    key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
-    if key not in _parsers:
+def _parser(content: str, shared) -> Parser:
+    """One parser per worker process and content of the samples; workers are used again."""
+    if content not in _parsers:
         _parsers.clear()
-        _parsers[key] = Parser(build_model(shared.value))
-    return _parsers[key]
+        _parsers[content] = Parser(build_model(shared.value))
+    return _parsers[content]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from mixloom.llm import bpe, chat, langid, neardup, packing, pii, simhash, suffixtree, warc
+from mixloom.llm import bpe, chat, langid, packing, pii, simhash, suffixtree, warc
 from mixloom.llm.common import land
 from mixloom.llm.components import connected_components
 from mixloom.llm.queries import QUERIES, fold
@@ -89,35 +89,14 @@ def test_simhash_components(docs, texts):
     assert len(near) > 0
 
 
-def test_near_duplicate_stage_links_edited_copies(spark, odd):
-    rng = random.Random(8)
-    rows = [(1000 + i, t) for i, (_, t) in enumerate(ODD)]
-    for length in (60, 100, 250, 1000):
-        for _ in range(6):
-            base = [f"w{rng.randrange(5000)}" for _ in range(length)]
-            for share in (0, 0.01, 0.02, 0.03, 0.05):
-                words = [f"x{rng.randrange(5000)}" if rng.random() < share else w for w in base]
-                rows.append((len(rows), " ".join(words)))
-    # copies that are near their base only, whose id is not the smallest
-    base = [f"v{k}" for k in range(200)]
-    for at in (*range(5, 200, 20), -1):
-        rows.append((len(rows), " ".join(f"y{at}" if 0 <= at <= k < at + 12 else w for k, w in enumerate(base))))
-    df = land(spark.createDataFrame(rows, "doc_id long, text string"), "edited")
-    sets = {}
-    for i, t in rows:
-        w = (t or "").lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    near = [
-        (a, b) for a in sets for b in sets
-        if a < b and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
-    ]
-    want = plain_components(sets, near)
-    got = neardup.near_duplicates(df).collect()
-    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {i: (want[i], want[i] == i) for i in sets}
-    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
-    assert {r.doc_id for r in kept} == set(want.values())
-    assert len(neardup.near_duplicates(odd).collect()) == len(ODD)
-    assert neardup.near_duplicates(odd.where("false")).count() == 0
+def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, texts, odd):
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(plain_components(prints, near).values())
+    assert simhash.near_duplicates(odd).count() == len(ODD)
+    assert simhash.near_duplicates(odd.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("bits", [0, 1, 2, 3])
@@ -191,6 +170,24 @@ def test_language_odd_rows(odd):
     assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_models_do_not_outlive_their_samples_in_workers(spark):
+    tongues = {f"t{i}": "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(40)) for i in range(20)}
+    rows = land(spark.createDataFrame([(n, t) for n, t in tongues.items()], "name string, text string"), "tongues")
+    for name, sample in tongues.items():
+        got = langid.identify(rows, {name: [sample], "other": ["?" * 40]}).collect()
+        assert {r.name: r.lang_pred for r in got}[name] == name
+        assert {r.lang_pred for r in got} <= {name, "other"}
+
+
+def test_hexagrams_are_no_letters_and_dropped_languages_are_named(spark):
+    assert langid.identify(
+        spark.createDataFrame([("\u4dc0\u4dff \u4dc1",)], "text string"), {"en": ["abc"]}
+    ).first().lang_pred == "und"
+    rows = spark.createDataFrame([("one text", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.warns(UserWarning, match="l3"):
+        assert set(langid.sample_languages(rows, max_languages=3)) == {"l0", "l1", "l2"}
+
+
 def test_rare_language_beside_short_texts_of_a_frequent_one(spark):
     frequent = spark.range(40_000).select(F.lit("en").alias("lang"), F.concat(F.lit("text "), F.sha1(F.col("id").cast("string"))).alias("text"))
     rare = spark.range(200).select(F.lit("xx").alias("lang"), F.concat(F.lit("rare "), F.sha1(F.col("id").cast("string"))).alias("text"))
