@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm import ann, bpe, chat, forest, langid, packing, pii, simhash, suffixtree, warc
+from mixloom.llm import (
+    ann, bpe, chat, forest, langid, packing, pii, simhash, spfhp, suffixtree, variants, warc, whitening,
+)
 from mixloom.llm.common import land, table
 from mixloom.session import landing_path
 
@@ -158,3 +160,31 @@ def op9(spark, sf_dir):
 )
 def op10(spark, sf_dir):
     return forest.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_polynomial_whitening")
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors)
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return (
+        whitening.whiten(vectors, model)
+        .select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+        .select(
+            "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+            "whitened", F.get(explained, F.col("at")).alias("explained"),
+            F.lit(model.identity_error).alias("identity_error"),
+        )
+    )
+
+
+@query("op12_partenum_variants")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = land(variants.count_words(docs, spoil=F.col("doc_id")), "words")
+    return variants.group_variants(words)
+
+
+@query("op13_shortest_pack_histogram")
+def op13(spark, sf_dir):
+    return spfhp.pack_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
