@@ -17,10 +17,12 @@ from mixloom.session import landing_path
 from mixloom.sources.annotations import (
     explode_documents,
     read_annotations,
+    read_large_annotations,
     to_documents,
     write_annotations,
+    write_large_annotations,
 )
-from mixloom.sources.history import read_history, write_history
+from mixloom.sources.history import read_history, read_whole_history, write_history, write_whole_history
 from mixloom.sources.points import parse_points, read_points, write_points
 from mixloom.sources.scales import read_scales, write_scales
 
@@ -247,13 +249,13 @@ def augment_count(spark, sf_dir):
 # ---------------------------------------------------------------- annotations
 
 
-@query(
-    "s06_annotations_nested",
-    """SELECT CASE WHEN l_linestatus = 'F' THEN 'val' ELSE 'train' END AS split,
+_NESTED = """SELECT CASE WHEN l_linestatus = 'F' THEN 'val' ELSE 'train' END AS split,
   l_orderkey * 8 + l_linenumber AS id, l_orderkey AS image_id, p_type AS category, l_quantity AS area,
   round(l_tax * 100, 6) AS w, round(l_discount * 100, 6) AS h, CAST(l_linenumber % 2 AS INT) AS iscrowd
-FROM lineitem JOIN part ON l_partkey = p_partkey""",
-)
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+@query("s06_annotations_nested", _NESTED)
 def annotations_nested(spark, sf_dir):
     path = landing_path(spark, "annotations")
     documents = to_documents(
@@ -267,6 +269,20 @@ def annotations_nested(spark, sf_dir):
     )
 
 
+@query("s06_annotations_one_document", _NESTED)
+def annotations_one_document(spark, sf_dir):
+    """Each split one JSON document, written in parts and read by byte ranges."""
+    path = landing_path(spark, "documents")
+    categories, rows = V.categories(spark, sf_dir), V.annotations(spark, sf_dir)
+    paths = {s: f"{path}/split={s}" for s in V.SPLITS}
+    for split, folder in paths.items():
+        write_large_annotations(categories, rows.where(F.col("split") == split), folder)
+    cats, anns = read_large_annotations(spark, paths, joined=True)
+    return feat.box_sides(feat.annotations_of(anns, cats)).select(
+        "split", "id", "image_id", "category", "area", rounded("w"), rounded("h"), "iscrowd"
+    )
+
+
 @query(
     "s06_category_list",
     f"SELECT id, name FROM ({O.CATEGORIES})",
@@ -456,6 +472,15 @@ def history_json(spark, sf_dir):
     )
 
 
+@query("s07_history_one_object", _HISTORY_OUT)
+def history_one_object(spark, sf_dir):
+    """Three objects of whole lists, written in parts and read by byte ranges."""
+    path = landing_path(spark, "history")
+    placed = with_positions(_history(spark, sf_dir), "category", ["split_rank", *V.BOX_ORDER])
+    write_whole_history(placed, path)
+    return read_whole_history(spark, path).select("category", "pos", rounded("wh"), rounded("hw"), "area")
+
+
 @query(
     "p03_reconstruct_sides",
     f"""SELECT {O.BOX_ORDER}, category, round(sqrt(area_segm / inverse_ratio), 6) AS w,

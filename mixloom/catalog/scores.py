@@ -10,7 +10,8 @@ from mixloom.catalog.registry import query, rounded
 from mixloom.operators import scoring as S
 from mixloom.operators.report import with_anchor
 from mixloom.session import landing_path
-from mixloom.sources.models import read_labels, save_labels
+from mixloom.sources.models import read_labels, save_labels, write_label_lines
+from mixloom.sources.points import read_labelled_points, write_points
 from mixloom.streaming.scoring import score_stream
 
 
@@ -132,6 +133,23 @@ def labels_text(spark, sf_dir):
     return read_labels(spark, path, fmt="text")
 
 
+@query(
+    "j05_labels_by_line",
+    O.scored() + "SELECT row_number() OVER (ORDER BY id) - 1 AS point_id, round(x, 6) AS x, round(y, 6) AS y, "
+    "CAST(k AS INT) AS component FROM lab",
+)
+def labels_by_line(spark, sf_dir):
+    """Points and keyless labels from files that are cut differently, matched by line."""
+    path = landing_path(spark, "lines")
+    labelled, _ = _labelled(spark, sf_dir)
+    ordered = labelled.repartitionByRange(5, "point_id").sortWithinPartitions("point_id")
+    write_points(ordered, f"{path}/points", fmt="text")
+    write_label_lines(labelled, f"{path}/labels")
+    return read_labelled_points(spark, f"{path}/points", f"{path}/labels", n_cols=2).select(
+        "point_id", rounded("x"), rounded("y"), "component"
+    )
+
+
 @query(
     "p11_component_points",
     O.scored() + "SELECT id AS point_id, round(x, 6) AS x, round(y, 6) AS y FROM lab WHERE k = 1",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mixloom.functions import kernels
 from mixloom.schemas import ANNOTATION_DOCUMENT, ANNOTATIONS, CATEGORIES
 from mixloom.session import land
+from mixloom.sources.ranges import read_elements
 
 MAX_SPLITS = 1_000
 
@@ -21,8 +22,9 @@ def read_annotations(
 
     ``splits`` maps a split name to its documents: a file, a folder or a glob of
     shards, each with its own category and annotation lists, one document per line.
-    A document that spans lines needs ``multi_line`` and is read by one task, so
-    large splits should not come that way. Crowd annotations are kept.
+    A document that spans lines needs ``multi_line`` and is read by one task; for a
+    split that is one large document see ``read_large_annotations``. Crowd
+    annotations are kept.
     """
     reader = spark.read.schema(ANNOTATION_DOCUMENT).option("mode", "FAILFAST")
     documents = reduce(
@@ -37,6 +39,57 @@ def read_annotations(
     return explode_documents(documents)
 
 
+def read_large_annotations(
+    spark: SparkSession, splits: dict[str, str], joined: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """As ``read_annotations``, for documents of any size on one line or on many.
+
+    Tasks read byte ranges of a document and find the elements of its two arrays
+    themselves, so a single file is read by as many tasks as it has ranges
+    (``spark.sql.files.maxPartitionBytes``). ``joined`` takes the files of a split, in the
+    order of their names, as parts of one document. A malformed element raises, and
+    so does a document that does not close.
+    """
+    frames = []
+    for split, path in splits.items():
+        elements = read_elements(spark, path, ["categories", "annotations"], joined)
+        frames.append(elements.withColumn("split", F.lit(split)))
+    elements = reduce(DataFrame.unionByName, frames)
+
+    def parsed(key: str, kind: str) -> DataFrame:
+        record = kind.removeprefix("array<").removesuffix(">")
+        found = F.from_json("value", record, {"mode": "FAILFAST"}).alias("r")
+        return elements.where(F.col("key") == key).select("split", found).select("split", "r.*")
+
+    categories = land(parsed("categories", CATEGORIES).drop("split").distinct(), "categories")
+    return categories, parsed("annotations", ANNOTATIONS)
+
+
+def write_large_annotations(categories: DataFrame, annotations: DataFrame, path: str, mode: str = "error") -> None:
+    """One document, as text parts whose names give their order.
+
+    Every task writes its own run of elements; joined one after another the parts are
+    the document. Lines end elements, which JSON takes as space.
+    """
+    def texts(rows: DataFrame, columns: list[str], rank: int) -> DataFrame:
+        body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        return rows.select(F.lit(rank).alias("rank"), body.alias("value"))
+
+    spark = annotations.sparkSession
+    marks = [(0, '{"categories":['), (2, '],"annotations":['), (4, "]}")]
+    rows = (
+        spark.createDataFrame(marks, "rank int, value string")
+        .union(texts(categories, ["id", "name"], 1))
+        .union(texts(annotations, ["id", "image_id", "category_id", "area", "bbox", "iscrowd"], 3))
+    )
+    rows = land(rows.withColumn("at", F.monotonically_increasing_id()), "elements")
+    # the first element of an array has no comma before it; marks are alone in their rank
+    first = {r["rank"]: r["at"] for r in rows.groupBy("rank").agg(F.min("at").alias("at")).collect()}
+    lead = F.when(F.col("at").isin(list(first.values())), "").otherwise(",")
+    ranged = rows.repartitionByRange("rank", "at").sortWithinPartitions("rank", "at")
+    ranged.select(F.concat(lead, "value")).write.mode(mode).text(path)
+
+
 def explode_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two tables held by documents ``(split, categories, annotations)``.
 

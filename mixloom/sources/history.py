@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixloom.schemas import HISTORY_CHUNK, HISTORY_WHOLE
+from mixloom.sources.ranges import read_lists
 
 VALUES = ("wh", "hw", "area")
 
@@ -41,8 +42,8 @@ def write_history(
 def to_whole_json(history: DataFrame) -> DataFrame:
     """The three single-object documents ``(name, value)``.
 
-    The format holds everything in one string, so this is for small histories
-    only; ``write_history`` is the form that scales.
+    Everything is in one string, so this is for small histories only;
+    ``write_whole_history`` writes the same objects in parts.
     """
     lists = history.groupBy("category").agg(
         F.sort_array(F.collect_list(F.struct("pos", *VALUES))).alias("_run")
@@ -101,3 +102,55 @@ def read_history(
         (F.col("start") + F.col("_i")).alias("pos"),
         *[F.col("_v").getField(v).alias(v) for v in VALUES],
     )
+
+
+def write_whole_history(history: DataFrame, path: str, mode: str = "error") -> None:
+    """Write ``(category, pos, wh, hw, area)`` as the three objects ``{category: [..]}``.
+
+    Each value name gets a folder of text parts; joined in the order of their names
+    they are one JSON object, with line ends for spaces. Parts are ranges of category
+    and position, so a category that holds most values is spread over many. Positions
+    must count from 0 in each category without gaps; an empty history writes ``{}``.
+    """
+    spark = history.sparkSession
+    bounds = history.agg(
+        F.min("category"), F.max(F.struct("category", "pos")), F.count(F.when(F.col("category").isNull(), 1))
+    ).first()
+    if bounds[2]:
+        raise ValueError("a category without a name cannot be written")
+    if bounds[1] is None:
+        for name in VALUES:
+            spark.createDataFrame([("{}",)], "value string").coalesce(1).write.mode(mode).text(f"{path}/name={name}")
+        return
+    first, last = bounds[0], bounds[1]
+    ranged = history.repartitionByRange("category", "pos").sortWithinPartitions("category", "pos")
+    # a name as JSON text, quotes and all, out of a list of one
+    quoted = F.to_json(F.array("category"))
+    opening = F.concat(
+        F.when(F.col("category") == first, "{").otherwise("],"), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":[")
+    )
+    before = F.when(F.col("pos") == 0, opening).otherwise(",")
+    is_last = (F.col("category") == last["category"]) & (F.col("pos") == last["pos"])
+    for name in VALUES:
+        text = F.coalesce(F.col(name).cast("string"), F.lit("null"))
+        line = F.concat(before, text, F.when(is_last, "]}").otherwise(""))
+        ranged.select(line.alias("value")).write.mode(mode).text(f"{path}/name={name}")
+
+
+def read_whole_history(spark: SparkSession, paths: str | dict[str, str], joined: bool = False) -> DataFrame:
+    """Read three objects ``{category: [..]}`` of any size into ``(category, pos, wh, hw, area)``.
+
+    Tasks read byte ranges cut at commas, within a list too. ``paths`` is the folder of
+    ``write_whole_history``, whose parts are joined, or a file for each value name. A
+    position missing in one list is NULL, as is a null; what is no number raises.
+    """
+    if isinstance(paths, str):
+        paths, joined = {name: f"{paths}/name={name}" for name in VALUES}, True
+    keys = ["category", "pos"]
+    first, second, third = (
+        read_lists(spark, paths[name], joined).select(
+            F.col("key").alias("category"), "pos", F.nullif(F.col("value"), F.lit("null")).cast("double").alias(name)
+        )
+        for name in VALUES
+    )
+    return first.join(second, keys, "full").join(third, keys, "full").select(*keys, *VALUES)

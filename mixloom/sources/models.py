@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mixloom.model import Mixture, as_mixture
 from mixloom.schemas import FIT_HISTORY, LABELS, MODEL, RUNS
+from mixloom.sources.ranges import numbered_lines
 
 
 def save_model(
@@ -96,6 +97,21 @@ def read_labels(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     )
 
 
+def read_label_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """``(line, component)`` of files that hold one component id a line and no key.
+
+    Also gives the number of lines. What is no whole number raises.
+    """
+    lines, count = numbered_lines(spark, path)
+    return lines.select("line", F.trim("value").cast("int").alias("component")), count
+
+
+def write_label_lines(labels: DataFrame, path: str, order: str = "point_id", mode: str = "error") -> None:
+    """One component id a line, in the order of the ids over all parts."""
+    ranged = labels.repartitionByRange(order).sortWithinPartitions(order)
+    ranged.select(F.col("component").cast("string")).write.mode(mode).text(path)
+
+
 def append_history(history: DataFrame, path: str) -> None:
     """Append epochs ``(run_id, epoch, loglik, seconds)``."""
     history.coalesce(1).write.mode("append").parquet(path)

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixloom.sources.models import read_label_lines
+from mixloom.sources.ranges import numbered_lines
+
 _AXES = ("x", "y")
 
 
@@ -77,6 +80,22 @@ def parse_points(lines: DataFrame, n_cols: int | None = None, mode: str = "failf
     return good, rejected.select("point_id", "line", "reason")
 
 
+def read_labelled_points(
+    spark: SparkSession, points: str, labels: str, n_cols: int | None = None
+) -> DataFrame:
+    """Points and the labels that stand on the same lines of other files.
+
+    ``point_id`` is the number of the line. The two may be cut into files and byte ranges
+    in any way; unequal numbers of lines raise, and so does a bad line.
+    """
+    lines, n_points = numbered_lines(spark, points)
+    components, n_labels = read_label_lines(spark, labels)
+    if n_points != n_labels:
+        raise ValueError(f"{n_points} points and {n_labels} labels")
+    parsed = parse_points(lines.select(F.col("line").alias("point_id"), F.col("value").alias("line")), n_cols)
+    return parsed.join(components.withColumnRenamed("line", "point_id"), "point_id")
+
+
 def ingest_points(
     spark: SparkSession, path: str, landed: str, n_cols: int | None = None
 ) -> DataFrame:
