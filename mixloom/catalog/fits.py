@@ -17,7 +17,7 @@ from mixloom.operators.scaling import compute_scales, fix_scales, minmax_scale
 from mixloom.operators.starts import initial_mixture, initial_model, sample_starts
 from mixloom.plans import kmeans as KM
 from mixloom.plans.em import em_step, fit_em
-from mixloom.plans.minibatch import fit_minibatch
+from mixloom.plans.minibatch import BATCH_SIZE, STEPS, fit_minibatch
 from mixloom.plans.mllib import fit_mllib
 from mixloom.plans.trainers import compare_trainers, sweep
 from mixloom.session import landing_path
@@ -223,6 +223,17 @@ def minibatch_steps(spark, sf_dir):
     return model_columns(result.model_df(spark))
 
 
+@query("m06_sgd_fit", None)
+def minibatch_fit(spark, sf_dir):
+    """The whole mini-batch job: 2,500 steps of batches of 131,072 points.
+
+    The same steps in SQL take minutes; a test holds them against plain arrays.
+    """
+    points = _scaled(spark, sf_dir)
+    result = fit_minibatch(points, _start(points, K), seed=V.SEED)
+    return model_columns(result.model_df(spark))
+
+
 @query(
     "m07_kmeans_step",
     O.Fit(O.PTS_ORDERS, K)
@@ -338,10 +349,10 @@ def centroid_report(spark, sf_dir):
 _BOX_POINTS = (
     f"SELECT concat_ws(':', id, copy) AS id, x, y FROM ({O.augmented(O.BOX_SIDES, 2, V.SEED)})"
 )
-_BOX_FIT = O.Fit(_BOX_POINTS, 5).em().em()
+_BOX_FIT = O.Fit(_BOX_POINTS, 5).em_until(0.0, 50)
 
 
-@query("m11_boxes_to_report", _BOX_FIT.sql(_report_sql("m2", 3, points=_BOX_POINTS)))
+@query("m11_boxes_to_report", _BOX_FIT.sql(_report_sql(_BOX_FIT.model, 3, points=_BOX_POINTS)))
 def boxes_to_report(spark, sf_dir):
     """The whole way: boxes, sides, jittered copies, scales, starts, fit, report."""
     history = category_history(
@@ -359,16 +370,21 @@ def boxes_to_report(spark, sf_dir):
     copies = spark.read.parquet(path)
     scales = fix_scales(compute_scales(copies))
     points = minmax_scale(copies, scales)
-    result = fit_em(points, _start(points, 5), max_iter=2)
+    result = fit_em(points, _start(points, 5), max_iter=50)
     return _report_columns(component_report(result.model_df(spark), scales), 3)
 
 
+def _warm(points: str, k: int, kmeans_rounds: int = 300, rounds: int = 100) -> O.Fit:
+    return O.Fit(points, k).lloyd_until(1e-4, kmeans_rounds).hard_moments(1e-6).em_until(1e-5, rounds, 1e-6)
+
+
 def _comparison_sql() -> str:
     fits = {
         "em": _epochs(50),
         "em_mllib": _epochs(50),
-        "sgd": _minibatch_fit(2),
-        "kmeans": O.Fit(O.PTS_ORDERS, K).lloyd().lloyd().hard_moments(),
+        "sgd": O.Fit(O.PTS_ORDERS, K).minibatch_walk(50, BATCH_SIZE, 0.5, 100.0, V.SEED),
+        "kmeans": O.Fit(O.PTS_ORDERS, K).lloyd_until(1e-4).hard_moments(),
+        "em_warm": _warm(O.PTS_ORDERS, K),
     }
     return " UNION ALL ".join(
         f"SELECT * FROM ({fit.sql(_report_sql(fit.model, 3, name))})" for name, fit in fits.items()
@@ -377,19 +393,20 @@ def _comparison_sql() -> str:
 
 @query("m12_trainer_comparison", _comparison_sql())
 def comparison(spark, sf_dir):
+    """All trainers from one start: EM over 50 epochs, k-means and warm EM to their
+    tolerances, as many mini-batch steps as EM has epochs."""
     raw = V.pts_orders(spark, sf_dir)
     scales = fix_scales(compute_scales(raw))
     points = minmax_scale(raw, scales).persist()
     report = compare_trainers(
         points,
-        ["em", "em_mllib", "sgd", "kmeans"],
+        ["em", "em_mllib", "sgd", "kmeans", "em_warm"],
         _start(points, K),
         scales,
         {
             "em": {"max_iter": 50},
             "em_mllib": {"max_iter": 50},
-            "sgd": {"steps": 2, "batch_size": 4096, "seed": V.SEED},
-            "kmeans": {"max_iter": 2, "tol": 0.0},
+            "sgd": {"steps": 50, "seed": V.SEED},
         },
     )
     points.unpersist()
@@ -397,7 +414,7 @@ def comparison(spark, sf_dir):
 
 
 _GRID = [
-    {"trainer": t, "k": k, "aug": a} for a in (0, 1) for k in (2, 3) for t in ("em", "kmeans")
+    {"trainer": t, "k": k, "aug": a} for a in (0, 1) for k in (2, 3, 7) for t in ("em", "kmeans", "em_warm")
 ]
 
 
@@ -409,15 +426,17 @@ def _sweep_sql() -> str:
             f"SELECT id * {aug + 1} + copy AS id, x, y FROM "
             f"({O.augmented(O.PTS_PIXELS, aug, V.SEED)})"
         )
-        fit = O.Fit(points, g["k"])
         if g["trainer"] == "em":
-            fit.em().em()
+            fit, epochs = O.Fit(points, g["k"]).em_until(0.0, 50), "50"
+        elif g["trainer"] == "kmeans":
+            fit = O.Fit(points, g["k"]).lloyd_until(1e-4, 50).hard_moments()
+            epochs = "(SELECT max(round) FROM walk)"
         else:
-            fit.lloyd().lloyd().hard_moments()
+            fit, epochs = _warm(points, g["k"], 50, 50), "(SELECT max(round) FROM climb)"
         fit.loglik()
         body = fit.sql(
             f"SELECT '{g['trainer']}' AS trainer, CAST({g['k']} AS INT) AS k, CAST({aug} AS INT) AS aug, "
-            "(SELECT count(*) FROM p) AS n_points, CAST(2 AS INT) AS epochs, round(loglik, 4) AS loglik FROM closing"
+            f"(SELECT count(*) FROM p) AS n_points, CAST({epochs} AS INT) AS epochs, round(loglik, 4) AS loglik FROM closing"
         )
         parts.append(f"SELECT * FROM ({body})")
     return " UNION ALL ".join(parts)
@@ -425,13 +444,11 @@ def _sweep_sql() -> str:
 
 @query("m13_sweep", _sweep_sql())
 def scalability_sweep(spark, sf_dir):
-    """Every fit of the grid, through the run log."""
-    runs = sweep(
-        V.pts_pixels(spark, sf_dir),
-        _GRID,
-        V.SEED,
-        {"em": {"max_iter": 2}, "kmeans": {"max_iter": 2, "tol": 0.0}},
-    )
+    """Every fit of the grid over 50 epochs and shared passes, through the run log."""
+    options = {
+        "em": {"max_iter": 50}, "kmeans": {"max_iter": 50}, "em_warm": {"kmeans_iter": 50, "max_iter": 50},
+    }
+    runs = sweep(V.pts_pixels(spark, sf_dir), _GRID, V.SEED, options)
     path = landing_path(spark, "runs")
     append_runs(runs, path)
     return read_runs(spark, path).select("trainer", "k", "aug", "n_points", "epochs", rounded("loglik", 4))

@@ -235,6 +235,32 @@ FROM {r} r JOIN {self.model} m ON r.k = m.k GROUP BY m.k, m.w, m.mx, m.my, m.sxx
         self.steps += 1
         return self
 
+    def minibatch_walk(self, steps: int, batch_size: int, rate: float, decay: float, seed: int) -> "Fit":
+        """All steps of a mini-batch fit; ``stride`` has every step."""
+        self.recursive()
+        self.add("nb", f"SELECT ceil(count(*) / {batch_size}.0)::BIGINT AS nb FROM p")
+        batch = digest_word(f"md5(concat_ws(':', id, {seed}, step // nb))", 0)
+        self.add(
+            "stride",
+            f"""SELECT 0 AS step, k, w, mx, my, sxx, sxy, syy FROM {self.model}
+UNION ALL
+SELECT step + 1, k, v / sum(v) OVER (), mx + eta * dx, my + eta * dy, (1 - eta * share) * sxx + eta * dxx,
+  (1 - eta * share) * sxy + eta * dxy, (1 - eta * share) * syy + eta * dyy
+FROM (SELECT *, exp(ln(w) + eta * (share - w)) AS v FROM (
+  SELECT step, k, w, mx, my, sxx, sxy, syy, {rate} / (1 + step / {decay}::DOUBLE) AS eta, avg(r) AS share,
+    avg(r * (x - mx)) AS dx, avg(r * (y - my)) AS dy, avg(r * (x - mx) * (x - mx)) AS dxx,
+    avg(r * (x - mx) * (y - my)) AS dxy, avg(r * (y - my) * (y - my)) AS dyy
+  FROM (SELECT *, g / sum(g) OVER (PARTITION BY id) AS r
+    FROM (SELECT *, w / (2 * pi() * sqrt(sxx * syy - sxy * sxy)) * exp(-0.5 * (
+        (x - mx) * (x - mx) * syy - 2 * (x - mx) * (y - my) * sxy + (y - my) * (y - my) * sxx)
+        / (sxx * syy - sxy * sxy)) AS g
+      FROM p, stride, nb
+      WHERE step < {steps} AND CASE WHEN nb = 1 THEN true ELSE {batch} % nb = step % nb END))
+  GROUP BY step, k, w, mx, my, sxx, sxy, syy))""",
+        )
+        self.model = self.add("ms", f"SELECT * FROM stride WHERE step = {steps}")
+        return self
+
     def loglik(self, name: str = "closing") -> str:
         """Log-likelihood of the current model as ``name(loglik)``."""
         r = self.shares(name, "p", self.model)
@@ -242,7 +268,7 @@ FROM {r} r JOIN {self.model} m ON r.k = m.k GROUP BY m.k, m.w, m.mx, m.my, m.sxx
 
     def sql(self, final: str) -> str:
         # a recursive table cannot be told to be materialised
-        ctes = ",\n".join(f"{n} AS {'' if n in ('walk', 'climb') else 'MATERIALIZED '}(\n{b}\n)" for n, b in self.parts)
+        ctes = ",\n".join(f"{n} AS {'' if n in ('walk', 'climb', 'stride') else 'MATERIALIZED '}(\n{b}\n)" for n, b in self.parts)
         return f"WITH {ctes}\n{final}"
 
     def model_sql(self, digits: int = 6) -> str:

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 
 BLOCK_SCHEMA = "n int, block binary"
 KEYED_BLOCK_SCHEMA = "key bigint, n int, block binary"
-STATS_SCHEMA = "component int, term int, value double"
+STATS_SCHEMA = "model int, component int, term int, value double"
 
 # component number of rows that belong to the whole data set
 WHOLE = -1
@@ -120,85 +120,108 @@ def nest_batches(per_list: int):
     return nest
 
 
-def fold_blocks(whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, hard: bool):
-    """Task function: packed blocks or points -> the partition's sums per component.
+class Fold:
+    """Sums of points per component of one model.
 
-    For each component the sums of r, r*z and r*z*z' are returned, z being the
-    point whitened by that component. ``hard`` gives each point to its most
-    likely component (lowest number on ties) instead of sharing it out.
+    For each component the sums of r, r*z and r*z*z' are kept, z being the point
+    whitened by that component. ``hard`` gives each point to its most likely
+    component (lowest number on ties) instead of sharing it out.
     """
-    k, d = means.shape
-    flat = whiten.reshape(k * d, d)
-    # distances are taken from the middle of the means, so that data far from zero
-    # lose no digits
-    middle = means.mean(axis=0)
-    shift = np.einsum("kij,kj->ki", whiten, means - middle).reshape(k * d, 1)
-    upper = np.triu_indices(d)
-    # points per slice, so that the temporaries of a slice stay in cache
-    step = max(256, (1 << 15) // (k * d))
-
-    def whitened(x):
-        if d > 4:
-            z = flat @ x
+
+    def __init__(self, whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, hard: bool):
+        self.k, self.d = k, d = means.shape
+        self.flat = whiten.reshape(k * d, d)
+        self.constant, self.hard = constant, hard
+        # distances are taken from the middle of the means, so that data far from zero
+        # lose no digits
+        self.middle = means.mean(axis=0)
+        self.shift = np.einsum("kij,kj->ki", whiten, means - self.middle).reshape(k * d, 1)
+        # points per slice, so that the temporaries of a slice stay in cache
+        self.step = max(256, (1 << 15) // (k * d))
+        self.weight = np.zeros(k)
+        self.first = np.zeros((k, d))
+        self.second = np.zeros((k, d, d))
+        self.total = 0.0
+        self.count = 0
+
+    def _whitened(self, x):
+        if self.d > 4:
+            z = self.flat @ x
         else:  # plain products beat a matrix product this thin
-            z = flat[:, :1] * x[0]
-            for axis in range(1, d):
-                z += flat[:, axis : axis + 1] * x[axis]
-        z -= shift
-        return z.reshape(k, d, -1)
+            z = self.flat[:, :1] * x[0]
+            for axis in range(1, self.d):
+                z += self.flat[:, axis : axis + 1] * x[axis]
+        z -= self.shift
+        return z.reshape(self.k, self.d, -1)
+
+    def add(self, x: np.ndarray) -> None:
+        """Add the points of a (d, n) matrix."""
+        if x.shape[0] != self.d:
+            raise ValueError(f"points have {x.shape[0]} dimensions, the model has {self.d}")
+        for lo in range(0, x.shape[1], self.step):
+            part = x[:, lo : lo + self.step] - self.middle[:, None]
+            z = self._whitened(part)
+            score = self.constant[:, None] - 0.5 * np.einsum("kdn,kdn->kn", z, z)
+            top = score.max(axis=0)
+            if self.hard:
+                share = np.zeros_like(score)
+                share[score.argmax(axis=0), np.arange(score.shape[1])] = 1.0
+                self.total += float(top.sum())
+            else:
+                share = np.exp(score - top)
+                norm = share.sum(axis=0)
+                share /= norm
+                self.total += float((top + np.log(norm)).sum())
+            weighted = z * share[:, None, :]
+            self.weight += share.sum(axis=1)
+            self.first += weighted.sum(axis=2)
+            self.second += weighted @ z.transpose(0, 2, 1)
+            self.count += part.shape[1]
+
+    def table(self) -> np.ndarray:
+        """(K, 1 + d + d(d+1)/2): a row of sums for each component."""
+        upper = np.triu_indices(self.d)
+        return np.concatenate(
+            [self.weight[:, None], self.first, self.second[:, upper[0], upper[1]]], axis=1
+        )
+
+
+def fold_blocks(models: list[tuple]):
+    """Task function: packed blocks or points -> the partition's sums of every model.
+
+    ``models`` holds the arguments of a ``Fold`` each; one pass serves them all.
+    """
 
     def fold(batches):
-        weight = np.zeros(k)
-        first = np.zeros((k, d))
-        second = np.zeros((k, d, d))
-        total = 0.0
-        count = 0
+        folds = [Fold(*m) for m in models]
         for batch in batches:
             for x in _matrices(batch):
-                if x.shape[0] != d:
-                    raise ValueError(
-                        f"points have {x.shape[0]} dimensions, the model has {d}"
-                    )
-                for lo in range(0, x.shape[1], step):
-                    part = x[:, lo : lo + step] - middle[:, None]
-                    z = whitened(part)
-                    score = constant[:, None] - 0.5 * np.einsum("kdn,kdn->kn", z, z)
-                    top = score.max(axis=0)
-                    if hard:
-                        share = np.zeros_like(score)
-                        share[score.argmax(axis=0), np.arange(score.shape[1])] = 1.0
-                        total += float(top.sum())
-                    else:
-                        share = np.exp(score - top)
-                        norm = share.sum(axis=0)
-                        share /= norm
-                        total += float((top + np.log(norm)).sum())
-                    weighted = z * share[:, None, :]
-                    weight += share.sum(axis=1)
-                    first += weighted.sum(axis=2)
-                    second += weighted @ z.transpose(0, 2, 1)
-                    count += part.shape[1]
-        if not count:
-            return
-        per_component = np.concatenate(
-            [weight[:, None], first, second[:, upper[0], upper[1]]], axis=1
-        )
-        terms = per_component.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(
-                    np.concatenate([np.repeat(np.arange(k), terms), [WHOLE, WHOLE]]),
-                    pa.int32(),
-                ),
-                pa.array(
-                    np.concatenate([np.tile(np.arange(terms), k), [0, 1]]), pa.int32()
-                ),
-                pa.array(np.concatenate([per_component.ravel(), [total, count]])),
-            ],
-            names=["component", "term", "value"],
-        )
+                for f in folds:
+                    f.add(x)
+        for number, f in enumerate(folds):
+            if not f.count:
+                return
+            table = f.table()
+            k, terms = table.shape
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(k * terms + 2, number), pa.int32()),
+                    pa.array(np.concatenate([np.repeat(np.arange(k), terms), [WHOLE, WHOLE]]), pa.int32()),
+                    pa.array(np.concatenate([np.tile(np.arange(terms), k), [0, 1]]), pa.int32()),
+                    pa.array(np.concatenate([table.ravel(), [f.total, f.count]])),
+                ],
+                names=["model", "component", "term", "value"],
+            )
 
     return fold
 
 
+def keyed_matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates (d, n) and the step of each point in each epoch (n, epochs)."""
+    n = batch.num_rows
+    steps = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
+    rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+    return _columns_to_matrix(rest), steps.reshape(n, -1)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

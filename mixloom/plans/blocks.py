@@ -97,33 +97,47 @@ class Sums:
     second: np.ndarray  # (K, d, d) sum r * (x - mean)(x - mean)'
 
 
-def sum_blocks(blocks: DataFrame, model: Mixture, hard: bool = False) -> Sums:
-    """One pass over the points: per-task partial sums, then a sum by term.
+def sum_many(blocks: DataFrame, models: list[tuple[Mixture, bool]]) -> list[Sums]:
+    """One pass over the points for all models: per-task partial sums, then a sum by term.
 
-    A task emits ``K * (1 + d + d(d+1)/2) + 2`` rows whatever its size, and the
+    Each model comes with whether points are given to their nearest component only.
+    A task emits ``K * (1 + d + d(d+1)/2) + 2`` rows a model whatever its size, and the
     shuffle key has that many values, so no group grows with the data.
     """
-    whiten, constant = model.whitening()
+    arguments = []
+    for model, hard in models:
+        whiten, constant = model.whitening()
+        arguments.append((whiten, model.means, constant, hard))
     rows = (
-        blocks.mapInArrow(
-            kernels.fold_blocks(whiten, model.means, constant, hard),
-            kernels.STATS_SCHEMA,
-        )
-        .groupBy("component", "term")
+        blocks.mapInArrow(kernels.fold_blocks(arguments), kernels.STATS_SCHEMA)
+        .groupBy("model", "component", "term")
         .agg(F.sum("value").alias("value"))
         .toArrow()
     )
     if not rows.num_rows:
         raise NoPoints("there are no points to fit")
-    component, term, value = (rows[c].to_numpy() for c in ("component", "term", "value"))
-    k, d = model.means.shape
-    table = np.zeros((k, 1 + d + d * (d + 1) // 2))
-    whole = np.zeros(2)
-    own = component != kernels.WHOLE
-    table[component[own], term[own]] = value[own]
-    whole[term[~own]] = value[~own]
+    number, component, term, value = (rows[c].to_numpy() for c in ("model", "component", "term", "value"))
+    out = []
+    for i, (model, _) in enumerate(models):
+        own, whole = (number == i) & (component != kernels.WHOLE), np.zeros(2)
+        table = np.zeros((model.k, 1 + model.d + model.d * (model.d + 1) // 2))
+        table[component[own], term[own]] = value[own]
+        rest = (number == i) & ~own
+        whole[term[rest]] = value[rest]
+        out.append(unwhitened(table, whole, model))
+    return out
+
+
+def sum_blocks(blocks: DataFrame, model: Mixture, hard: bool = False) -> Sums:
+    """One pass over the points for one model."""
+    return sum_many(blocks, [(model, hard)])[0]
+
+
+def unwhitened(table: np.ndarray, whole: np.ndarray, model: Mixture) -> Sums:
+    """A model's sums from the rows of its components and (log-likelihood, points)."""
     if not np.isfinite(table).all() or not np.isfinite(whole).all():
         raise ValueError("points hold NULL or NaN coordinates; filter them first")
+    k, d = model.means.shape
     upper = np.triu_indices(d)
     packed_second = table[:, 1 + d :]
     second = np.zeros((k, d, d))

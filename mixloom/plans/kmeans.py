@@ -14,7 +14,7 @@ from mixloom.functions import kernels
 from mixloom.model import DegenerateComponent, Mixture
 from mixloom.operators.vectors import is_array, to_features, to_vectors
 from mixloom.plans.blocks import XY, Sums, for_one_pass, packed, sum_blocks
-from mixloom.plans.em import Epoch, FitResult, fit_em
+from mixloom.plans.em import Epoch, FitResult, Rounds, em_rounds, run_alone
 
 # rounds after which a search for centres that still move is given up
 MAX_ROUNDS = 300
@@ -25,11 +25,10 @@ def _spheres(centres: np.ndarray) -> Mixture:
     return Mixture.at_points(centres)
 
 
-def _lloyd(blocks: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, Sums]:
-    sums = sum_blocks(blocks, _spheres(centres), hard=True)
+def _moved(centres: np.ndarray, sums: Sums) -> np.ndarray:
     owned = np.maximum(sums.weight, 1.0)[:, None]
     # a centre without points stays where it is (its sums are zero)
-    return centres + sums.first / owned, sums
+    return centres + sums.first / owned
 
 
 def inertia(sums: Sums) -> float:
@@ -55,8 +54,30 @@ def library_centres(
 
 def kmeans_step(points: DataFrame, centres, cols=XY) -> tuple[np.ndarray, float]:
     """One Lloyd step: new centres and the inertia under the given ones."""
-    moved, sums = _lloyd(for_one_pass(points, cols), np.asarray(centres, dtype=float))
-    return moved, inertia(sums)
+    centres = np.asarray(centres, dtype=float)
+    sums = sum_blocks(for_one_pass(points, cols), _spheres(centres), hard=True)
+    return _moved(centres, sums), inertia(sums)
+
+
+def kmeans_rounds(centres, max_iter: int = MAX_ROUNDS, tol: float = 1e-4) -> Rounds:
+    """The rounds of ``fit_kmeans`` from given centres."""
+    centres = np.asarray(centres.means if isinstance(centres, Mixture) else centres, dtype=float)
+    history: list[Epoch] = []
+    converged = False
+    for epoch in range(1, max_iter + 1):
+        begun = time.perf_counter()
+        sums = yield _spheres(centres), True
+        moved = _moved(centres, sums)
+        history.append(Epoch(epoch, inertia(sums), time.perf_counter() - begun))
+        shift = float(np.sqrt(((moved - centres) ** 2).sum(axis=1)).max())
+        centres = moved
+        if tol > 0 and shift <= tol:
+            converged = True
+            break
+    mixture, count = _hard_mixture((yield _spheres(centres), True), centres, 0.0)
+    return FitResult(
+        mixture, history, count, converged, trainer="kmeans", extra={"centres": centres}
+    )
 
 
 def fit_kmeans(
@@ -82,31 +103,12 @@ def fit_kmeans(
             raise ValueError("give k or start centres")
         centres = library_centres(points, k, seed, cols)
     else:
-        centres = np.asarray(
-            start.means if isinstance(start, Mixture) else start, dtype=float
-        )
-    history: list[Epoch] = []
-    converged = False
+        centres = start
     with packed(points, cols, storage, spread) as blocks:
-        for epoch in range(1, max_iter + 1):
-            begun = time.perf_counter()
-            moved, sums = _lloyd(blocks, centres)
-            history.append(Epoch(epoch, inertia(sums), time.perf_counter() - begun))
-            shift = float(np.sqrt(((moved - centres) ** 2).sum(axis=1)).max())
-            centres = moved
-            if tol > 0 and shift <= tol:
-                converged = True
-                break
-        mixture, count = _hard_mixture(blocks, centres, 0.0)
-    return FitResult(
-        mixture, history, count, converged, trainer="kmeans", extra={"centres": centres}
-    )
+        return run_alone(blocks, kmeans_rounds(centres, max_iter, tol))
 
 
-def _hard_mixture(
-    blocks: DataFrame, centres: np.ndarray, reg_covar: float
-) -> tuple[Mixture, int]:
-    sums = sum_blocks(blocks, _spheres(centres), hard=True)
+def _hard_mixture(sums: Sums, centres: np.ndarray, reg_covar: float) -> tuple[Mixture, int]:
     owned = np.maximum(sums.weight, 1.0)
     offset = sums.first / owned[:, None]
     covs = sums.second / owned[:, None, None] - offset[:, :, None] * offset[:, None, :]
@@ -118,8 +120,31 @@ def warm_start(
     points: DataFrame, centres, reg_covar: float = 1e-6, cols=XY
 ) -> Mixture:
     """The centres as means; weights and covariances of the nearest-centre groups."""
-    frame = for_one_pass(points, cols)
-    return _hard_mixture(frame, np.asarray(centres, dtype=float), reg_covar)[0]
+    centres = np.asarray(centres, dtype=float)
+    sums = sum_blocks(for_one_pass(points, cols), _spheres(centres), hard=True)
+    return _hard_mixture(sums, centres, reg_covar)[0]
+
+
+def warm_rounds(
+    start,
+    kmeans_iter: int = MAX_ROUNDS,
+    kmeans_tol: float = 1e-4,
+    max_iter: int = 100,
+    tol: float = 1e-5,
+    reg_covar: float = 1e-6,
+) -> Rounds:
+    """The rounds of ``fit_em_warm`` from given centres."""
+    nearest = yield from kmeans_rounds(start, kmeans_iter, kmeans_tol)
+    hard = nearest.mixture
+    empty = np.flatnonzero(hard.weights <= 0.0)
+    if empty.size:
+        raise DegenerateComponent(
+            f"k-means centre {int(empty[0])} owns no point: start it elsewhere or ask for fewer"
+        )
+    warm = Mixture(hard.weights, hard.means, hard.covs + reg_covar * np.eye(hard.d))
+    result = yield from em_rounds(warm, max_iter, tol, "mean", reg_covar)
+    told = {"kmeans_converged": nearest.converged, "kmeans_epochs": nearest.epochs}
+    return replace(result, trainer="em_warm", extra=told)
 
 
 def fit_em_warm(
@@ -147,21 +172,6 @@ def fit_em_warm(
             raise ValueError("give k or start centres")
         start = library_centres(points, k, seed, cols)
     with packed(points, cols, storage, spread) as blocks:
-        nearest = fit_kmeans(blocks, start=start, max_iter=kmeans_iter, tol=kmeans_tol)
-        hard = nearest.mixture
-        empty = np.flatnonzero(hard.weights <= 0.0)
-        if empty.size:
-            raise DegenerateComponent(
-                f"k-means centre {int(empty[0])} owns no point: start it elsewhere or ask for fewer"
-            )
-        warm = Mixture(hard.weights, hard.means, hard.covs + reg_covar * np.eye(hard.d))
-        result = fit_em(
-            blocks,
-            warm,
-            max_iter=max_iter,
-            tol=tol,
-            tol_kind="mean",
-            reg_covar=reg_covar,
+        return run_alone(
+            blocks, warm_rounds(start, kmeans_iter, kmeans_tol, max_iter, tol, reg_covar)
         )
-    told = {"kmeans_converged": nearest.converged, "kmeans_epochs": nearest.epochs}
-    return replace(result, trainer="em_warm", extra=told)

@@ -1,18 +1,31 @@
-"""Stochastic mini-batch fit."""
+"""Stochastic mini-batch fit.
+
+A step moves the model along one batch of bounded size, and the next step needs that
+model: steps cannot run side by side. So a run of steps is one job that cuts their
+points out of the whole table in parallel and hands these, a bounded number, to one task
+that makes the steps one after another. Only where a single step is much work is it
+a job of its own, over landed batches.
+"""
 
 from __future__ import annotations
 
 import math
+import sys
 import time
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.functions import kernels
 from mixloom.functions.columns import digest_word, seeded_digest
-from mixloom.model import Mixture, as_mixture
-from mixloom.plans.blocks import XY, NoPoints, Sums, coordinates, sum_blocks
+from mixloom import model as model_module
+from mixloom.model import DegenerateComponent, Mixture, as_mixture
+from mixloom.plans import blocks as blocks_module
+from mixloom.plans.blocks import XY, NoPoints, Sums, coordinates, sum_blocks, unwhitened
 from mixloom.plans.em import Epoch, FitResult
 from mixloom.session import discard, landing_path
 
@@ -24,6 +37,11 @@ WAVE = 4_096
 SMALL_WAVE = 128
 # points of a batch that one task packs
 SLICE = 65_536
+# longest run of steps, and numbers that its task may hold
+RUN = 1_024
+HELD = 1 << 25
+# products of a step from which it is worth a job of its own
+HEAVY = 1 << 28
 
 
 def _land_batches(
@@ -79,6 +97,90 @@ def minibatch_update(model: Mixture, sums: Sums, rate: float) -> Mixture:
     return Mixture(weights / weights.sum(), means, covs)
 
 
+def _step_task(start: Mixture, first: int, last: int, n_batches: int, rate: float, decay: float):
+    """Task function: steps ``first .. last - 1`` from ``start``, one after another.
+
+    Rows hold coordinates and the step of the point in each epoch of the run.
+    """
+
+    def run(batches):
+        parts = [kernels.keyed_matrix(b) for b in batches if b.num_rows]
+        if not parts:
+            return
+        points = np.hstack([x for x, _ in parts])
+        steps = np.vstack([s for _, s in parts])
+        model, told, epoch, error = start, [], None, None
+        for step in range(first, last):
+            # a single batch is the same in every epoch
+            at, now = (step, step // n_batches) if n_batches > 1 else (first, first)
+            if now != epoch:  # order the points by the steps of this epoch
+                epoch = now
+                own = steps[:, epoch - first // n_batches]
+                order = np.argsort(own, kind="stable")
+                ordered, sorted_steps = points[:, order], own[order]
+            lo, hi = np.searchsorted(sorted_steps, [at, at + 1])
+            if lo == hi:  # the hash dealt this batch nothing
+                continue
+            try:
+                whiten, constant = model.whitening()
+            except DegenerateComponent as reason:
+                error = str(reason)
+                break
+            fold = kernels.Fold(whiten, model.means, constant, False)
+            fold.add(ordered[:, lo:hi])
+            found = unwhitened(fold.table(), np.array([fold.total, fold.count]), model)
+            model = minibatch_update(model, found, rate / (1 + step / decay))
+            told.append((step + 1, found.total))
+        values = np.concatenate([model.weights, model.means.ravel(), model.covs.ravel()])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([[s for s, _ in told]], pa.list_(pa.int64())),
+                pa.array([[t for _, t in told]], pa.list_(pa.float64())),
+                pa.array([values.tolist()], pa.list_(pa.float64())),
+                pa.array([error], pa.string()),
+            ],
+            names=["steps", "totals", "model", "error"],
+        )
+
+    return run
+
+
+def _run_length(n_points: int, batch_size: int, n_batches: int, d: int) -> int:
+    """Steps whose points, with a step number for each epoch, a task can hold."""
+    run = RUN
+    while run > 1 and n_batches > 1 and min(n_points, run * batch_size) * (d + run // n_batches + 2) > HELD:
+        run //= 2
+    return run
+
+
+def _run_steps(
+    points: DataFrame, coords: list[str], id_col: str, seed: int, n_batches: int, model: Mixture,
+    first: int, last: int, rate: float, decay: float,
+):
+    """Steps ``first .. last - 1`` in one job: (model, [(step, loglik)], error or None)."""
+    ids = F.col(id_col)
+    if n_batches == 1:
+        steps = F.array(F.lit(first).cast("bigint"))
+    else:
+        epochs = F.sequence(F.lit(first // n_batches), F.lit((last - 1) // n_batches))
+        steps = F.transform(
+            epochs,
+            lambda e: e.cast("bigint") * n_batches + digest_word(seeded_digest(ids, seed, e), 0) % n_batches,
+        )
+    dealt = points.select(*coords, steps.alias("_steps"))
+    if n_batches > last - first:  # most points are for other runs
+        dealt = dealt.where(F.exists("_steps", lambda s: s.between(first, last - 1)))
+    schema = "steps array<bigint>, totals array<double>, model array<double>, error string"
+    task = _step_task(model, first, last, n_batches, rate, decay)
+    rows = dealt.repartition(1).mapInArrow(task, schema).collect()
+    if not rows:
+        return model, [], None
+    k, d = model.means.shape
+    weights, means, covs = np.split(np.array(rows[0].model), [k, k + k * d])
+    moved = Mixture(weights, means.reshape(k, d), covs.reshape(k, d, d))
+    return moved, list(zip(rows[0].steps, rows[0].totals)), rows[0].error
+
+
 def fit_minibatch(
     points: DataFrame,
     start: Mixture | DataFrame,
@@ -89,16 +191,30 @@ def fit_minibatch(
     seed: int = 0,
     cols=XY,
     id_col: str = "point_id",
+    first: int = 0,
+    steps_per_job: int | None = None,
+    on_run: Callable[[int, Mixture], None] | None = None,
 ) -> FitResult:
     """Step through hashed batches; step t uses the rate ``rate / (1 + t / decay)``.
 
-    A step needs one batch only, so the batches of the coming steps are cut out
-    by one pass over the points and landed as packed blocks in a folder per
-    batch; each step then reads its own folder. Passing over all the data once takes
-    ``ceil(n / batch_size)`` steps, and a new epoch deals the points anew.
+    Passing over all the data once takes ``ceil(n / batch_size)`` steps, and a new epoch
+    deals the points anew. ``steps_per_job`` steps are one job: a pass over the points
+    picks those of these steps, and one task holds them and makes the steps. How many
+    that are by default follows from the batch size (64 steps of 131,072 points in two
+    dimensions, at most 1,024), never from the size of the table.
+
+    ``steps_per_job=1``, the default for models so large that a step is much work, lands
+    the batches of many steps as packed blocks in a folder per batch; each step is a job
+    that reads its own folder with many tasks. Both give the same models.
+
+    ``on_run`` sees the number of steps done and the model after each job (or step), e.g. to
+    save it; with that model as ``start`` and the number as ``first`` a fit goes on where
+    it was.
     """
     if not 0 < rate <= 1:
         raise ValueError("rate must lie in (0, 1]")
+    if steps_per_job is not None and steps_per_job < 1:
+        raise ValueError("steps_per_job must be at least 1")
     model = as_mixture(start)
     spark = points.sparkSession
     n_points = points.count()
@@ -107,8 +223,23 @@ def fit_minibatch(
     history: list[Epoch] = []
     # small data come round often: cut several epochs out at once, but not too many
     wave = WAVE if n_batches >= WAVE else max(n_batches, SMALL_WAVE)
-    step = 0
-    while step < steps:
+    step = first
+    if steps_per_job is None:
+        heavy = min(batch_size, n_points) * model.k * model.d**2 > HEAVY
+        steps_per_job = 1 if heavy else _run_length(n_points, batch_size, n_batches, model.d)
+    while step < steps and steps_per_job > 1:
+        last, begun = min(step + steps_per_job, steps), time.perf_counter()
+        model, told, error = _run_steps(
+            points, coords, id_col, seed, n_batches, model, step, last, rate, decay
+        )
+        each = (time.perf_counter() - begun) / (last - step)
+        history += [Epoch(number, total, each) for number, total in told]
+        if error is not None:
+            raise DegenerateComponent(f"after step {history[-1].epoch if history else step}: {error}", model, history)
+        step = last
+        if on_run is not None:
+            on_run(step, model)
+    while step < steps and steps_per_job == 1:
         last = min(step + wave, steps)
         path = landing_path(spark, "batches")
         try:
@@ -126,6 +257,13 @@ def fit_minibatch(
                     continue
                 model = minibatch_update(model, sums, rate / (1 + (step - 1) / decay))
                 history.append(Epoch(step, sums.total, time.perf_counter() - begun))
+                if on_run is not None:
+                    on_run(step, model)
         finally:
             discard(spark, path)
     return FitResult(model, history, n_points, trainer="sgd")
+
+
+# the tasks' helpers travel with them: executors need no installed copy
+for _module in (sys.modules[__name__], model_module, blocks_module):
+    cloudpickle.register_pickle_by_value(_module)

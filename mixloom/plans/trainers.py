@@ -19,9 +19,9 @@ from mixloom.operators.scaling import (
     minmax_scale,
 )
 from mixloom.operators.starts import initial_mixture, sample_starts
-from mixloom.plans.blocks import XY
-from mixloom.plans.em import FitResult, fit_em, log_likelihood
-from mixloom.plans.kmeans import fit_em_warm, fit_kmeans
+from mixloom.plans.blocks import XY, packed, sum_many
+from mixloom.plans.em import FitResult, Rounds, em_rounds, fit_em, run_together
+from mixloom.plans.kmeans import fit_em_warm, fit_kmeans, kmeans_rounds, warm_rounds
 from mixloom.plans.minibatch import fit_minibatch
 from mixloom.plans.mllib import fit_mllib
 from mixloom.schemas import RUNS
@@ -36,6 +36,9 @@ TRAINERS = {
     ),
 }
 
+# Trainers whose passes over the points can be shared.
+ROUNDS = {"em": em_rounds, "kmeans": kmeans_rounds, "em_warm": warm_rounds}
+
 # Names of single-machine variants that compute the same fit.
 ALIASES = {"seq": "em", "par": "em", "rdd": "em", "mllib": "em_mllib"}
 
@@ -56,6 +59,40 @@ def fit(
     return TRAINERS[resolve_trainer(trainer)](points, start, **options)
 
 
+def _timed(rounds: Rounds):
+    begun = time.perf_counter()
+    result = yield from rounds
+    return result, time.perf_counter() - begun
+
+
+def fit_all(
+    points: DataFrame, fits: list[tuple[str, Mixture | DataFrame, dict]], cols=XY
+) -> list[tuple[FitResult, float]]:
+    """Fits ``(trainer, start, options)`` of the same points, each with its seconds.
+
+    The points are packed once. Fits by EM, k-means and warm EM go over them together:
+    each pass sums for every fit that still goes on, so there are as many jobs as the
+    longest of them has passes, and their seconds count from the common begin. Other
+    trainers run one after another. If fits fail the others are finished, and the
+    first error is raised.
+    """
+    names = [resolve_trainer(name) for name, _, _ in fits]
+    shared = [i for i, name in enumerate(names) if name in ROUNDS]
+    results: list = [None] * len(fits)
+    with packed(points, cols) as blocks:
+        rounds = [_timed(ROUNDS[names[i]](as_mixture(fits[i][1]), **fits[i][2])) for i in shared]
+        for i, result in zip(shared, run_together(blocks, rounds)):
+            results[i] = result
+    for i, (_, start, options) in enumerate(fits):
+        if i not in shared:
+            begun = time.perf_counter()
+            results[i] = fit(points, names[i], start, cols=cols, **options), time.perf_counter() - begun
+    for result in results:
+        if isinstance(result, ValueError):
+            raise result
+    return results
+
+
 def compare_trainers(
     points: DataFrame,
     trainers: list[str],
@@ -65,21 +102,20 @@ def compare_trainers(
 ) -> DataFrame:
     """Reports of all trainers from one start, matched by the rank of a component.
 
-    ``(trainer, rank, component, weight, mean, cov, seconds)``.
+    ``(trainer, rank, component, weight, mean, cov, seconds)``; see ``fit_all``.
     """
     spark = points.sparkSession
     start = as_mixture(start)
-    reports = []
-    for name in trainers:
-        begun = time.perf_counter()
-        result = fit(points, name, start, **(options or {}).get(name, {}))
-        seconds = time.perf_counter() - begun
-        reports.append(
+    results = fit_all(points, [(name, start, (options or {}).get(name, {})) for name in trainers])
+    return reduce(
+        DataFrame.unionByName,
+        [
             component_report(result.model_df(spark), scales).select(
                 F.lit(name).alias("trainer"), "*", F.lit(seconds).alias("seconds")
             )
-        )
-    return reduce(DataFrame.unionByName, reports)
+            for name, (result, seconds) in zip(trainers, results)
+        ],
+    )
 
 
 def sweep(
@@ -93,8 +129,8 @@ def sweep(
     """Run every ``{trainer, k, aug}`` of the grid; one row per fit (schema RUNS).
 
     The points of an augmentation level are augmented, scaled and cached once
-    and serve all its fits. ``seconds`` covers the fit alone. Points with NULL
-    coordinates, a constant axis included, are refused by the fits.
+    and serve all its fits, which share their passes; see ``fit_all``. Points with
+    NULL coordinates, a constant axis included, are refused by the fits.
     """
     spark = points.sparkSession
     wanted = [g.asDict() if isinstance(g, Row) else dict(g) for g in grid]
@@ -111,14 +147,17 @@ def sweep(
             .select(id_col, *cols).persist()
         )
         n_points = scaled.count()
-        for g in (g for g in wanted if g["aug"] == aug):
-            start = initial_mixture(
-                sample_starts(scaled, g["k"], seed, cols, id_col), g["k"], cols
-            )
-            chosen = (options or {}).get(g["trainer"], {})
-            begun = time.perf_counter()
-            result = fit(scaled, g["trainer"], start, cols=cols, **chosen)
-            seconds = time.perf_counter() - begun
+        own = [g for g in wanted if g["aug"] == aug]
+        starts = {
+            k: initial_mixture(sample_starts(scaled, k, seed, cols, id_col), k, cols)
+            for k in sorted({g["k"] for g in own})
+        }
+        with packed(scaled, cols) as blocks:
+            fits = [(g["trainer"], starts[g["k"]], (options or {}).get(g["trainer"], {})) for g in own]
+            alone = any(resolve_trainer(name) not in ROUNDS for name, _, _ in fits)
+            results = fit_all(scaled if alone else blocks, fits, cols)
+            closing = sum_many(blocks, [(result.mixture, False) for result, _ in results])
+        for g, (result, seconds), sums in zip(own, results, closing):
             rows.append(
                 (
                     uuid.uuid4().hex,
@@ -129,7 +168,7 @@ def sweep(
                     spark.sparkContext.master,
                     n_points,
                     result.epochs,
-                    log_likelihood(scaled, result.mixture, cols),
+                    sums.total,
                     seconds,
                 )
             )

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -373,3 +375,7 @@ def _count_values(seen: Walk, state: State, new: State) -> None:
     begins, _ = _numbers(seen)
     last = max((end for end, *_ in seen.keys), default=-1)
     new.values = int((begins > last).sum()) + (state.values if last < 0 else 0)
+
+
+# executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

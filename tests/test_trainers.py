@@ -222,3 +222,85 @@ def test_fit_history_table(spark, blobs, start, tmp_path):
         M.append_history(fit_em(blobs, start, max_iter=2).history_df(spark, run), path)
     rows = M.read_fit_history(spark, path).orderBy("run_id", "epoch").collect()
     assert [(r.run_id, r.epoch) for r in rows] == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+
+
+def test_fits_share_their_passes(spark, blobs, start, monkeypatch):
+    from mixloom.plans import em
+    from mixloom.plans.trainers import fit_all
+
+    jobs = []
+    counted = em.sum_many
+    monkeypatch.setattr(em, "sum_many", lambda blocks, models: jobs.append(len(models)) or counted(blocks, models))
+    two = Mixture.at_points([[0.2, 0.2], [0.8, 0.8]])
+    wanted = [("em", start, {"max_iter": 9}), ("kmeans", two, {"max_iter": 4, "tol": 0.0}), ("em", two, {"max_iter": 3}),
+              ("em_warm", start, {"kmeans_iter": 2, "kmeans_tol": 0.0, "max_iter": 3, "tol": 0.0})]
+    results = fit_all(blobs, wanted)
+    # k-means ends with a pass for the groups; the longest fit has nine
+    assert jobs == [4, 4, 4, 3, 3, 2, 1, 1, 1]
+    for (name, at, options), (together, seconds) in zip(wanted, results):
+        alone = fit(blobs, name, at, **options)
+        np.testing.assert_allclose(together.mixture.means, alone.mixture.means)
+        np.testing.assert_allclose(together.mixture.covs, alone.mixture.covs)
+        assert together.epochs == alone.epochs and seconds > 0
+
+
+def test_a_failing_fit_lets_the_others_end(blobs, start):
+    from mixloom.plans.blocks import packed
+    from mixloom.plans.em import em_rounds, run_together
+
+    far = Mixture(np.array([0.5, 0.5]), np.array([[0.5, 0.5], [1e6, 1e6]]), np.tile(1e-4 * np.eye(2), (2, 1, 1)))
+    with packed(blobs) as blocks:
+        bad, good = run_together(blocks, [em_rounds(far, 5), em_rounds(start, 5)])
+    assert isinstance(bad, DegenerateComponent) and "epoch 1" in str(bad) and bad.last_model is far
+    np.testing.assert_allclose(good.mixture.means, fit(blobs, "em", start, max_iter=5).mixture.means)
+
+
+@pytest.mark.parametrize("batch", [150, 4096])
+def test_runs_of_steps_equal_steps_as_jobs(blobs, start, batch):
+    seen = []
+    jobs = fit_minibatch(blobs, start, steps=9, batch_size=batch, seed=4, steps_per_job=1)
+    runs = fit_minibatch(
+        blobs, start, steps=9, batch_size=batch, seed=4, steps_per_job=4, on_run=lambda n, m: seen.append((n, m))
+    )
+    np.testing.assert_allclose(runs.mixture.means, jobs.mixture.means)
+    np.testing.assert_allclose(runs.mixture.covs, jobs.mixture.covs)
+    assert [e.epoch for e in runs.history] == [e.epoch for e in jobs.history]
+    np.testing.assert_allclose([e.loglik for e in runs.history], [e.loglik for e in jobs.history])
+    assert [n for n, _ in seen] == [4, 8, 9]
+    # a fit whose driver was lost goes on from the model it saved
+    rest = fit_minibatch(blobs, seen[0][1], steps=9, batch_size=batch, seed=4, first=4)
+    np.testing.assert_array_equal(rest.mixture.means, runs.mixture.means)
+
+
+def test_whole_minibatch_job(spark):
+    """The registered 2,500 steps against plain arrays."""
+    from mixloom.catalog import fits
+
+    sf = "/root/testdata/sf0.001"
+    points = fits._scaled(spark, sf)
+    rows = points.select("x", "y").toPandas().to_numpy()
+    model = fits._start(points, fits.K)
+    w, m, c = model.weights, model.means, model.covs
+    for step in range(2500):
+        diff = rows[:, None] - m
+        z = np.einsum("nki,kij,nkj->nk", diff, np.linalg.inv(c), diff)
+        r = w * np.exp(-0.5 * z) / np.sqrt(np.linalg.det(c))
+        r /= r.sum(1, keepdims=True)
+        rate, share = 0.5 / (1 + step / 100), r.mean(0)
+        first = np.einsum("nk,nki->ki", r, diff) / len(rows)
+        second = np.einsum("nk,nki,nkj->kij", r, diff, diff) / len(rows)
+        m, c = m + rate * first, (1 - rate * share)[:, None, None] * c + rate * second
+        w = np.exp(np.log(w) + rate * (share - w))
+        w /= w.sum()
+    got = fits.minibatch_fit(spark, sf).orderBy("component").collect()
+    np.testing.assert_allclose([(g.weight, g.mean_x, g.mean_y) for g in got], np.column_stack([w, m]), atol=2e-6)
+    np.testing.assert_allclose([(g.cov_xx, g.cov_xy, g.cov_yy) for g in got], c.reshape(-1, 4)[:, [0, 1, 3]], atol=2e-6)
+
+
+def test_run_length_is_bounded_by_what_a_task_holds():
+    from mixloom.plans.minibatch import BATCH_SIZE, HELD, _run_length
+
+    assert _run_length(10**12, BATCH_SIZE, 10**12 // BATCH_SIZE, 2) == 64
+    assert _run_length(10_000, BATCH_SIZE, 1, 2) == 1024
+    run = _run_length(600_000, BATCH_SIZE, 5, 2)
+    assert 600_000 * (2 + run // 5 + 2) <= HELD < 600_000 * (2 + 2 * run // 5 + 2)
