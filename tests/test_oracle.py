@@ -51,7 +51,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(CORE) == set(entry.queries()) - TEXT
+    # the whole mini-batch job takes minutes in SQL; test_trainers holds it against arrays
+    assert set(CORE) | {"m06_sgd_fit"} == set(entry.queries()) - TEXT
 
 
 def test_flagship(spark):
