@@ -3,8 +3,12 @@
 The protected entities are the matched values. A term (a word of four letters or
 more) discloses an entity when its pointwise mutual information with it, over the
 documents of the corpus, is at least ALPHA of the entity's own information content:
-log p(e|t)/p(e) >= ALPHA * -log p(e). Terms are looked for where the entity stands;
-a term that always comes with it is removed, others are generalised.
+log p(e|t)/p(e) >= ALPHA * -log p(e). For p(e|t) stands the lower end of its Wilson
+interval (one-sided, 80 percent), over texts that differ outside personal data: thin
+evidence counts for less, but no least number of meetings is asked for. So a word that
+occurs only beside an address that is named once discloses it, a common word does not.
+Terms are looked for where the entity stands; one that always comes with it, in more
+than one text, is removed, others are generalised.
 """
 
 from __future__ import annotations
@@ -22,8 +26,11 @@ from mixloom.llm.common import bounded_batches, land, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("term", "removed")
-ALPHA = 0.95
-SUPPORT = 3
+ALPHA = 0.9
+# quantile of the one-sided interval of 80 percent
+QUANTILE = 0.8416
+# tasks that the copies of one text are dealt to
+SALTS = 256
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -153,93 +160,142 @@ def _mark(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode()) - (1 << 63)
 
 
-def disclosing_terms(
-    found: DataFrame, corpus: DataFrame, total: int, alpha: float = ALPHA, support: int = SUPPORT
-) -> DataFrame:
-    """(entity, term, certain) of terms that disclose an entity.
+def least_share(given: Column, texts: Column, quantile: float = QUANTILE) -> Column:
+    """Lower end of the Wilson interval of a share seen in so many texts."""
+    square = quantile * quantile
+    spread = F.sqrt(given * (1 - given) / texts + square / (4 * texts * texts))
+    return (given + square / (2 * texts) - quantile * spread) / (1 + square / texts)
+
 
-    ``found`` has row, entities, context and body, ``corpus`` one column of texts.
-    Documents are counted with their copies, but entity and term must meet in
-    ``support`` texts that differ outside base spans, so copies alone prove nothing,
-    while a signature that is the same in different texts does. Pairs and terms are
-    counted within tasks before they are shuffled.
+def entity_texts(found: DataFrame) -> DataFrame:
+    """Texts with entities, equal ones once: (_of, context, entities, n, salts).
+
+    ``_of`` is the first of their rows, ``n`` their number; ``salts`` are the remainders
+    of the rows' numbers, at most SALTS.
     """
-    held = found.where(F.size("entities") > 0).select("_row", "context", F.explode("entities").alias("entity"))
-    # each text once, with the number of its copies
-    once = held.groupBy("entity", "context").agg(F.min("_row").alias("_of"), F.count(F.lit(1)).alias("n"))
-    once = land(once, "entity_texts")
-    entities = (
-        once.groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_entity"))
-        .where(F.col("contexts") >= support)
-        .select("entity", "n_entity")
+    units = found.where(F.size("entities") > 0).groupBy("context", "entities").agg(
+        F.min("_row").alias("_of"),
+        F.count(F.lit(1)).alias("n"),
+        F.collect_set(F.pmod("_row", F.lit(SALTS))).alias("salts"),
     )
-    entities = land(entities, "entities")
-    by_row = (
-        once.join(entities, "entity")
+    return land(units, "entity_texts")
+
+
+def entity_classes(units: DataFrame) -> DataFrame:
+    """(_of, context, n, held): the classes of a text's entities, with their documents.
+
+    Entities that stand in exactly the same texts have the same counts with every term.
+    They are one class, named by a hash of its texts, so that a list of a thousand
+    addresses in one document meets the document's terms once and not a thousand times.
+    """
+    each = units.select("_of", "n", F.explode("entities").alias("entity"))
+    sums = each.groupBy("entity").agg(
+        F.sum("n").alias("n_entity"),
+        F.count(F.lit(1)).alias("texts"),
+        F.bit_xor(F.xxhash64("_of")).alias("a"),
+        F.bit_xor(F.xxhash64("_of", F.lit(1))).alias("b"),
+    )
+    named = land(sums.select("entity", "n_entity", F.xxhash64("a", "b", "texts").alias("class")), "entities")
+    held = (
+        each.join(named, "entity")
         .groupBy("_of")
-        .agg(F.collect_list(F.struct("entity", "n_entity", "n")).alias("held"))  # a document's own entities at most
+        .agg(F.collect_set(F.struct("class", "n_entity")).alias("held"))  # a document's own entities at most
     )
-    pairs = (
-        found.where(F.size("entities") > 0).select("_row", "body")
-        .join(by_row, F.col("_row") == F.col("_of"))
-        .select("held", F.explode(terms(F.col("body"))).alias("term"))
-        .select("term", F.inline("held"))
-        .groupBy("entity", "n_entity", "term")
-        .agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("contexts"))
-        .where(F.col("contexts") >= support)
-        .drop("contexts")
+    return land(units.select("_of", "context", "n").join(held, "_of"), "held")
+
+
+def disclosing_terms(
+    found: DataFrame, held: DataFrame, corpus: DataFrame, total: int, alpha: float = ALPHA
+) -> DataFrame:
+    """(class, term, certain) of terms that disclose the entities of a class.
+
+    ``found`` has row, entities and body, ``held`` is that of ``entity_classes``,
+    ``corpus`` one column of texts. Documents are counted with their copies, but the
+    interval is as wide as the number of different texts makes it, so copies alone prove
+    nothing, while a signature that is the same in different texts does. Terms too common
+    to disclose are left before classes and terms are brought together; terms and pairs
+    are counted within tasks before they are shuffled. The term of a hot join key stands
+    once on the side of the counts, so adaptive execution can split the other side.
+    """
+    by_row = (
+        held.select("_of", "context", "n", F.inline("held"))
+        .groupBy("class", "n_entity", "context")
+        .agg(F.min("_of").alias("_of"), F.sum("n").alias("n"))
+        .groupBy("_of")
+        .agg(F.collect_list(F.struct("class", "n_entity", "n")).alias("held"))
     )
-    pairs = land(pairs, "pairs")
     (name,) = corpus.columns
     frequency = (
         corpus.select(F.explode(terms(F.col(f"`{name}`"))).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     )
-    given = F.col("together") / F.greatest("n_term", "together")
-    share = F.col("n_entity") / F.lit(float(max(total, 1)))
+    bar = F.pow(F.col("n_entity") / F.lit(float(max(total, 1))), F.lit(1.0 - alpha))
+    given = F.least(F.col("together") / F.col("n_term"), F.lit(1.0))
     return (
-        pairs.join(frequency, "term")
-        .where(F.log(given / share) >= -alpha * F.log(share))
-        .where(F.col("n_entity") < total)
-        .select("entity", "term", (given >= 1.0).alias("certain"))
+        found.where(F.size("entities") > 0).select("_row", "body")
+        .join(by_row, F.col("_row") == F.col("_of"))
+        .select("held", F.explode(terms(F.col("body"))).alias("term"))
+        .join(frequency, "term")
+        .select("term", "n_term", F.inline("held"))
+        .where((F.col("n_entity") >= bar * F.col("n_term")) & (F.col("n_entity") < total))
+        .groupBy("class", "n_entity", "term", "n_term")
+        .agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
+        .where(least_share(given, F.col("texts") / given) >= bar)
+        .select("class", "term", ((given >= 1.0) & (F.col("texts") > 1)).alias("certain"))
+    )
+
+
+def told_terms(found: DataFrame, units: DataFrame, held: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(_context, _entities, _salt, told): the terms to take out of each text with entities.
+
+    A term that discloses a class fills a stated share of the documents that hold it, so
+    few classes can have it, and the join by term stays near the number of terms. The copies
+    of a text find its terms under several keys, one for each remainder of their numbers.
+    """
+    told = (
+        found.where(F.size("entities") > 0).select("_row", "body")
+        .join(held.select("_of", F.col("held.class").alias("classes")), F.col("_row") == F.col("_of"))
+        .select("_of", "classes", F.explode(terms(F.col("body"))).alias("term"))
+        .join(disclosing, "term")
+        .where(F.array_contains("classes", F.col("class")))
+        .groupBy("_of", "term").agg(F.max("certain").alias("certain"))
+        .groupBy("_of").agg(F.collect_list(F.struct("term", "certain")).alias("told"))  # a document's own terms
+    )
+    return units.join(told, "_of").select(
+        F.col("context").alias("_context"), F.col("entities").alias("_entities"),
+        F.explode("salts").alias("_salt"), "told",
     )
 
 
 def detect(
-    docs: DataFrame,
-    carry: list[str] | None = None,
-    text: str = "text",
-    alpha: float = ALPHA,
-    support: int = SUPPORT,
+    docs: DataFrame, carry: list[str] | None = None, text: str = "text", alpha: float = ALPHA
 ) -> DataFrame:
     """The carried columns (all by default) with n_email, n_ip, n_card, n_phone,
     base_sha256 and spans (``kind:start:end`` by start, then kind, in code points).
 
     A null text is empty and has no spans. Rows are told apart by a stored number,
     so repeated and null ids do no harm. Added spans may lie anywhere outside base
-    spans, which all stay. Carried columns of the names above are replaced.
+    spans, which all stay. Carried columns of the names above, however they are
+    capitalised, are replaced.
     """
     out = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in out]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in out]
     found = land(
         find_base(docs, carry, text).withColumn("_row", F.monotonically_increasing_id()), "private"
     )
     total = found.count()
-    disclosing = land(
-        disclosing_terms(found, docs.select(F.col(f"`{text}`").alias("text")), total, alpha, support),
-        "disclosing",
-    )
-    with_any = found.where(F.col("spans") != "")
-    per_row = (
-        with_any.select("_row", F.explode("entities").alias("entity"))
-        .join(disclosing, "entity")
-        .groupBy("_row", "term").agg(F.max("certain").alias("certain"))
-        .groupBy(F.col("_row").alias("_of"))
-        .agg(F.collect_list(F.struct("term", "certain")).alias("told"))  # a document's own terms at most
-    )
+    units = entity_texts(found)
+    held = entity_classes(units)
+    corpus = docs.select(F.col(f"`{text}`").alias("text"))
+    disclosing = land(disclosing_terms(found, held, corpus, total, alpha), "disclosing")
+    told = land(told_terms(found, units, held, disclosing), "told")
     columns = [*(f"c{i}" for i in range(len(carry))), *out]
-    joined = with_any.join(per_row, F.col("_row") == F.col("_of"), "left").select(
+    same = (
+        (F.col("context") == F.col("_context"))
+        & (F.col("entities") == F.col("_entities"))
+        & (F.pmod("_row", F.lit(SALTS)) == F.col("_salt"))
+    )
+    joined = found.where(F.col("spans") != "").join(told, same, "left").select(
         *columns, F.coalesce("body", F.lit("")).alias("body"), "told"
     )
     schema = found.select(*columns).schema
