@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mixloom.catalog import oracle as O
 from mixloom.catalog import views as V
 from mixloom.catalog.registry import model_columns, query, rounded
+from mixloom.functions.columns import digest_word, seeded_digest
 from mixloom.model import Mixture
 from mixloom.operators.augment import augment
 from mixloom.operators.features import category_history, reconstruct_sides
@@ -32,6 +33,7 @@ from mixloom.sources.models import (
     to_ml,
 )
 from mixloom.sources.points import write_points
+from mixloom.streaming.steps import read_version, step_stream
 
 K = 7
 
@@ -223,6 +225,32 @@ def minibatch_steps(spark, sf_dir):
     return model_columns(result.model_df(spark))
 
 
+def _stream_fit(batches: int) -> O.Fit:
+    fit = O.Fit(O.PTS_ORDERS, K)
+    for _ in range(batches):
+        fit.minibatch(None, 0.5, 100.0, V.SEED, batches=batches)
+    return fit
+
+
+@query("m06_stream_steps", _stream_fit(4).model_sql())
+def stream_steps(spark, sf_dir):
+    """All points arrive as four hashed parts; each is a micro-batch and moves the model.
+
+    The stream is stopped after each part and goes on with what its folders hold.
+    """
+    points = _scaled(spark, sf_dir)
+    start = _start(points, K)
+    path = landing_path(spark, "stream-steps")
+    part = digest_word(seeded_digest(F.col("point_id"), V.SEED, 0), 0) % 4
+    points.withColumn("part", part).write.partitionBy("part").parquet(f"{path}/all")
+    for number in range(4):
+        arriving = spark.read.schema(points.schema).parquet(f"{path}/all/part={number}")
+        arriving.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(points.schema).parquet(f"{path}/in")
+        step_stream(stream, start, f"{path}/model", f"{path}/progress").awaitTermination()
+    return model_columns(read_version(spark, f"{path}/model").mixture.to_df(spark))
+
+
 @query("m06_sgd_fit", None)
 def minibatch_fit(spark, sf_dir):
     """The whole mini-batch job: 2,500 steps of batches of 131,072 points.

@@ -207,10 +207,13 @@ FROM {self.model} m JOIN {near} n ON m.k = n.k GROUP BY m.k, m.mx, m.my""",
         )
         return self
 
-    def minibatch(self, batch_size: int, rate: float, decay: float, seed: int) -> "Fit":
+    def minibatch(
+        self, batch_size: int | None, rate: float, decay: float, seed: int, batches: int | None = None
+    ) -> "Fit":
         t = self.steps
         if t == 0:
-            self.add("nb", f"SELECT ceil(count(*) / {batch_size}.0)::BIGINT AS nb FROM p")
+            number = f"{batches}::BIGINT" if batches else f"ceil(count(*) / {batch_size}.0)::BIGINT"
+            self.add("nb", f"SELECT {number} AS nb FROM p" + (" LIMIT 1" if batches else ""))
         self.add(
             f"b{t}",
             f"""SELECT id, x, y FROM p, nb

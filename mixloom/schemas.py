@@ -15,6 +15,8 @@ SCALES = "dim int, min double, max double"
 
 MODEL = "component int, weight double, mean array<double>, cov array<array<double>>"
 
+MODEL_VERSION = f"version bigint, step bigint, points bigint, loglik double, {MODEL}"
+
 STARTS = "component int, point_id bigint, mean array<double>"
 
 LABELS = "point_id bigint, component int"
