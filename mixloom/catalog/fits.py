@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixtureModel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -299,6 +300,20 @@ def kmeans_fit(spark, sf_dir):
     )
 
 
+@query("m07_kmeans_seeds", None)
+def kmeans_seeds(spark, sf_dir):
+    """The best of five k-means fits over shared passes, drawn anew for each seed.
+
+    Draws have no SQL; tests hold them and the inertia against plain arrays.
+    """
+    result = KM.fit_kmeans_seeds(_scaled(spark, sf_dir), K, [1, 2, 3, 4, 5])
+    centres = result.mixture.means
+    rows = [(i, *map(float, centres[j]), result.extra["inertia"]) for i, j in enumerate(np.lexsort(centres.T[::-1]))]
+    return spark.createDataFrame(rows, "component int, x double, y double, inertia double").select(
+        "component", rounded("x"), rounded("y"), rounded("inertia", 4)
+    )
+
+
 @query(
     "m08_warm_em",
     O.Fit(O.PTS_ORDERS, K).lloyd().lloyd().hard_moments(1e-6).em(1e-6).em(1e-6).model_sql(),

@@ -216,6 +216,116 @@ def fold_blocks(models: list[tuple]):
     return fold
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit words (multiplications wrap around)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _distinct_points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct columns of a (d, n) matrix by their 64-bit hash, how often each stands
+    there, and the hashes."""
+    x = x + 0.0  # one zero only
+    mark = np.zeros(x.shape[1], np.uint64)
+    for axis in x:
+        mark = _mixed(mark + np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(axis).view(np.uint64))
+    mark, first, copies = np.unique(mark, return_index=True, return_counts=True)
+    return x[:, first], copies, mark
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of each column and the squared distance to it."""
+    label, square = np.empty(x.shape[1], np.int64), np.empty(x.shape[1])
+    step = max(256, (1 << 15) // len(centres))
+    for lo in range(0, x.shape[1], step):
+        all_squares = np.zeros((len(centres), min(step, x.shape[1] - lo)))
+        for axis, places in zip(x, centres.T):
+            gap = axis[lo : lo + step] - places[:, None]
+            gap *= gap
+            all_squares += gap
+        label[lo : lo + step] = all_squares.argmin(axis=0)
+        square[lo : lo + step] = all_squares.min(axis=0)
+    return label, square
+
+
+RACE_SCHEMA = "draw int, time double, point array<double>"
+# draw number of the row of a task that met a NULL or NaN coordinate
+BAD = -1
+
+
+def race_blocks(draws: list[tuple]):
+    """Task function: for each ``(seed, centres or None, most)`` the winners of a race.
+
+    A point runs at a rate of its squared distance to the nearest centre (1 without
+    centres), copies of it add up: those first in are a draw without replacement by these
+    weights. A task keeps its first ``most`` points; the first of all tasks are among them.
+    Times come from a hash of the point, its block and the seed, so a task that is run
+    again over the same blocks has the same winners.
+    """
+
+    def run(batches):
+        best = [(np.empty(0), None)] * len(draws)
+        for batch in batches:
+            for x in _matrices(batch):
+                if not np.isfinite(x).all():
+                    yield _race_rows([BAD], [0.0], [[]])
+                    return
+                points, copies, mark = _distinct_points(x)
+                salt = np.bitwise_xor.reduce(_mixed(mark + copies.astype(np.uint64)))
+                for number, (seed, centres, most) in enumerate(draws):
+                    rate = copies.astype(float)
+                    if centres is not None:
+                        rate = rate * _nearest(points, centres)[1]
+                    word = _mixed(_mixed(mark ^ salt) + np.uint64(seed & (1 << 64) - 1))
+                    uniform = ((word >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+                    runs = rate > 0
+                    times, own = -np.log(uniform[runs]) / rate[runs], points[:, runs]
+                    if len(times) > most:
+                        ahead = np.argpartition(times, most - 1)[:most]
+                        times, own = times[ahead], own[:, ahead]
+                    held = best[number][1]
+                    times = np.concatenate([best[number][0], times])
+                    own = own if held is None else np.hstack([held, own])
+                    order = np.argsort(times, kind="stable")
+                    # a point that ran in several blocks counts with its first time
+                    order = order[np.sort(np.unique(own[:, order].T, axis=0, return_index=True)[1])][:most]
+                    best[number] = times[order], own[:, order]
+        for number, (times, own) in enumerate(best):
+            if len(times):
+                yield _race_rows([number] * len(times), times, own.T.tolist())
+
+    return run
+
+
+def _race_rows(draw, time, point) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(draw, pa.int32()), pa.array(time, pa.float64()), pa.array(point, pa.list_(pa.float64()))],
+        names=["draw", "time", "point"],
+    )
+
+
+def count_nearest(sets: list[np.ndarray]):
+    """Task function: for each set of centres, how many points are nearest to each."""
+
+    def run(batches):
+        counts = [np.zeros(len(c), np.int64) for c in sets]
+        for batch in batches:
+            for x in _matrices(batch):
+                for centres, count in zip(sets, counts):
+                    count += np.bincount(_nearest(x, centres)[0], minlength=len(centres))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([np.full(len(c), i) for i, c in enumerate(counts)]), pa.int32()),
+                pa.array(np.concatenate([np.arange(len(c)) for c in counts]), pa.int32()),
+                pa.array(np.concatenate(counts), pa.int64()),
+            ],
+            names=["draw", "centre", "n"],
+        )
+
+    return run
+
+
 def keyed_matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates (d, n) and the step of each point in each epoch (n, epochs)."""
     n = batch.num_rows

@@ -14,7 +14,8 @@ from mixloom.functions import kernels
 from mixloom.model import DegenerateComponent, Mixture
 from mixloom.operators.vectors import is_array, to_features, to_vectors
 from mixloom.plans.blocks import XY, Sums, for_one_pass, packed, sum_blocks
-from mixloom.plans.em import Epoch, FitResult, Rounds, em_rounds, run_alone
+from mixloom.plans.em import Epoch, FitResult, Rounds, em_rounds, run_alone, run_together
+from mixloom.plans.seeding import seeded_centres
 
 # rounds after which a search for centres that still move is given up
 MAX_ROUNDS = 300
@@ -74,10 +75,10 @@ def kmeans_rounds(centres, max_iter: int = MAX_ROUNDS, tol: float = 1e-4) -> Rou
         if tol > 0 and shift <= tol:
             converged = True
             break
-    mixture, count = _hard_mixture((yield _spheres(centres), True), centres, 0.0)
-    return FitResult(
-        mixture, history, count, converged, trainer="kmeans", extra={"centres": centres}
-    )
+    closing = yield _spheres(centres), True
+    mixture, count = _hard_mixture(closing, centres, 0.0)
+    told = {"centres": centres, "inertia": inertia(closing)}
+    return FitResult(mixture, history, count, converged, trainer="kmeans", extra=told)
 
 
 def fit_kmeans(
@@ -108,6 +109,35 @@ def fit_kmeans(
         return run_alone(blocks, kmeans_rounds(centres, max_iter, tol))
 
 
+def fit_kmeans_seeds(
+    points: DataFrame,
+    k: int,
+    seeds: list[int],
+    max_iter: int = MAX_ROUNDS,
+    tol: float = 1e-4,
+    cols=XY,
+    storage: str = "memory",
+    spread: int | None = None,
+) -> FitResult:
+    """The best of several k-means fits, each from centres that its seed draws.
+
+    Seedings and Lloyd rounds of all seeds share their passes over one packed copy of the
+    points; a fit that has converged leaves. The fit of least inertia under its final
+    centres is given back (of equal ones that of the first seed); ``extra`` holds its seed,
+    its inertia and those of all seeds.
+    """
+    with packed(points, cols, storage, spread) as blocks:
+        centres = seeded_centres(blocks, k, seeds)
+        fits = run_together(blocks, [kmeans_rounds(c, max_iter, tol) for c in centres])
+    for fitted in fits:
+        if isinstance(fitted, ValueError):
+            raise fitted
+    costs = [fitted.extra["inertia"] for fitted in fits]
+    best = int(np.argmin(costs))
+    told = {"seed": seeds[best], "inertia": costs[best], "inertias": dict(zip(seeds, costs))}
+    return replace(fits[best], extra={**fits[best].extra, **told})
+
+
 def _hard_mixture(sums: Sums, centres: np.ndarray, reg_covar: float) -> tuple[Mixture, int]:
     owned = np.maximum(sums.weight, 1.0)
     offset = sums.first / owned[:, None]
