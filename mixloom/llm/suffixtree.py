@@ -1,18 +1,24 @@
 """A probabilistic suffix tree as a language model.
 
-Contexts are none, one or two words. A context is counted from MIN_COUNT training
-occurrences on, at every size of the corpus, and retained if it predicts the words
+Contexts have none to MAX_DEPTH words. A context is retained if it predicts the words
 after it better than its suffix does, by the leave-one-out estimate of
 n * KL(context || suffix):
 sum of n(w) * log(((n(w) - 1 + M * P(w | suffix)) / (n - 1 + M)) / P(w | suffix)).
+There is no least count: a context that occurs once gains nothing by this estimate.
 Distributions are smoothed with M counts of the suffix's distribution; the root's
 is (c + 1) / (N + V + 1). A word is scored by the longest retained context.
 
+A context is made longer by a word, whether it is retained or not, where this can gain
+anything: no longer context gains more over it than the sum, over the words that follow
+it at least twice, of n(w) * -log P(w | context). Where the words after a context are
+certain or never repeat, the tree ends there. Levels are added until none is left.
+
 On Spark: documents are landed as chunks of word codes. What a chunk needs of the
-whole corpus - counts of its words, pairs and triples, and which of its contexts
-are retained - is asked for once per distinct item, by tasks that own a hash part
-of all items, and comes back to the chunk by position. Hot items are thereby summed
-within chunks before anything is shuffled, and no part grows with one item.
+whole corpus - counts of its words and of words after contexts, and which contexts
+are retained or made longer - is asked for once per distinct item, by tasks that own a
+hash part of all items, and comes back to the chunk by position. Hot items are thereby
+summed within chunks before anything is shuffled, and no part grows with one item. An
+item that only one chunk asked for is told so, and its longer forms stay in that chunk.
 """
 
 from __future__ import annotations
@@ -31,16 +37,15 @@ from mixloom.llm.common import (
 )
 from mixloom.session import discard, landing_path
 
-MIN_COUNT = 16
+MAX_DEPTH = 16  # words of a context; on real text few have five
 GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
 CHUNK_BYTES = 24 << 20
 END = " "  # no word can be this
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS, _PAIRS, _TRIPLES, _ONE, _TWO = range(5)
-_ASK = "part int, chunk long, kind int, a binary, b binary, c binary, n binary"
-_REPLY = "chunk long, kind int, part int, data binary"
+_ASK = "part int, chunk long, ids binary, sums binary"
+_REPLY = "chunk long, part int, data binary"
 
 
 def tokens(text: Column) -> Column:
@@ -57,24 +62,23 @@ def _parts_of(parts: int, *ids: np.ndarray) -> np.ndarray:
     return (mixed % np.uint64(parts)).astype(np.int64)
 
 
-def _asks(chunk: int, kind: int, parts: int, ids: list[np.ndarray], n: np.ndarray, order: np.ndarray, part):
+def _asks(chunk: int, parts: int, ids: list[np.ndarray], sums: list[np.ndarray]):
     """One row per part that owns some of the items."""
+    part = _parts_of(parts, *ids)
+    order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         own = order[cuts[p] : cuts[p + 1]]
-        blobs = [pack(x[own]) for x in ids] + [None] * (3 - len(ids))
-        yield (int(p), chunk, kind, *blobs, pack(n[own]))
+        yield int(p), chunk, pack(np.concatenate([x[own] for x in ids])), pack(np.concatenate([x[own] for x in sums]))
 
 
 def _ask_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 4
-    names = ["part", "chunk", "kind", "a", "b", "c", "n"]
+    kinds = {"part": pa.int32(), "chunk": pa.int64(), "ids": pa.binary(), "sums": pa.binary()}
     held: list[tuple] = []
 
     def batch():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in held], kinds[i]) for i in range(7)], names=names
-        )
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*held), kinds.values())]
+        return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
     for row in rows:
         held.append(row)
@@ -85,209 +89,261 @@ def _ask_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def sum_equal(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the sum of ``n`` over rows with equal columns, and whether it is the first."""
+def grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of their columns, where groups of equal rows start in that order, each
+    row's group, and whether a row is the first of its group."""
+    n = len(columns[0])
     order = np.lexsort(columns[::-1])
-    change = np.zeros(len(order), bool)
+    change = np.zeros(n, bool)
     change[:1] = True
     for x in columns:
         ordered = x[order]
         change[1:] |= ordered[1:] != ordered[:-1]
-    group = np.cumsum(change) - 1
-    sums = np.add.reduceat(n[order], np.flatnonzero(change)) if len(n) else n
-    total, first = np.empty(len(n), n.dtype), np.empty(len(n), bool)
-    total[order], first[order] = sums[group], change
-    return total, first
+    group, first = np.empty(n, np.int64), np.empty(n, bool)
+    group[order], first[order] = np.cumsum(change) - 1, change
+    return order, np.flatnonzero(change), group, first
 
 
-def _answers(
-    asks: DataFrame, parts: int, answer: Callable[[int, list[np.ndarray], np.ndarray], np.ndarray], n_type
-) -> DataFrame:
-    """Replies to all asks of a part and kind taken together, in the order asked."""
+def _count(ids: list[np.ndarray], sums: list[np.ndarray]) -> np.ndarray:
+    """Items' totals; bits: asked for by one chunk alone, and the row that owns the item."""
+    order, starts, group, first = grouped(ids)
+    totals = np.add.reduceat(sums[0][order], starts)
+    alone = np.diff(np.append(starts, len(order))) == 1
+    return (totals[group] << 2) | (alone[group] << 1) | first
+
+
+def _judge(n, repeated, likely, gained) -> tuple[np.ndarray, np.ndarray]:
+    """Whether contexts are retained, and whether longer ones can be, from their sums.
+
+    ``repeated``: occurrences of following words that occur at least twice; ``likely``: their
+    n(w) * log(n(w) + M * P(w | suffix)); ``gained``: over all following words, the part of
+    the gain that does not hold n.
+    """
+    size = np.maximum(n, 1)
+    gain = gained * GAIN_UNIT - n * np.log(size - 1 + SMOOTHING)
+    left = repeated * np.log(size + SMOOTHING) - likely * GAIN_UNIT
+    return (n > 1) & (gain >= LEAST_GAIN), (n > 1) & (left >= LEAST_GAIN)
+
+
+def _retain(ids: list[np.ndarray], sums: list[np.ndarray]) -> np.ndarray:
+    """Contexts' counts; bits: can be made longer, is retained."""
+    order, starts, group, _ = grouped(ids)
+    n, *rest = (np.add.reduceat(x[order], starts) for x in sums)
+    retained, longer = _judge(n, *rest)
+    return ((n << 2) | (longer << 1) | retained)[group]
+
+
+def _answers(asks: DataFrame, parts: int, answer: Callable, width: int, n_sums: int) -> DataFrame:
+    """Replies to all asks of a part taken together, in the order asked."""
 
     def close(rows: list) -> Iterator[pa.RecordBatch]:
-        kind = rows[0]["kind"]
-        width = {_PAIRS: 2, _TRIPLES: 3, _ONE: 1, _TWO: 2}[kind]
-        columns = [np.concatenate([unpack(r[c], np.uint32) for r in rows]) for c in "abc"[:width]]
-        counted = [unpack(r["n"], n_type) for r in rows]
-        values = answer(kind, columns, np.concatenate(counted))
-        ends = np.cumsum([len(x) for x in counted])
+        ids = np.concatenate([unpack(r["ids"], np.uint32).reshape(width, -1) for r in rows], axis=1)
+        sums = [unpack(r["sums"], np.int64).reshape(n_sums, -1) for r in rows]
+        values = answer(list(ids), list(np.concatenate(sums, axis=1))).astype(np.uint64)
+        ends = np.cumsum([x.shape[1] for x in sums])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r["chunk"] for r in rows], pa.int64()),
-                pa.array([kind] * len(rows), pa.int32()),
                 pa.array([r["part"] for r in rows], pa.int32()),
-                pa.array([pack(values[e - len(x) : e]) for e, x in zip(ends, counted)], pa.binary()),
+                pa.array([pack(values[e - x.shape[1] : e]) for e, x in zip(ends, sums)], pa.binary()),
             ],
-            names=["chunk", "kind", "part", "data"],
+            names=["chunk", "part", "data"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (held[0]["part"], held[0]["kind"]) != (row["part"], row["kind"]):
+                if held and held[0]["part"] != row["part"]:
                     yield from close(held)
                     held = []
                 held.append(row)
         if held:
             yield from close(held)
 
-    return (
-        asks.repartition(parts, "part")
-        .sortWithinPartitions("part", "kind", "chunk")
-        .mapInArrow(run, _REPLY)
-    )
+    return asks.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, _REPLY)
 
 
-def _joined(chunk_table: DataFrame, replies: DataFrame) -> DataFrame:
-    """Chunks with all their replies; only the replies are shuffled."""
-    own = replies.groupBy(F.col("chunk").alias("of")).agg(
-        F.sort_array(F.collect_list(F.struct("kind", "part", "data"))).alias("replies")
+def _by_chunk(replies: DataFrame, parts: int, label: str) -> DataFrame:
+    """Replies landed as one row a chunk, in the chunks' buckets."""
+    own = replies.repartition(parts, "chunk").groupBy("chunk").agg(
+        F.sort_array(F.collect_list(F.struct("part", "data"))).alias("got")
     )
-    return chunk_table.join(own, F.col("chunk") == F.col("of"), "left").drop("of")
+    return land_by(own.select("chunk", F.col("got.data").alias("got")), "chunk", label)
+
+
+def _joined(chunk_table: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Chunks with the replies of all rounds so far; nothing is shuffled."""
+    names = []
+    for k, replies in enumerate(rounds):
+        names.append(f"_got_{k}")
+        own = replies.select(F.col("chunk").alias("_of"), F.col("got").alias(names[-1]))
+        chunk_table = chunk_table.join(own, F.col("chunk") == F.col("_of"), "left").drop("_of")
+    if not names:
+        return chunk_table
+    return chunk_table.withColumn("replies", F.array(*names)).drop(*names)
 
 
 class _Chunk:
-    """A chunk with global ids and counts of its words, and what was replied."""
+    """A chunk with global ids and counts of its words, and what was replied.
+
+    Level k holds contexts of k words, and items: a context and the word after it. The
+    levels are gone through one by one, each from the one before.
+    """
 
-    def __init__(self, row: dict, parts: int):
+    def __init__(self, row: dict, parts: int, total: int, distinct: int):
         self.ident = row["chunk"]
         self.parts = parts
         self.sizes = unpack(row["sizes"], np.int64)
-        self.held = unpack(row["held"], np.uint8).astype(bool)
+        held = unpack(row["held"], np.uint8).astype(bool)
         self.codes = unpack(row["codes"], np.uint32).view(np.int32)
         self.ids = unpack(row["ids"], np.uint32)
         self.counts = unpack(row["counts"], np.int64)
-        self.replies: dict[int, list] = {}
-        for r in row.get("replies") or []:
-            self.replies.setdefault(r["kind"], []).append(r["data"])
-        n = len(self.codes)
-        ends = np.cumsum(self.sizes)
-        starts = ends - self.sizes
-        self.train = np.repeat(~self.held, self.sizes)
-        place = (np.arange(n) - np.repeat(starts, self.sizes)).astype(np.int32)
-        # pairs that end at a position, where the word before is a counted context
-        self.at = np.flatnonzero(place >= 1)
-        self.at = self.at[self.counts[self.codes[self.at - 1]] >= MIN_COUNT]
-        key = (self.codes[self.at - 1].astype(np.int64) << 32) | self.codes[self.at]
-        distinct, inverse = np.unique(key, return_inverse=True)
-        self.pair_a, self.pair_b = distinct >> 32, distinct & 0xFFFFFFFF
-        self.pair_at = np.full(n, -1, np.int32)
-        self.pair_at[self.at] = inverse
-        self.pair_n = np.bincount(inverse, self.train[self.at], len(distinct)).astype(np.int64)
-        self.place = place
-
-    def _ordered(self, *ids):
-        part = _parts_of(self.parts, *ids)
-        return part, np.argsort(part, kind="stable")
-
-    def pair_ids(self):
-        return [self.ids[self.pair_a], self.ids[self.pair_b]]
-
-    def ask_pairs(self):
-        ids = self.pair_ids()
-        part, order = self._ordered(*ids)
-        yield from _asks(self.ident, _PAIRS, self.parts, ids, self.pair_n.astype(np.uint32), order, part)
-
-    def replied(self, kind: int, ids: list[np.ndarray], dtype) -> np.ndarray:
-        """Replies in the order of the items asked for."""
-        _, order = self._ordered(*ids)
-        got = self.replies.get(kind, [])
-        values = np.concatenate([unpack(x, dtype) for x in got]) if got else np.empty(0, dtype)
-        if len(values) != len(order):
+        self.replies = row.get("replies") or []
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.train = np.repeat(~held, self.sizes)
+        self.place = (np.arange(len(self.codes)) - np.repeat(starts, self.sizes)).astype(np.int32)
+        self.root = (self.counts + 1) / (total + distinct + 1)
+        # whether the words of the last level's length that end at a position occur less than twice
+        self.rare = self.counts[self.codes] < 2
+        self.level = 0
+
+    def _widths(self, last: np.ndarray, words: int) -> list[np.ndarray]:
+        """Ids of the so many words that end at the given positions."""
+        return [self.ids[self.codes[last - k]] for k in range(words - 1, -1, -1)]
+
+    def _replied(self, number: int, ids: list[np.ndarray]) -> np.ndarray:
+        """Replies of a round in the order of the items asked for."""
+        got = (self.replies[number] if number < len(self.replies) else None) or []
+        values = np.concatenate([unpack(x, np.uint64) for x in got]) if got else np.empty(0, np.uint64)
+        if len(values) != len(ids[0]):
             raise RuntimeError("replies do not match what a chunk asked for")
-        out = np.empty(len(order), dtype)
-        out[order] = values
+        out = np.empty(len(values), np.int64)
+        out[np.argsort(_parts_of(self.parts, *ids), kind="stable")] = values.astype(np.int64)
         return out
 
-    def with_pairs(self):
-        value = self.replied(_PAIRS, self.pair_ids(), np.uint64).astype(np.int64)
-        self.pair_total, self.pair_own = value >> 1, (value & 1).astype(bool)
-        before = np.full(len(self.codes), -1, np.int32)
-        before[1:] = self.pair_at[:-1]
-        before[self.place < 2] = -1
-        frequent = np.zeros(len(self.codes), bool)
-        some = before >= 0
-        frequent[some] = self.pair_total[before[some]] >= MIN_COUNT
-        self.three_at = np.flatnonzero(frequent)
-        key = (before[self.three_at].astype(np.int64) << 32) | self.codes[self.three_at]
-        distinct, self.three_of = np.unique(key, return_inverse=True)
-        self.three_pair, self.three_c = distinct >> 32, distinct & 0xFFFFFFFF
-        self.three_n = np.bincount(self.three_of, self.train[self.three_at], len(distinct)).astype(np.int64)
-        return self
-
-    def triple_ids(self):
-        pair = self.three_pair
-        return [self.ids[self.pair_a[pair]], self.ids[self.pair_b[pair]], self.ids[self.three_c]]
-
-    def ask_triples(self):
-        ids = self.triple_ids()
-        part, order = self._ordered(*ids)
-        yield from _asks(self.ident, _TRIPLES, self.parts, ids, self.three_n.astype(np.uint32), order, part)
-
-    def with_triples(self, total: int, distinct: int):
-        value = self.replied(_TRIPLES, self.triple_ids(), np.uint64).astype(np.int64)
-        self.three_total, self.three_own = value >> 1, (value & 1).astype(bool)
-        self.root = (self.counts + 1) / (total + distinct + 1)
-        m = SMOOTHING
-        context = self.counts[self.pair_a]
-        self.pair_p = (self.pair_total + m * self.root[self.pair_b]) / (context + m)
-        # the pair that ends where a triple ends: its suffix's prediction
-        suffix = np.empty(len(self.three_pair), np.int64)
-        suffix[self.three_of] = self.pair_at[self.three_at]
-        self.three_suffix_p = self.pair_p[suffix]
-        above = self.pair_total[self.three_pair]
-        self.three_p = (self.three_total + m * self.three_suffix_p) / (above + m)
-        return self
-
-    def contexts(self):
-        """Local words, and pairs, that are counted contexts here."""
-        return np.unique(self.pair_a), np.unique(self.three_pair)
-
-    def ask_contexts(self):
-        ones, twos = self.contexts()
-        m = SMOOTHING
-
-        def gains(n, own, p, above, group, size):
-            term = np.zeros(len(n))
-            some = own & (n > 0)
-            term[some] = n[some] * np.log((n[some] - 1 + m * p[some]) / (above[some] - 1 + m) / p[some])
-            return np.rint(np.bincount(group, term, size) / GAIN_UNIT).astype(np.int64)
-
-        one = gains(
-            self.pair_total, self.pair_own, self.root[self.pair_b], self.counts[self.pair_a],
-            np.searchsorted(ones, self.pair_a), len(ones),
-        )
-        two = gains(
-            self.three_total, self.three_own, self.three_suffix_p, self.pair_total[self.three_pair],
-            np.searchsorted(twos, self.three_pair), len(twos),
-        )
-        for kind, ids, gain in ((_ONE, self._one_ids(ones), one), (_TWO, self._two_ids(twos), two)):
-            if len(gain):
-                gain = (np.abs(gain) << 1) | (gain < 0)  # small numbers stay small in bytes
-                part, order = self._ordered(*ids)
-                yield from _asks(self.ident, kind, self.parts, ids, gain, order, part)
+    def open_level(self) -> bool:
+        """Items of the next level: False if there are none."""
+        k = self.level = self.level + 1
+        if k > MAX_DEPTH:
+            return False
+        before = np.ones(len(self.codes), bool)
+        before[1:] = self.rare[:-1]
+        open_ = (self.place >= k) & ~before
+        if k > 1:
+            open_[self.at] &= self.longer[self.context[self.item]]
+            mask = np.zeros(len(self.codes), bool)
+            mask[self.at] = True
+            open_ &= mask
+            old = self.item_at()
+        at = np.flatnonzero(open_)
+        if not len(at):
+            return False
+        first, last = self.codes[at - k].astype(np.int64), self.codes[at] if k == 1 else old[at]
+        key, item = np.unique((first << 32) | last, return_inverse=True)
+        first, last = key >> 32, key & 0xFFFFFFFF
+        seen = np.empty(len(key), np.int64)
+        seen[item] = at  # a position of each item
+        if k == 1:
+            context, self.context = np.unique(first, return_inverse=True)
+            self.suffix_p = self.root[last]
+            own = np.zeros(len(key), bool)
+            context_own = np.zeros(len(context), bool)
+        else:
+            context, of = np.unique((first << 32) | self.context[last], return_inverse=True)
+            self.suffix_p = self.p[last]
+            as_item = old[seen - 1]  # the context's own words, if they were an item
+            own = self.alone[last] | ((as_item >= 0) & self.alone[as_item])
+            context_own = self.context_alone[context & 0xFFFFFFFF]
+            context_own[of[own & (as_item >= 0) & self.alone[as_item]]] = True
+            own |= context_own[of]
+            self.context = of
+        self.at, self.item, self.seen = at, item, seen
+        self.alone, self.context_alone = own, context_own
+        self.context_seen = np.empty(len(context), np.int64)
+        self.context_seen[self.context] = seen
+        self.n = np.bincount(item, self.train[at], len(key)).astype(np.int64)
+        return True
+
+    def item_at(self) -> np.ndarray:
+        """Each position's item of this level, or -1."""
+        out = np.full(len(self.codes), -1, np.int32)
+        out[self.at] = self.item
+        return out
 
-    def _one_ids(self, ones):
-        return [self.ids[ones]]
+    def asked_items(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        some = np.flatnonzero(~self.alone)
+        return some, self._widths(self.seen[some], self.level + 1)
+
+    def ask_items(self):
+        some, ids = self.asked_items()
+        if len(some):
+            yield from _asks(self.ident, self.parts, ids, [self.n[some]])
+
+    def count_items(self):
+        """Take the totals of the level's items."""
+        some, ids = self.asked_items()
+        value = self._replied(2 * self.level - 2, ids)
+        self.total, owned = self.n, np.ones(len(self.n), bool)
+        self.total[some], owned[some] = value >> 2, (value & 1).astype(bool)
+        self.alone = self.alone.copy()
+        self.alone[some] = (value & 2).astype(bool)
+        before = np.ones(len(self.codes), bool)
+        before[1:] = self.rare[:-1]
+        self.rare |= before
+        self.rare[self.at] |= self.total[self.item] < 2
+        # what the level's contexts need to be judged
+        n, p = self.total, self.suffix_p
+        some, twice = owned & (n > 0), owned & (n > 1)
+        gained, likely = np.zeros(len(n)), np.zeros(len(n))
+        gained[some] = np.rint(n[some] * np.log((n[some] - 1 + SMOOTHING * p[some]) / p[some]) / GAIN_UNIT)
+        likely[twice] = np.rint(n[twice] * np.log(n[twice] + SMOOTHING * p[twice]) / GAIN_UNIT)
+        self.sums = [
+            np.bincount(self.context, x, len(self.context_alone)).astype(np.int64)
+            for x in (n * owned, n * twice, likely, gained)
+        ]
+
+    def asked_contexts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        some = np.flatnonzero(~self.context_alone)
+        return some, self._widths(self.context_seen[some] - 1, self.level)
 
-    def _two_ids(self, twos):
-        return [self.ids[self.pair_a[twos]], self.ids[self.pair_b[twos]]]
+    def ask_contexts(self):
+        some, ids = self.asked_contexts()
+        if len(some):
+            yield from _asks(self.ident, self.parts, ids, [x[some] for x in self.sums])
+
+    def judge_contexts(self):
+        """Take the counts of the level's contexts, and what becomes of them."""
+        some, ids = self.asked_contexts()
+        value = self._replied(2 * self.level - 1, ids)
+        n = self.sums[0]
+        retained, longer = _judge(*self.sums)
+        n[some] = value >> 2
+        retained[some], longer[some] = (value & 1).astype(bool), (value & 2).astype(bool)
+        self.retained, self.longer = retained, longer
+        self.p = (self.total + SMOOTHING * self.suffix_p) / (n[self.context] + SMOOTHING)
+
+    def go(self, level: int, contexts: bool) -> bool:
+        """Come to the items, or the contexts, of a level: False if the tree ends before."""
+        while self.level < level:
+            if self.level:
+                self.count_items()
+                self.judge_contexts()
+            if not self.open_level():
+                return False
+        if contexts:
+            self.count_items()
+        return True
 
     def scores(self) -> tuple[np.ndarray, ...]:
-        """Per document: tokens, known tokens, base score, score, retained contexts used."""
-        ones, twos = self.contexts()
-        keep_one = self.replied(_ONE, self._one_ids(ones), np.uint8).astype(bool) if len(ones) else np.empty(0, bool)
-        keep_two = self.replied(_TWO, self._two_ids(twos), np.uint8).astype(bool) if len(twos) else np.empty(0, bool)
+        """Per document: tokens, known tokens, base score, score."""
         p = self.root[self.codes]
         base = np.log10(p)
-        by_one = keep_one[np.searchsorted(ones, self.pair_a)] if len(ones) else np.empty(0, bool)
-        use = by_one[self.pair_at[self.at]]
-        p[self.at[use]] = self.pair_p[self.pair_at[self.at[use]]]
-        by_two = keep_two[np.searchsorted(twos, self.three_pair)] if len(twos) else np.empty(0, bool)
-        use = by_two[self.three_of]
-        p[self.three_at[use]] = self.three_p[self.three_of[use]]
+        while self.open_level():
+            self.count_items()
+            self.judge_contexts()
+            use = self.retained[self.context][self.item]
+            p[self.at[use]] = self.p[self.item[use]]
         document = np.repeat(np.arange(len(self.sizes)), self.sizes)
         total = lambda x: np.bincount(document, x, len(self.sizes))
         return (
@@ -349,33 +405,32 @@ def score_documents(
     discard_buckets(spark, "coded", coded_at)  # words are needed no more
     discard(spark, words_at)
 
-    def stage(step) -> Callable:
+    def stage(level: int, contexts: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def asks():
                 for batch in batches:
                     for at in range(batch.num_rows):
-                        yield from step(_Chunk(batch.slice(at, 1).to_pylist()[0], parts))
+                        chunk = _Chunk(batch.slice(at, 1).to_pylist()[0], parts, total, distinct)
+                        if chunk.go(level, contexts):
+                            yield from chunk.ask_contexts() if contexts else chunk.ask_items()
 
             yield from _ask_batches(asks())
 
         return run
 
-    def count(kind, columns, n):
-        sums, first = sum_equal(columns, n.astype(np.int64))
-        return ((sums << 1) | first).astype(np.uint64)
-
-    def retain(kind, columns, gain):
-        gain = (gain >> 1) * (1 - 2 * (gain & 1))
-        return (sum_equal(columns, gain)[0] * GAIN_UNIT >= LEAST_GAIN).astype(np.uint8)
-
     state = resolved.select("chunk", "held", "sizes", "codes", "ids", "counts")
-    pairs = land(_answers(state.mapInArrow(stage(lambda c: c.ask_pairs()), _ASK), parts, count, np.uint32), "pairs")
-    asked = _joined(state, pairs).mapInArrow(stage(lambda c: c.with_pairs().ask_triples()), _ASK)
-    counted = pairs.union(land(_answers(asked, parts, count, np.uint32), "triples"))
-    asked = _joined(state, counted).mapInArrow(
-        stage(lambda c: c.with_pairs().with_triples(total, distinct).ask_contexts()), _ASK
-    )
-    retained = land(_answers(asked, parts, retain, np.int64), "contexts")
+    rounds: list[DataFrame] = []
+    def ask(level: int, contexts: bool) -> DataFrame:
+        asks = _joined(state, rounds).mapInArrow(stage(level, contexts), _ASK)
+        width, sums, answer = (level, 4, _retain) if contexts else (level + 1, 1, _count)
+        label = f"{'contexts' if contexts else 'items'}_{level}"
+        return _by_chunk(_answers(asks, parts, answer, width, sums), parts, label)
+
+    for level in range(1, MAX_DEPTH + 1):
+        rounds.append(ask(level, False))
+        if rounds[-1].isEmpty():  # what is left, single chunks know by themselves
+            break
+        rounds.append(ask(level, True))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,8 +438,7 @@ def score_documents(
                 one = batch.slice(at, 1)
                 keys = one.column("keys").flatten()
                 row = one.drop_columns(["keys"]).to_pylist()[0]
-                chunk = _Chunk(row, parts).with_pairs().with_triples(total, distinct)
-                n, known, base, score = chunk.scores()
+                n, known, base, score = _Chunk(row, parts, total, distinct).scores()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pc.struct_field(keys, 0), pc.struct_field(keys, 1),
@@ -399,8 +453,7 @@ def score_documents(
         *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")],
         *[F.lit(0.0).alias(c) for c in ("base_score", "score")],
     ).schema
-    everything = _joined(resolved, counted.union(retained))
-    return everything.mapInArrow(score, schema)
+    return _joined(resolved, rounds).mapInArrow(score, schema)
 
 
 def _word_counts(coded: DataFrame, parts: int) -> DataFrame:

@@ -433,34 +433,47 @@ def test_personal_data_odd_rows(odd):
     assert pii.detect(odd.where("false")).count() == 0
 
 
+def plain_tree(lines):
+    """Counts of words after contexts, retained contexts and P(w | context), by definition."""
+    m, least = suffixtree.SMOOTHING, suffixtree.LEAST_GAIN
+    one = Counter(x for w in lines for x in w)
+    size = sum(one.values()) + len(one) + 1
+    counts, depth = {}, 0
+    p = lambda c, w: (
+        (counts[c][w] + m * p(c[1:], w)) / (counts[c].total() + m) if c else (one[w] + 1) / size
+    )
+    kept, longer = set(), {()}
+    while longer:
+        depth += 1
+        for w in lines:
+            for k in range(depth, len(w)):
+                if w[k - depth + 1 : k] in longer:
+                    counts.setdefault(w[k - depth : k], Counter())[w[k]] += 1
+        here = [c for c in counts if len(c) == depth and counts[c].total() > 1]
+        longer = set()
+        for c in here:
+            n = counts[c].total()
+            gain = sum(
+                k * math.log((k - 1 + m * p(c[1:], w)) / (n - 1 + m) / p(c[1:], w)) for w, k in counts[c].items()
+            )
+            if gain >= least:
+                kept.add(c)
+            if sum(k * -math.log(p(c, w)) for w, k in counts[c].items() if k > 1) >= least:
+                longer.add(c)
+    return one, counts, kept, p
+
+
 def plain_scores(docs, held):
-    m, least, gain = suffixtree.SMOOTHING, suffixtree.MIN_COUNT, suffixtree.LEAST_GAIN
-    one, two, three = Counter(), Counter(), Counter()
-    lines = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in docs]
-    for i, w in lines:
-        if not held(i):
-            one.update(w), two.update(zip(w, w[1:])), three.update(zip(w, w[1:], w[2:]))
-    total, distinct = sum(one.values()), len(one)
-    root = lambda w: (one[w] + 1) / (total + distinct + 1)
-    after = lambda a, w: (two[a, w] + m * root(w)) / (one[a] + m)
-    gains = Counter()
-    for (a, w), n in two.items():
-        if one[a] >= least:
-            gains[a] += n * math.log((n - 1 + m * root(w)) / (one[a] - 1 + m) / root(w))
-    for (a, b, w), n in three.items():
-        if two[a, b] >= least:
-            p = after(b, w)
-            gains[a, b] += n * math.log((n - 1 + m * p) / (two[a, b] - 1 + m) / p)
-    kept = {c for c, g in gains.items() if g >= gain}
+    lines = [(i, tuple((t or "").encode().lower().split() + [b" "])) for i, t in docs]
+    one, _, kept, p = plain_tree([w for i, w in lines if not held(i)])
+    total, deepest = sum(one.values()), max(map(len, kept), default=0)
     for i, w in lines:
         score = 0.0
         for k, x in enumerate(w):
-            if k > 1 and (w[k - 2], w[k - 1]) in kept:
-                p = (three[w[k - 2], w[k - 1], x] + m * after(w[k - 1], x)) / (two[w[k - 2], w[k - 1]] + m)
-            else:
-                p = after(w[k - 1], x) if k and w[k - 1] in kept else root(x)
-            score += math.log10(p)
-        yield i, held(i), len(w), sum(one[x] > 0 for x in w), total, sum(math.log10(root(x)) for x in w), score
+            contexts = (w[k - d : k] for d in range(min(k, deepest), 0, -1))
+            score += math.log10(p(next((c for c in contexts if c in kept), ()), x))
+        base = sum(math.log10(p((), x)) for x in w)
+        yield i, held(i), len(w), sum(one[x] > 0 for x in w), total, base, score
 
 
 def same_scores(got, want):
@@ -477,6 +490,26 @@ def test_suffix_tree_scores(spark, texts):
     assert sum(r[6] for r in want if r[1]) >= sum(r[5] for r in want if r[1])
 
 
+def test_suffix_tree_deep_and_rare_contexts(spark):
+    """Words told by those three and four places before, each context in few documents."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        rows.append((i, f"n{i} from x{i % 30} p q r{i % 30} so n{i + 1}"))
+    for i in range(90, 210):
+        rows.append((i, f"y{i % 20} s t u v{i % 20} and {rng.choice('abc')} {rng.choice('abc')} {rng.choice('abc')}"))
+    rng.shuffle(rows)
+    held = lambda i: i % 6 == 5
+    lines = [tuple(t.encode().split() + [b" "]) for i, t in rows if not held(i)]
+    _, counts, kept, _ = plain_tree(lines)
+    assert min(counts[c].total() for c in kept if len(c) == 3) <= 3
+    assert {1, 2, 3, 4} <= {len(c) for c in kept}
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = suffixtree.score_documents(docs, F.col("doc_id") % 6 == 5).collect()
+        same_scores(got, plain_scores(rows, held))
+
+
 def test_suffix_tree_odd_rows(odd):
     got = suffixtree.score_documents(odd, F.col("doc_id") == 7).collect()
     same_scores(got, plain_scores(ODD, lambda i: i is None or i == 7))
