@@ -19,6 +19,8 @@ are retained or made longer - is asked for once per distinct item, by tasks that
 hash part of all items, and comes back to the chunk by position. Hot items are thereby
 summed within chunks before anything is shuffled, and no part grows with one item. An
 item that only one chunk asked for is told so, and its longer forms stay in that chunk.
+A level's open positions and items are landed beside the chunks, so that no level is
+gone through twice; the level before is removed.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from mixloom.llm.common import (
 )
 from mixloom.session import discard, landing_path
 
-MAX_DEPTH = 16  # words of a context; on real text few have five
+MAX_DEPTH = 8  # words of a context
 GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
@@ -45,6 +47,7 @@ CHUNK_BYTES = 24 << 20
 END = " "  # no word can be this
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASK = "part int, chunk long, ids binary, sums binary"
+_STEP = _ASK + ", state array<binary>"
 _REPLY = "chunk long, part int, data binary"
 
 
@@ -72,8 +75,7 @@ def _asks(chunk: int, parts: int, ids: list[np.ndarray], sums: list[np.ndarray])
         yield int(p), chunk, pack(np.concatenate([x[own] for x in ids])), pack(np.concatenate([x[own] for x in sums]))
 
 
-def _ask_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = {"part": pa.int32(), "chunk": pa.int64(), "ids": pa.binary(), "sums": pa.binary()}
+def _ask_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def batch():
@@ -89,6 +91,10 @@ def _ask_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+_ASK_TYPES = {"part": pa.int32(), "chunk": pa.int64(), "ids": pa.binary(), "sums": pa.binary()}
+_STEP_TYPES = _ASK_TYPES | {"state": pa.list_(pa.binary())}
+
+
 def grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of their columns, where groups of equal rows start in that order, each
     row's group, and whether a row is the first of its group."""
@@ -164,57 +170,80 @@ def _answers(asks: DataFrame, parts: int, answer: Callable, width: int, n_sums:
     return asks.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, _REPLY)
 
 
-def _by_chunk(replies: DataFrame, parts: int, label: str) -> DataFrame:
-    """Replies landed as one row a chunk, in the chunks' buckets."""
-    own = replies.repartition(parts, "chunk").groupBy("chunk").agg(
-        F.sort_array(F.collect_list(F.struct("part", "data"))).alias("got")
-    )
-    return land_by(own.select("chunk", F.col("got.data").alias("got")), "chunk", label)
-
-
-def _joined(chunk_table: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    """Chunks with the replies of all rounds so far; nothing is shuffled."""
-    names = []
-    for k, replies in enumerate(rounds):
-        names.append(f"_got_{k}")
-        own = replies.select(F.col("chunk").alias("_of"), F.col("got").alias(names[-1]))
+def _joined(chunk_table: DataFrame, **more: DataFrame) -> DataFrame:
+    """Chunks with further columns of tables in the same buckets; nothing is shuffled."""
+    for name, other in more.items():
+        own = other.select(F.col("chunk").alias("_of"), name)
         chunk_table = chunk_table.join(own, F.col("chunk") == F.col("_of"), "left").drop("_of")
-    if not names:
-        return chunk_table
-    return chunk_table.withColumn("replies", F.array(*names)).drop(*names)
+    return chunk_table
 
 
 class _Chunk:
-    """A chunk with global ids and counts of its words, and what was replied.
+    """A chunk with global ids and counts of its words, its open level and what was replied.
 
-    Level k holds contexts of k words, and items: a context and the word after it. The
-    levels are gone through one by one, each from the one before.
+    Level k holds contexts of k words, and items: a context and the word after it. Each
+    level is opened from the one before.
     """
 
-    def __init__(self, row: dict, parts: int, total: int, distinct: int):
+    def __init__(self, row: dict, parts: int, total: int, distinct: int, level: int):
         self.ident = row["chunk"]
         self.parts = parts
+        self.level = level
         self.sizes = unpack(row["sizes"], np.int64)
-        held = unpack(row["held"], np.uint8).astype(bool)
+        self.held = unpack(row["held"], np.uint8).astype(bool)
         self.codes = unpack(row["codes"], np.uint32).view(np.int32)
         self.ids = unpack(row["ids"], np.uint32)
         self.counts = unpack(row["counts"], np.int64)
-        self.replies = row.get("replies") or []
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(~held, self.sizes)
-        self.place = (np.arange(len(self.codes)) - np.repeat(starts, self.sizes)).astype(np.int32)
+        self.ends = np.cumsum(self.sizes)
         self.root = (self.counts + 1) / (total + distinct + 1)
-        # whether the words of the last level's length that end at a position occur less than twice
-        self.rare = self.counts[self.codes] < 2
-        self.level = 0
+        self.replies = {name: row.get(name) or [] for name in ("items", "contexts")}
+        if level:
+            self._load(row["state"])
+        else:
+            # whether the words of the last level's length that end at a position occur less than twice
+            self.rare = self.counts[self.codes] < 2
+            self.score = self._per_document(np.arange(len(self.codes)), np.log10(self.root)[self.codes])
+
+    def state(self) -> list[bytes]:
+        """What the open level needs besides the chunk's words."""
+        arrays = [
+            np.packbits(self.rare), self.score, self.at.astype(np.uint32), self.item.astype(np.uint32),
+            self.context.astype(np.uint32), self.alone.astype(np.uint8), self.context_alone.astype(np.uint8),
+            self.suffix_p, self.best,
+        ]
+        return [pack(x) for x in arrays]
 
-    def _widths(self, last: np.ndarray, words: int) -> list[np.ndarray]:
+    def _load(self, state: list[bytes]):
+        kinds = "u1 f8 u4 u4 u4 u1 u1 f8 f8".split()
+        rare, self.score, at, item, context, alone, context_alone, self.suffix_p, self.best = (
+            unpack(x, kind) for x, kind in zip(state, kinds)
+        )
+        self.rare = np.unpackbits(rare, count=len(self.codes)).astype(bool)
+        self.at, self.item, self.context = at.astype(np.int64), item.astype(np.int64), context.astype(np.int64)
+        self.alone, self.context_alone = alone.astype(bool), context_alone.astype(bool)
+        self._derive()
+
+    def _derive(self):
+        self.seen = np.empty(len(self.alone), np.int64)
+        self.seen[self.item] = self.at  # a position of each item
+        self.context_seen = np.empty(len(self.context_alone), np.int64)
+        self.context_seen[self.context] = self.seen
+        train = ~self.held[self._document(self.at)]
+        self.n = np.bincount(self.item, train, len(self.alone)).astype(np.int64)
+
+    def _document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, side="right")
+
+    def _per_document(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self._document(at), x, len(self.sizes))
+
+    def _words(self, last: np.ndarray, words: int) -> list[np.ndarray]:
         """Ids of the so many words that end at the given positions."""
         return [self.ids[self.codes[last - k]] for k in range(words - 1, -1, -1)]
 
-    def _replied(self, number: int, ids: list[np.ndarray]) -> np.ndarray:
-        """Replies of a round in the order of the items asked for."""
-        got = (self.replies[number] if number < len(self.replies) else None) or []
+    def _replied(self, name: str, ids: list[np.ndarray]) -> np.ndarray:
+        """Replies in the order of the items asked for."""
+        got = self.replies[name]
         values = np.concatenate([unpack(x, np.uint64) for x in got]) if got else np.empty(0, np.uint64)
         if len(values) != len(ids[0]):
             raise RuntimeError("replies do not match what a chunk asked for")
@@ -222,60 +251,42 @@ class _Chunk:
         out[np.argsort(_parts_of(self.parts, *ids), kind="stable")] = values.astype(np.int64)
         return out
 
-    def open_level(self) -> bool:
-        """Items of the next level: False if there are none."""
+    def open_level(self):
+        """Items of the next level, where the context's suffix can be made longer."""
         k = self.level = self.level + 1
-        if k > MAX_DEPTH:
-            return False
-        before = np.ones(len(self.codes), bool)
-        before[1:] = self.rare[:-1]
-        open_ = (self.place >= k) & ~before
-        if k > 1:
-            open_[self.at] &= self.longer[self.context[self.item]]
-            mask = np.zeros(len(self.codes), bool)
-            mask[self.at] = True
-            open_ &= mask
-            old = self.item_at()
-        at = np.flatnonzero(open_)
-        if not len(at):
-            return False
+        if k == 1:
+            at = np.arange(len(self.codes))
+        else:
+            old = np.full(len(self.codes), -1, np.int32)
+            old[self.at] = self.item
+            at = self.at[self.longer[self.context[self.item]]]
+        starts = self.ends - self.sizes
+        at = at[at - starts[self._document(at)] >= k]
+        at = at[~self.rare[at - 1]]
         first, last = self.codes[at - k].astype(np.int64), self.codes[at] if k == 1 else old[at]
         key, item = np.unique((first << 32) | last, return_inverse=True)
         first, last = key >> 32, key & 0xFFFFFFFF
-        seen = np.empty(len(key), np.int64)
-        seen[item] = at  # a position of each item
         if k == 1:
-            context, self.context = np.unique(first, return_inverse=True)
-            self.suffix_p = self.root[last]
-            own = np.zeros(len(key), bool)
-            context_own = np.zeros(len(context), bool)
+            context, of = np.unique(first, return_inverse=True)
+            self.suffix_p = self.best = self.root[last]
+            self.alone, self.context_alone = np.zeros(len(key), bool), np.zeros(len(context), bool)
         else:
             context, of = np.unique((first << 32) | self.context[last], return_inverse=True)
-            self.suffix_p = self.p[last]
-            as_item = old[seen - 1]  # the context's own words, if they were an item
-            own = self.alone[last] | ((as_item >= 0) & self.alone[as_item])
-            context_own = self.context_alone[context & 0xFFFFFFFF]
-            context_own[of[own & (as_item >= 0) & self.alone[as_item]]] = True
-            own |= context_own[of]
-            self.context = of
-        self.at, self.item, self.seen = at, item, seen
-        self.alone, self.context_alone = own, context_own
-        self.context_seen = np.empty(len(context), np.int64)
-        self.context_seen[self.context] = seen
-        self.n = np.bincount(item, self.train[at], len(key)).astype(np.int64)
-        return True
-
-    def item_at(self) -> np.ndarray:
-        """Each position's item of this level, or -1."""
-        out = np.full(len(self.codes), -1, np.int32)
-        out[self.at] = self.item
-        return out
+            self.suffix_p, self.best = self.p[last], self.best[last]
+            seen = np.empty(len(key), np.int64)
+            seen[item] = at
+            whole = old[seen - 1]  # the context's own words, if they were an item
+            context_alone = self.context_alone[context & 0xFFFFFFFF]
+            context_alone[of[(whole >= 0) & self.alone[whole]]] = True
+            self.alone, self.context_alone = self.alone[last] | context_alone[of], context_alone
+        self.at, self.item, self.context = at, item, of
+        self._derive()
 
     def asked_items(self) -> tuple[np.ndarray, list[np.ndarray]]:
         some = np.flatnonzero(~self.alone)
-        return some, self._widths(self.seen[some], self.level + 1)
+        return some, self._words(self.seen[some], self.level + 1)
 
-    def ask_items(self):
+    def ask_items(self) -> Iterator[tuple]:
         some, ids = self.asked_items()
         if len(some):
             yield from _asks(self.ident, self.parts, ids, [self.n[some]])
@@ -283,14 +294,11 @@ class _Chunk:
     def count_items(self):
         """Take the totals of the level's items."""
         some, ids = self.asked_items()
-        value = self._replied(2 * self.level - 2, ids)
+        value = self._replied("items", ids)
         self.total, owned = self.n, np.ones(len(self.n), bool)
         self.total[some], owned[some] = value >> 2, (value & 1).astype(bool)
-        self.alone = self.alone.copy()
         self.alone[some] = (value & 2).astype(bool)
-        before = np.ones(len(self.codes), bool)
-        before[1:] = self.rare[:-1]
-        self.rare |= before
+        self.rare[1:] |= self.rare[:-1].copy()
         self.rare[self.at] |= self.total[self.item] < 2
         # what the level's contexts need to be judged
         n, p = self.total, self.suffix_p
@@ -305,52 +313,45 @@ class _Chunk:
 
     def asked_contexts(self) -> tuple[np.ndarray, list[np.ndarray]]:
         some = np.flatnonzero(~self.context_alone)
-        return some, self._widths(self.context_seen[some] - 1, self.level)
+        return some, self._words(self.context_seen[some] - 1, self.level)
 
-    def ask_contexts(self):
+    def ask_contexts(self) -> Iterator[tuple]:
         some, ids = self.asked_contexts()
         if len(some):
             yield from _asks(self.ident, self.parts, ids, [x[some] for x in self.sums])
 
     def judge_contexts(self):
-        """Take the counts of the level's contexts, and what becomes of them."""
+        """Take the counts of the level's contexts and what becomes of them; score by the retained."""
         some, ids = self.asked_contexts()
-        value = self._replied(2 * self.level - 1, ids)
+        value = self._replied("contexts", ids)
         n = self.sums[0]
-        retained, longer = _judge(*self.sums)
+        retained, self.longer = _judge(*self.sums)
         n[some] = value >> 2
-        retained[some], longer[some] = (value & 1).astype(bool), (value & 2).astype(bool)
-        self.retained, self.longer = retained, longer
+        retained[some], self.longer[some] = (value & 1).astype(bool), (value & 2).astype(bool)
         self.p = (self.total + SMOOTHING * self.suffix_p) / (n[self.context] + SMOOTHING)
+        better = np.where(retained[self.context], self.p, self.best)
+        self.score += self._per_document(self.at, (np.log10(better) - np.log10(self.best))[self.item])
+        self.best = better
 
-    def go(self, level: int, contexts: bool) -> bool:
-        """Come to the items, or the contexts, of a level: False if the tree ends before."""
-        while self.level < level:
-            if self.level:
-                self.count_items()
-                self.judge_contexts()
-            if not self.open_level():
-                return False
-        if contexts:
+    def finish(self):
+        """Judge the open level and those after it, which this chunk alone knows of."""
+        while self.level and len(self.at):
             self.count_items()
-        return True
+            self.judge_contexts()
+            if self.level == MAX_DEPTH:
+                break
+            self.open_level()
+            self.replies = {"items": [], "contexts": []}
 
     def scores(self) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
-        p = self.root[self.codes]
-        base = np.log10(p)
-        while self.open_level():
-            self.count_items()
-            self.judge_contexts()
-            use = self.retained[self.context][self.item]
-            p[self.at[use]] = self.p[self.item[use]]
-        document = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        total = lambda x: np.bincount(document, x, len(self.sizes))
+        self.finish()
+        everywhere = np.arange(len(self.codes))
         return (
             self.sizes,
-            total(self.counts[self.codes] > 0).astype(np.int64),
-            total(base),
-            total(np.log10(p)),
+            self._per_document(everywhere, self.counts[self.codes] > 0).astype(np.int64),
+            self._per_document(everywhere, np.log10(self.root)[self.codes]),
+            self.score,
         )
 
 
@@ -405,32 +406,58 @@ def score_documents(
     discard_buckets(spark, "coded", coded_at)  # words are needed no more
     discard(spark, words_at)
 
-    def stage(level: int, contexts: bool) -> Callable:
+    def stage(step: Callable[[_Chunk], Iterator[tuple]], level: int, kinds: dict) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def asks():
+            def rows():
                 for batch in batches:
                     for at in range(batch.num_rows):
-                        chunk = _Chunk(batch.slice(at, 1).to_pylist()[0], parts, total, distinct)
-                        if chunk.go(level, contexts):
-                            yield from chunk.ask_contexts() if contexts else chunk.ask_items()
+                        yield from step(_Chunk(batch.slice(at, 1).to_pylist()[0], parts, total, distinct, level))
 
-            yield from _ask_batches(asks())
+            yield from _ask_batches(rows(), kinds)
 
         return run
 
-    state = resolved.select("chunk", "held", "sizes", "codes", "ids", "counts")
-    rounds: list[DataFrame] = []
-    def ask(level: int, contexts: bool) -> DataFrame:
-        asks = _joined(state, rounds).mapInArrow(stage(level, contexts), _ASK)
-        width, sums, answer = (level, 4, _retain) if contexts else (level + 1, 1, _count)
-        label = f"{'contexts' if contexts else 'items'}_{level}"
-        return _by_chunk(_answers(asks, parts, answer, width, sums), parts, label)
+    def next_level(c: _Chunk) -> Iterator[tuple]:
+        if c.level:
+            c.count_items()
+            c.judge_contexts()
+        c.open_level()
+        yield None, c.ident, None, None, c.state()
+        yield from ((*ask, None) for ask in c.ask_items())
+
+    def contexts_of(c: _Chunk) -> Iterator[tuple]:
+        c.count_items()
+        yield from c.ask_contexts()
+
+    landed: list[tuple[str, str]] = []
+
+    def landing(df: DataFrame, label: str) -> DataFrame:
+        landed.append((label, landing_path(spark, label)))
+        return land_by(df, "chunk", *landed[-1])
+
+    def answered(asks: DataFrame, name: str, level: int) -> DataFrame:
+        """Replies landed as one row a chunk, in the chunks' buckets."""
+        width, sums, answer = (level, 4, _retain) if name == "contexts" else (level + 1, 1, _count)
+        own = _answers(asks, parts, answer, width, sums).repartition(parts, "chunk").groupBy("chunk").agg(
+            F.sort_array(F.collect_list(F.struct("part", "data"))).alias("got")
+        )
+        return landing(own.select("chunk", F.col("got.data").alias(name)), f"{name}_{level}")
 
+    state = resolved.select("chunk", "held", "sizes", "codes", "ids", "counts")
+    known: dict[str, DataFrame] = {}
     for level in range(1, MAX_DEPTH + 1):
-        rounds.append(ask(level, False))
-        if rounds[-1].isEmpty():  # what is left, single chunks know by themselves
+        before = len(landed)
+        step = landing(_joined(state, **known).mapInArrow(stage(next_level, level - 1, _STEP_TYPES), _STEP), f"level_{level}")
+        for old in landed[:before]:
+            discard_buckets(spark, *old)
+        del landed[:before]
+        known = {"state": step.where("state IS NOT NULL").select("chunk", "state")}
+        asks = step.where("state IS NULL").select("part", "chunk", "ids", "sums")
+        if asks.isEmpty():  # what is left, single chunks know by themselves
             break
-        rounds.append(ask(level, True))
+        known["items"] = answered(asks, "items", level)
+        asks = _joined(state, **known).mapInArrow(stage(contexts_of, level, _ASK_TYPES), _ASK)
+        known["contexts"] = answered(asks, "contexts", level)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,7 +465,7 @@ def score_documents(
                 one = batch.slice(at, 1)
                 keys = one.column("keys").flatten()
                 row = one.drop_columns(["keys"]).to_pylist()[0]
-                n, known, base, score = _Chunk(row, parts, total, distinct).scores()
+                n, known, base, score = _Chunk(row, parts, total, distinct, level).scores()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pc.struct_field(keys, 0), pc.struct_field(keys, 1),
@@ -453,7 +480,7 @@ def score_documents(
         *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")],
         *[F.lit(0.0).alias(c) for c in ("base_score", "score")],
     ).schema
-    return _joined(resolved, rounds).mapInArrow(score, schema)
+    return _joined(resolved, **known).mapInArrow(score, schema)
 
 
 def _word_counts(coded: DataFrame, parts: int) -> DataFrame:
