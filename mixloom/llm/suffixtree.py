@@ -19,8 +19,8 @@ are retained or made longer - is asked for once per distinct item, by tasks that
 hash part of all items, and comes back to the chunk by position. Hot items are thereby
 summed within chunks before anything is shuffled, and no part grows with one item. An
 item that only one chunk asked for is told so, and its longer forms stay in that chunk.
-A level's open positions and items are landed beside the chunks, so that no level is
-gone through twice; the level before is removed.
+A level's open positions and items are landed beside the chunks from the second level
+on, so that no level is gone through twice; the level before is removed.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ MAX_DEPTH = 8  # words of a context
 GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 END = " "  # no word can be this
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASK = "part int, chunk long, ids binary, sums binary"
@@ -194,48 +194,52 @@ class _Chunk:
         self.codes = unpack(row["codes"], np.uint32).view(np.int32)
         self.ids = unpack(row["ids"], np.uint32)
         self.counts = unpack(row["counts"], np.int64)
-        self.ends = np.cumsum(self.sizes)
+        self.document = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.root = (self.counts + 1) / (total + distinct + 1)
         self.replies = {name: row.get(name) or [] for name in ("items", "contexts")}
-        if level:
+        if level > 1:
             self._load(row["state"])
         else:
             # whether the words of the last level's length that end at a position occur less than twice
             self.rare = self.counts[self.codes] < 2
-            self.score = self._per_document(np.arange(len(self.codes)), np.log10(self.root)[self.codes])
+            self.score = self.base()
+            self.level = 0
+            if level:
+                self.open_level()
 
     def state(self) -> list[bytes]:
         """What the open level needs besides the chunk's words."""
         arrays = [
-            np.packbits(self.rare), self.score, self.at.astype(np.uint32), self.item.astype(np.uint32),
-            self.context.astype(np.uint32), self.alone.astype(np.uint8), self.context_alone.astype(np.uint8),
-            self.suffix_p, self.best,
+            np.packbits(self.rare), self.score, np.diff(self.at, prepend=np.int32(0)), self.item, self.context,
+            self.alone.astype(np.uint8), self.context_alone.astype(np.uint8),
+            self.suffix_p, np.where(self.best == self.suffix_p, 0, self.best),
         ]
         return [pack(x) for x in arrays]
 
     def _load(self, state: list[bytes]):
-        kinds = "u1 f8 u4 u4 u4 u1 u1 f8 f8".split()
-        rare, self.score, at, item, context, alone, context_alone, self.suffix_p, self.best = (
+        kinds = "u1 f8 i4 i4 i4 u1 u1 f8 f8".split()
+        rare, self.score, steps, self.item, self.context, alone, context_alone, self.suffix_p, best = (
             unpack(x, kind) for x, kind in zip(state, kinds)
         )
         self.rare = np.unpackbits(rare, count=len(self.codes)).astype(bool)
-        self.at, self.item, self.context = at.astype(np.int64), item.astype(np.int64), context.astype(np.int64)
+        self.at = np.cumsum(steps, dtype=np.int32)
         self.alone, self.context_alone = alone.astype(bool), context_alone.astype(bool)
+        self.best = np.where(best == 0, self.suffix_p, best)
         self._derive()
 
     def _derive(self):
-        self.seen = np.empty(len(self.alone), np.int64)
+        self.seen = np.empty(len(self.alone), np.int32)
         self.seen[self.item] = self.at  # a position of each item
-        self.context_seen = np.empty(len(self.context_alone), np.int64)
+        self.context_seen = np.empty(len(self.context_alone), np.int32)
         self.context_seen[self.context] = self.seen
-        train = ~self.held[self._document(self.at)]
-        self.n = np.bincount(self.item, train, len(self.alone)).astype(np.int64)
+        train = ~self.held[self.document[self.at]]
+        self.n = np.bincount(self.item[train], minlength=len(self.alone))
 
-    def _document(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, at, side="right")
+    def _per_document(self, at, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.document[at], x, len(self.sizes))
 
-    def _per_document(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self._document(at), x, len(self.sizes))
+    def base(self) -> np.ndarray:
+        return self._per_document(slice(None), np.log10(self.root)[self.codes])
 
     def _words(self, last: np.ndarray, words: int) -> list[np.ndarray]:
         """Ids of the so many words that end at the given positions."""
@@ -255,13 +259,13 @@ class _Chunk:
         """Items of the next level, where the context's suffix can be made longer."""
         k = self.level = self.level + 1
         if k == 1:
-            at = np.arange(len(self.codes))
+            at = np.arange(len(self.codes), dtype=np.int32)
         else:
             old = np.full(len(self.codes), -1, np.int32)
             old[self.at] = self.item
             at = self.at[self.longer[self.context[self.item]]]
-        starts = self.ends - self.sizes
-        at = at[at - starts[self._document(at)] >= k]
+        starts = np.cumsum(self.sizes) - self.sizes
+        at = at[at >= (starts + k)[self.document[at]]]
         at = at[~self.rare[at - 1]]
         first, last = self.codes[at - k].astype(np.int64), self.codes[at] if k == 1 else old[at]
         key, item = np.unique((first << 32) | last, return_inverse=True)
@@ -273,13 +277,13 @@ class _Chunk:
         else:
             context, of = np.unique((first << 32) | self.context[last], return_inverse=True)
             self.suffix_p, self.best = self.p[last], self.best[last]
-            seen = np.empty(len(key), np.int64)
+            seen = np.empty(len(key), np.int32)
             seen[item] = at
             whole = old[seen - 1]  # the context's own words, if they were an item
             context_alone = self.context_alone[context & 0xFFFFFFFF]
             context_alone[of[(whole >= 0) & self.alone[whole]]] = True
             self.alone, self.context_alone = self.alone[last] | context_alone[of], context_alone
-        self.at, self.item, self.context = at, item, of
+        self.at, self.item, self.context = at, item.astype(np.int32), of.astype(np.int32)
         self._derive()
 
     def asked_items(self) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -346,13 +350,8 @@ class _Chunk:
     def scores(self) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
         self.finish()
-        everywhere = np.arange(len(self.codes))
-        return (
-            self.sizes,
-            self._per_document(everywhere, self.counts[self.codes] > 0).astype(np.int64),
-            self._per_document(everywhere, np.log10(self.root)[self.codes]),
-            self.score,
-        )
+        known = self._per_document(slice(None), self.counts[self.codes] > 0)
+        return self.sizes, known.astype(np.int64), self.base(), self.score
 
 
 def score_documents(
@@ -418,9 +417,8 @@ def score_documents(
         return run
 
     def next_level(c: _Chunk) -> Iterator[tuple]:
-        if c.level:
-            c.count_items()
-            c.judge_contexts()
+        c.count_items()
+        c.judge_contexts()
         c.open_level()
         yield None, c.ident, None, None, c.state()
         yield from ((*ask, None) for ask in c.ask_items())
@@ -446,15 +444,19 @@ def score_documents(
     state = resolved.select("chunk", "held", "sizes", "codes", "ids", "counts")
     known: dict[str, DataFrame] = {}
     for level in range(1, MAX_DEPTH + 1):
-        before = len(landed)
-        step = landing(_joined(state, **known).mapInArrow(stage(next_level, level - 1, _STEP_TYPES), _STEP), f"level_{level}")
-        for old in landed[:before]:
-            discard_buckets(spark, *old)
-        del landed[:before]
-        known = {"state": step.where("state IS NOT NULL").select("chunk", "state")}
-        asks = step.where("state IS NULL").select("part", "chunk", "ids", "sums")
-        if asks.isEmpty():  # what is left, single chunks know by themselves
-            break
+        if level == 1:
+            asks = state.mapInArrow(stage(_Chunk.ask_items, 1, _ASK_TYPES), _ASK)
+        else:
+            before = len(landed)
+            step = _joined(state, **known).mapInArrow(stage(next_level, level - 1, _STEP_TYPES), _STEP)
+            step = landing(step, f"level_{level}")
+            for old in landed[:before]:
+                discard_buckets(spark, *old)
+            del landed[:before]
+            known = {"state": step.where("state IS NOT NULL").select("chunk", "state")}
+            asks = step.where("state IS NULL").select("part", "chunk", "ids", "sums")
+            if asks.isEmpty():  # what is left, single chunks know by themselves
+                break
         known["items"] = answered(asks, "items", level)
         asks = _joined(state, **known).mapInArrow(stage(contexts_of, level, _ASK_TYPES), _ASK)
         known["contexts"] = answered(asks, "contexts", level)
