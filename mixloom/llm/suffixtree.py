@@ -44,6 +44,7 @@ GAIN_UNIT = 1 / 1024  # gains are summed in whole units, in any order alike
 SMOOTHING = 4.0
 LEAST_GAIN = 4.0
 CHUNK_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 END = " "  # no word can be this
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASK = "part int, chunk long, ids binary, sums binary"
@@ -77,6 +78,7 @@ def _asks(chunk: int, parts: int, ids: list[np.ndarray], sums: list[np.ndarray])
 
 def _ask_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    size = 0
 
     def batch():
         columns = [pa.array(x, kind) for x, kind in zip(zip(*held), kinds.values())]
@@ -84,9 +86,11 @@ def _ask_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterat
 
     for row in rows:
         held.append(row)
-        if len(held) >= 256:
+        size += sum(len(x) for x in (*row[2:4], *(row[4:] and row[4] or ())) if x)
+        if len(held) >= 256 or size >= BATCH_BYTES:
             yield batch()
             held.clear()
+            size = 0
     if held:
         yield batch()
 
@@ -366,6 +370,7 @@ def score_documents(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # a chunk or so at once
     parts = shuffle_partitions(spark)
     key = F.struct(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out")
