@@ -9,9 +9,10 @@ Distributions are smoothed with M counts of the suffix's distribution; the root'
 is (c + 1) / (N + V + 1). A word is scored by the longest retained context.
 
 A context is made longer by a word, whether it is retained or not, where this can gain
-anything: no longer context gains more over it than the sum, over the words that follow
+anything: no context one word longer gains more than the sum, over the words that follow
 it at least twice, of n(w) * -log P(w | context). Where the words after a context are
-certain or never repeat, the tree ends there. Levels are added until none is left.
+certain or never repeat, the tree ends there; contexts two and more words longer are not
+looked at then. Levels are added until none is left, MAX_DEPTH at most.
 
 On Spark: documents are landed as chunks of word codes. What a chunk needs of the
 whole corpus - counts of its words and of words after contexts, and which contexts
