@@ -18,6 +18,9 @@ BLOCK_SCHEMA = "n int, block binary"
 KEYED_BLOCK_SCHEMA = "key bigint, n int, block binary"
 STATS_SCHEMA = "model int, component int, term int, value double"
 
+# rows that are put in the order of their keys at a time
+KEYED_ROWS = 1 << 17
+
 # component number of rows that belong to the whole data set
 WHOLE = -1
 
@@ -97,6 +100,62 @@ def pack_keyed_batches(batches):
                 )
 
 
+def pack_keyed_runs(first: int, last: int):
+    """Task function: the same for keys in any order, of which ``first .. last - 1`` are taken.
+
+    Some batches are packed at a time, so that blocks are not small.
+    """
+
+    def pack(batches):
+        held, rows = [], 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            own = (keys >= first) & (keys < last)
+            if not own.all():
+                batch = batch.filter(pa.array(own))
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= KEYED_ROWS:
+                yield _keyed_blocks(held)
+                held, rows = [], 0
+        if held:
+            yield _keyed_blocks(held)
+
+    return pack
+
+
+def _keyed_blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    keys = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
+    names = held[0].schema.names[1:]
+    matrix = np.hstack(
+        [_columns_to_matrix(pa.RecordBatch.from_arrays(b.columns[1:], names=names)) for b in held]
+    )
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
+    blocks = [matrix[:, order[lo:hi]].tobytes() for lo, hi in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int32()), pa.array(blocks, pa.binary())],
+        names=["key", "n", "block"],
+    )
+
+
+def by_key(batches):
+    """(key, (d, n) matrix) from packed blocks that come in the order of their keys."""
+    key, parts = None, []
+    for batch in batches:
+        rest = pa.RecordBatch.from_arrays(batch.columns[1:], names=["n", "block"])
+        for own, matrix in zip(batch.column(0).to_pylist(), _matrices(rest)):
+            if own != key and parts:
+                yield key, np.hstack(parts)
+                parts = []
+            key = own
+            parts.append(matrix)
+    if parts:
+        yield key, np.hstack(parts)
+
+
 def nest_batches(per_list: int):
     """Task function: rows led by a split -> ``(split, list of the other columns)``.
 
@@ -326,12 +385,4 @@ def count_nearest(sets: list[np.ndarray]):
     return run
 
 
-def keyed_matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates (d, n) and the step of each point in each epoch (n, epochs)."""
-    n = batch.num_rows
-    steps = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
-    rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-    return _columns_to_matrix(rest), steps.reshape(n, -1)
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,8 +2,8 @@
 
 A step moves the model along one batch of bounded size, and the next step needs that
 model: steps cannot run side by side. So a run of steps is one job that cuts their
-points out of the whole table in parallel and hands these, a bounded number, to one task
-that makes the steps one after another. Only where a single step is much work is it
+points out of the whole table in parallel, packs them by step and hands the blocks, a
+bounded number of points, to one task that makes the steps one after another. Only where a single step is much work is it
 a job of its own, over landed batches.
 """
 
@@ -13,10 +13,11 @@ import math
 import sys
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,37 +101,29 @@ def minibatch_update(model: Mixture, sums: Sums, rate: float) -> Mixture:
 def _step_task(start: Mixture, first: int, last: int, n_batches: int, rate: float, decay: float):
     """Task function: steps ``first .. last - 1`` from ``start``, one after another.
 
-    Rows hold coordinates and the step of the point in each epoch of the run.
+    Rows are packed blocks in the order of their steps; those of one step are held at a time.
     """
 
     def run(batches):
-        parts = [kernels.keyed_matrix(b) for b in batches if b.num_rows]
-        if not parts:
-            return
-        points = np.hstack([x for x, _ in parts])
-        steps = np.vstack([s for _, s in parts])
-        model, told, epoch, error = start, [], None, None
-        for step in range(first, last):
+        model, told, error, seen = start, [], None, False
+        for key, points in kernels.by_key(batches):
+            seen = True
             # a single batch is the same in every epoch
-            at, now = (step, step // n_batches) if n_batches > 1 else (first, first)
-            if now != epoch:  # order the points by the steps of this epoch
-                epoch = now
-                own = steps[:, epoch - first // n_batches]
-                order = np.argsort(own, kind="stable")
-                ordered, sorted_steps = points[:, order], own[order]
-            lo, hi = np.searchsorted(sorted_steps, [at, at + 1])
-            if lo == hi:  # the hash dealt this batch nothing
-                continue
-            try:
-                whiten, constant = model.whitening()
-            except DegenerateComponent as reason:
-                error = str(reason)
-                break
-            fold = kernels.Fold(whiten, model.means, constant, False)
-            fold.add(ordered[:, lo:hi])
-            found = unwhitened(fold.table(), np.array([fold.total, fold.count]), model)
-            model = minibatch_update(model, found, rate / (1 + step / decay))
-            told.append((step + 1, found.total))
+            for step in (key,) if n_batches > 1 else range(first, last):
+                if error is not None:  # what is left is only read
+                    break
+                try:
+                    whiten, constant = model.whitening()
+                except DegenerateComponent as reason:
+                    error = str(reason)
+                    break
+                fold = kernels.Fold(whiten, model.means, constant, False)
+                fold.add(points)
+                found = unwhitened(fold.table(), np.array([fold.total, fold.count]), model)
+                model = minibatch_update(model, found, rate / (1 + step / decay))
+                told.append((step + 1, found.total))
+        if not seen:
+            return
         values = np.concatenate([model.weights, model.means.ravel(), model.covs.ravel()])
         yield pa.RecordBatch.from_arrays(
             [
@@ -157,22 +150,27 @@ def _run_steps(
     points: DataFrame, coords: list[str], id_col: str, seed: int, n_batches: int, model: Mixture,
     first: int, last: int, rate: float, decay: float,
 ):
-    """Steps ``first .. last - 1`` in one job: (model, [(step, loglik)], error or None)."""
-    ids = F.col(id_col)
+    """Steps ``first .. last - 1`` in one job: (model, [(step, loglik)], error or None).
+
+    Many tasks find the steps of the points and pack the points of a step into blocks;
+    one task takes the blocks in the order of their steps. All points of a task go to that
+    one task at once, so a task that is run again changes nothing.
+    """
     if n_batches == 1:
-        steps = F.array(F.lit(first).cast("bigint"))
+        dealt = points.select(F.lit(first).cast("bigint").alias("key"), *coords)
     else:
         epochs = F.sequence(F.lit(first // n_batches), F.lit((last - 1) // n_batches))
-        steps = F.transform(
-            epochs,
-            lambda e: e.cast("bigint") * n_batches + digest_word(seeded_digest(ids, seed, e), 0) % n_batches,
+        batch = digest_word(seeded_digest(F.col("_id"), seed, F.col("_epoch")), 0) % n_batches
+        dealt = (
+            points.select(F.col(id_col).alias("_id"), *coords)
+            .withColumn("_epoch", F.explode(epochs))
+            .select((F.col("_epoch").cast("bigint") * n_batches + batch).alias("key"), *coords)
         )
-    dealt = points.select(*coords, steps.alias("_steps"))
-    if n_batches > last - first:  # most points are for other runs
-        dealt = dealt.where(F.exists("_steps", lambda s: s.between(first, last - 1)))
+    # points of other runs are left out there: a filter would hash every point twice
+    blocks = dealt.mapInArrow(kernels.pack_keyed_runs(first, last), kernels.KEYED_BLOCK_SCHEMA)
     schema = "steps array<bigint>, totals array<double>, model array<double>, error string"
     task = _step_task(model, first, last, n_batches, rate, decay)
-    rows = dealt.repartition(1).mapInArrow(task, schema).collect()
+    rows = blocks.repartition(1).sortWithinPartitions("key").mapInArrow(task, schema).collect()
     if not rows:
         return model, [], None
     k, d = model.means.shape
@@ -181,6 +179,24 @@ def _run_steps(
     return moved, list(zip(rows[0].steps, rows[0].totals)), rows[0].error
 
 
+@contextmanager
+def _dealt_out(points: DataFrame, coords: list[str], id_col: str, uneven: bool):
+    """The points; if ``uneven``, dealt out over all cores and kept.
+
+    Each run hashes all points, so an input of few row groups would keep few cores busy.
+    """
+    if not uneven:
+        yield points
+        return
+    columns = list(dict.fromkeys([id_col, *coords]))
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    kept = points.select(*columns).repartition(cores, *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def fit_minibatch(
     points: DataFrame,
     start: Mixture | DataFrame,
@@ -199,7 +215,7 @@ def fit_minibatch(
 
     Passing over all the data once takes ``ceil(n / batch_size)`` steps, and a new epoch
     deals the points anew. ``steps_per_job`` steps are one job: a pass over the points
-    picks those of these steps, and one task holds them and makes the steps. How many
+    picks and packs those of these steps, and one task makes the steps. How many
     that are by default follows from the batch size (64 steps of 131,072 points in two
     dimensions, at most 1,024), never from the size of the table.
 
@@ -217,7 +233,8 @@ def fit_minibatch(
         raise ValueError("steps_per_job must be at least 1")
     model = as_mixture(start)
     spark = points.sparkSession
-    n_points = points.count()
+    held = points.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    n_points, largest = (n or 0 for n in held)
     n_batches = max(1, math.ceil(n_points / batch_size))
     coords = coordinates(points, cols).columns
     history: list[Epoch] = []
@@ -227,18 +244,23 @@ def fit_minibatch(
     if steps_per_job is None:
         heavy = min(batch_size, n_points) * model.k * model.d**2 > HEAVY
         steps_per_job = 1 if heavy else _run_length(n_points, batch_size, n_batches, model.d)
-    while step < steps and steps_per_job > 1:
-        last, begun = min(step + steps_per_job, steps), time.perf_counter()
-        model, told, error = _run_steps(
-            points, coords, id_col, seed, n_batches, model, step, last, rate, decay
-        )
-        each = (time.perf_counter() - begun) / (last - step)
-        history += [Epoch(number, total, each) for number, total in told]
-        if error is not None:
-            raise DegenerateComponent(f"after step {history[-1].epoch if history else step}: {error}", model, history)
-        step = last
-        if on_run is not None:
-            on_run(step, model)
+    # several runs over points of which a core would hash more than twice its share
+    uneven = 1 < steps_per_job < steps - step and largest * spark.sparkContext.defaultParallelism > 2 * n_points
+    with _dealt_out(points, coords, id_col, uneven) as source:
+        while step < steps and steps_per_job > 1:
+            last, begun = min(step + steps_per_job, steps), time.perf_counter()
+            model, told, error = _run_steps(
+                source, coords, id_col, seed, n_batches, model, step, last, rate, decay
+            )
+            each = (time.perf_counter() - begun) / (last - step)
+            history += [Epoch(number, total, each) for number, total in told]
+            if error is not None:
+                raise DegenerateComponent(
+                    f"after step {history[-1].epoch if history else step}: {error}", model, history
+                )
+            step = last
+            if on_run is not None:
+                on_run(step, model)
     while step < steps and steps_per_job == 1:
         last = min(step + wave, steps)
         path = landing_path(spark, "batches")

@@ -304,3 +304,33 @@ def test_run_length_is_bounded_by_what_a_task_holds():
     assert _run_length(10_000, BATCH_SIZE, 1, 2) == 1024
     run = _run_length(600_000, BATCH_SIZE, 5, 2)
     assert 600_000 * (2 + run // 5 + 2) <= HELD < 600_000 * (2 + 2 * run // 5 + 2)
+
+
+def test_batches_reach_the_steps_as_few_blocks():
+    import pyarrow as pa
+
+    from mixloom.functions import kernels
+
+    rng = np.random.default_rng(5)
+    keys, points = rng.integers(0, 25, 9_000), rng.random((2, 9_000))
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, points)], names=["key", "x", "y"])
+    packed = list(kernels.pack_keyed_runs(3, 20)(rows.slice(lo, 100) for lo in range(0, 9_000, 100)))
+    assert [b.column(0).to_pylist() for b in packed] == [list(range(3, 20))]  # not one row a point
+    found = dict(kernels.by_key(packed[0].slice(lo, 5) for lo in range(0, packed[0].num_rows, 5)))
+    assert sorted(found) == list(range(3, 20))
+    assert all(np.array_equal(found[k], points[:, keys == k]) for k in found)
+
+
+def test_runs_of_points_in_one_partition_use_all_cores(blobs, start, monkeypatch):
+    from mixloom.plans import minibatch
+
+    seen = []
+    plain = minibatch._run_steps
+    monkeypatch.setattr(
+        minibatch, "_run_steps", lambda points, *a: (seen.append(points.rdd.getNumPartitions()), plain(points, *a))[1]
+    )
+    one = fit_minibatch(blobs.coalesce(1), start, steps=9, batch_size=150, seed=4, steps_per_job=4)
+    assert seen == [4, 4, 4]
+    many = fit_minibatch(blobs, start, steps=9, batch_size=150, seed=4, steps_per_job=9)
+    np.testing.assert_allclose(one.mixture.covs, many.mixture.covs, rtol=1e-9)
+    assert [e.epoch for e in one.history] == [e.epoch for e in many.history]
