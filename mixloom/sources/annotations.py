@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mixloom.functions import kernels
 from mixloom.schemas import ANNOTATION_DOCUMENT, ANNOTATIONS, CATEGORIES
 from mixloom.session import land
-from mixloom.sources.ranges import read_elements
+from mixloom.sources.ranges import read_arrays
 
 MAX_SPLITS = 1_000
 
@@ -50,19 +50,19 @@ def read_large_annotations(
     order of their names, as parts of one document. A malformed element raises, and
     so does a document that does not close.
     """
-    frames = []
-    for split, path in splits.items():
-        elements = read_elements(spark, path, ["categories", "annotations"], joined)
-        frames.append(elements.withColumn("split", F.lit(split)))
-    elements = reduce(DataFrame.unionByName, frames)
+    frames = [
+        [found.withColumn("split", F.lit(split)) for found in read_arrays(spark, path, ["categories", "annotations"], joined)]
+        for split, path in splits.items()
+    ]
+    categories, annotations = (reduce(DataFrame.unionByName, own) for own in zip(*frames))
 
-    def parsed(key: str, kind: str) -> DataFrame:
+    def parsed(elements: DataFrame, kind: str) -> DataFrame:
         record = kind.removeprefix("array<").removesuffix(">")
         found = F.from_json("value", record, {"mode": "FAILFAST"}).alias("r")
-        return elements.where(F.col("key") == key).select("split", found).select("split", "r.*")
+        return elements.select("split", found).select("split", "r.*")
 
-    categories = land(parsed("categories", CATEGORIES).drop("split").distinct(), "categories")
-    return categories, parsed("annotations", ANNOTATIONS)
+    categories = land(parsed(categories, CATEGORIES).drop("split").distinct(), "categories")
+    return categories, parsed(annotations, ANNOTATIONS)
 
 
 def write_large_annotations(categories: DataFrame, annotations: DataFrame, path: str, mode: str = "error") -> None:

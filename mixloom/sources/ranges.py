@@ -3,9 +3,10 @@
 Spark's text source cuts a file into byte ranges at any separator, so a JSON document on
 one line comes apart at its braces or commas and every task reads its own range. What a
 range means depends on what stands before it: how many lines, whether it begins inside a
-string, how deep, under which key. Each range says what it does to such a state, from
-either way it can begin; one row a range goes to the driver, which runs through them in
-order; a second pass then knows where each range begins.
+string, how deep, under which key. The quotes of each range, counted by Spark, tell which
+ranges begin inside a string; then each range says what it does to such a state. Both
+times one row a range goes to the driver, which runs through them in order; a last pass
+then knows where each range begins.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,67 +143,128 @@ def walk(data: bytes, state: State, last_keys: bool = False) -> tuple[Walk, Stat
     return Walk(data, outside, depth, np.flatnonzero(step > 0), np.flatnonzero(step < 0), keys), new
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[bytes]]]:
-    """Runs of rows of the same range."""
-    path, block, value = (c.to_pylist() for c in batch.columns[:3])
-    begin = 0
-    for i in range(1, len(path) + 1):
-        if i == len(path) or (path[i], block[i]) != (path[begin], block[begin]):
-            yield path[begin], block[begin], [v.encode() for v in value[begin:i]]
-            begin = i
+def _stretches(batch: pa.RecordBatch, separator: bytes) -> Iterator[tuple[int, bytes]]:
+    """Runs of rows of the same range: its mark, and the text with separators between rows."""
+    mark, value = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+    cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            rows = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), value.slice(lo, hi - lo))
+            yield int(mark[lo]), pc.binary_join(rows, separator)[0].as_py()
 
 
-def _joined(parts: list[bytes], separator: bytes, first: bool) -> bytes:
-    """The bytes of a range: a separator stands before each part but a file's first."""
-    whole = separator.join(parts)
-    return whole if first else separator + whole
+def _marked(lines: DataFrame) -> DataFrame:
+    """(mark, value): a number for each range in place of its path, which is long."""
+    return lines.select(F.xxhash64("path", "block").alias("mark"), "value")
+
+
+@dataclass
+class Range:
+    """A byte range: its place among all, and where a reader stands at its begin."""
+
+    number: int
+    first: bool  # of its file
+    inside: bool  # of a string
+    state: State | None = None
+    opened: int = -1  # number of the range in which the open element began
+    turns: bool = False  # a key at the top stands in it
+
+
+def _begins(lines: DataFrame, joined: bool) -> dict[int, tuple[Range, str]]:
+    """Ranges in order, by their marks, with their paths: which of them begin inside a string."""
+    plain = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    quotes = F.when(
+        F.contains("value", F.lit('"')), F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    ).otherwise(0)
+    found = (
+        lines.select(F.xxhash64("path", "block").alias("mark"), "path", "block", quotes.alias("quotes"))
+        .groupBy("mark")
+        .agg(
+            F.min("block").alias("block"), F.max("block").alias("last"), F.any_value("path").alias("path"),
+            F.sum("quotes").alias("quotes"),
+        )
+        .collect()  # one row a range
+    )
+    out: dict[int, tuple[Range, str]] = {}
+    inside, before = False, None
+    for number, row in enumerate(sorted(found, key=_in_order)):
+        if row.block != row.last:
+            raise RuntimeError("two byte ranges have the same mark")
+        if before not in (None, row.path) and not joined:
+            _check_end(State(inside), before)
+            inside = False
+        before = row.path
+        out[row.mark] = Range(number, row.block == 0, inside), row.path
+        inside ^= bool(row.quotes % 2)
+    if before is not None:
+        _check_end(State(inside), before)
+    return out
+
+
+def _begun(range_: Range, data: bytes, separator: bytes, fresh: bool) -> bytes:
+    """The bytes of a stretch: a separator stands before each row but a file's first."""
+    return data if fresh and range_.first else separator + data
 
 
 def range_states(
     lines: DataFrame, separator: str, joined: bool, count: Callable[[Walk, State, State], None] | None = None
-) -> dict[tuple[str, int], tuple[int, State, int]]:
-    """(number, state at the begin, number of the range its open element began in) of each range.
+) -> dict[int, Range]:
+    """The ranges by their marks, each with the state at its begin.
 
     Without ``joined`` every file begins anew and must end outside of everything; with it
     the files, in the order of their names, are parts of one text. ``count`` may add to
-    the state what a walk has seen.
+    the state what a walk has seen. Of text, only strings that lie across the end of a
+    range and the last key of each depth reach the driver.
     """
-    mark = separator.encode()
+    sep = separator.encode()
+    begins = _begins(lines, joined)
+    known = lines.sparkSession.sparkContext.broadcast({m: r for m, (r, _) in begins.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # in practice a task has one range, or a few small files one after the other
-        ways: dict[tuple, list[State]] = {}
+        ways: dict[int, State] = {}
         for batch in batches:
-            for path, block, parts in _stretches(batch):
-                known = ways.get((path, block))
-                data = _joined(parts, mark, known is None and block == 0)
-                states = known or [State(), State(inside=True, cut=True)]
-                ways[path, block] = [_advance(data, s, count) for s in states]
-        out = [(p, b, json.dumps([_packed(s) for s in states])) for (p, b), states in ways.items()]
-        columns = list(zip(*out)) or [()] * 3
+            for mark, text in _stretches(batch, sep):
+                own, state = _range(known.value, mark), ways.get(mark)
+                data = _begun(own, text, sep, state is None)
+                ways[mark] = _advance(data, state or State(inside=own.inside, cut=own.inside), count)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
-            names=["path", "block", "ways"],
+            [
+                pa.array(list(ways), pa.int64()),
+                pa.array([json.dumps(_packed(s)) for s in ways.values()], pa.string()),
+            ],
+            names=["mark", "way"],
         )
 
-    found = lines.mapInArrow(run, "path string, block long, ways string").collect()  # one row a range
-    out: dict[tuple[str, int], tuple[int, State, int]] = {}
+    found = dict(map(tuple, _marked(lines).mapInArrow(run, "mark long, way string").collect()))  # one row a range
+    if found.keys() != begins.keys():
+        raise RuntimeError(_CHANGED)
+    out: dict[int, Range] = {}
     state, opened, last = State(), -1, None
-    for number, row in enumerate(sorted(found, key=_in_order)):
-        if last not in (None, row.path) and not joined:
+    for mark, (own, path) in begins.items():
+        if last not in (None, path) and not joined:
             _check_end(state, last)
             state = State()
-        last = row.path
-        out[row.path, row.block] = (number, state, opened)
-        after = _unpacked(json.loads(row.ways)[state.inside])
+        last = path
+        after = _unpacked(json.loads(found[mark]))
+        out[mark] = replace(own, state=state, opened=opened, turns=1 - state.depth in after.keys)
         if state.depth + after.lowest <= 2:
-            opened = number  # whatever is open at the end has begun here
+            opened = own.number  # whatever is open at the end has begun here
         state = _composed(state, after)
     if last is not None:
         _check_end(state, last)
     return out
 
 
+_CHANGED = "byte ranges were cut in another way than on the first pass"
+
+
+def _range(ranges: dict[int, Range], mark: int) -> Range:
+    if mark not in ranges:
+        raise RuntimeError(_CHANGED)
+    return ranges[mark]
+
+
 def _advance(data: bytes, state: State, count) -> State:
     seen, new = walk(data, state, last_keys=True)
     if count is not None:
@@ -254,24 +317,39 @@ def read_elements(spark: SparkSession, path: str, keys: list[str], joined: bool
     close raises.
     """
     lines = ranged_text(spark, path, "{")
-    states = spark.sparkContext.broadcast(range_states(lines, "{", joined))  # one entry a range
+    return _elements_under(lines, range_states(lines, "{", joined), keys)
+
+
+def read_arrays(spark: SparkSession, path: str, keys: list[str], joined: bool = False) -> list[DataFrame]:
+    """(value) for each of ``keys``, as ``read_elements``; the states are found once, and a
+    key's elements are looked for only in the ranges that can hold some."""
+    lines = ranged_text(spark, path, "{")
+    states = range_states(lines, "{", joined)
+    return [_elements_under(lines, states, [key]).select("value") for key in keys]
+
+
+def _elements_under(lines: DataFrame, ranges: dict[int, Range], keys: list[str]) -> DataFrame:
     wanted = set(keys)
+    held = [mark for mark, r in ranges.items() if r.turns or _name(r.state) in wanted]
+    lines = _marked(lines)
+    if len(held) < len(ranges):
+        lines = lines.where(F.col("mark").isin(held))
+    states = lines.sparkSession.sparkContext.broadcast(ranges)  # one entry a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: tuple[str, int] | None = None
+        here: int | None = None
         number, state, opened, held = 0, State(), -1, []
         for batch in batches:
             out: list[tuple] = []
-            for path, block, parts in _stretches(batch):
-                fresh = (path, block) != here
+            for mark, text in _stretches(batch, b"{"):
+                fresh = mark != here
+                own = _range(states.value, mark)
                 if fresh:
                     if here is not None and held:
                         out.append((_name(state), b"".join(held), opened, number))
-                    here, held = (path, block), []
-                    if here not in states.value:
-                        raise RuntimeError("byte ranges were cut in another way than on the first pass")
-                    number, state, opened = states.value[here]
-                data = _joined(parts, b"{", fresh and block == 0)
+                    here, held = mark, []
+                    number, state, opened = own.number, own.state, own.opened
+                data = _begun(own, text, b"{", fresh)
                 seen, new = walk(data, state)
                 begins = seen.opens[(seen.depth[seen.opens] == 3)]
                 ends = seen.closes[(seen.depth[seen.closes] == 2)] + 1
@@ -285,7 +363,7 @@ def read_elements(spark: SparkSession, path: str, keys: list[str], joined: bool
                         out.append((names[0], b"".join(held), -1 if opened == number else opened, number))
                         held, ends = [], ends[1:]
                 which = np.searchsorted(marks, begins)
-                for a, z, k in zip(begins, ends, which):
+                for a, z, k in zip(begins.tolist(), ends.tolist(), which.tolist()):
                     if names[k] in wanted:
                         out.append((names[k], data[a:z], -1, number))
                 if len(begins) > len(ends):
@@ -324,18 +402,15 @@ def read_lists(spark: SparkSession, path: str, joined: bool = False) -> DataFram
     states = spark.sparkContext.broadcast(range_states(lines, ",", joined, _count_values))  # one entry a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: tuple[str, int] | None = None
+        here: int | None = None
         state = State()
         for batch in batches:
-            names, places, texts = [], [], []
-            for path, block, parts in _stretches(batch):
-                fresh = (path, block) != here
+            for mark, text in _stretches(batch, b","):
+                fresh = mark != here
+                own = _range(states.value, mark)
                 if fresh:
-                    here = (path, block)
-                    if here not in states.value:
-                        raise RuntimeError("byte ranges were cut in another way than on the first pass")
-                    _, state, _ = states.value[here]
-                data = _joined(parts, b",", fresh and block == 0)
+                    here, state = mark, own.state
+                data = _begun(own, text, b",", fresh)
                 seen, new = walk(data, state)
                 _count_values(seen, state, new)
                 begins, ends = _numbers(seen)
@@ -347,16 +422,23 @@ def read_lists(spark: SparkSession, path: str, joined: bool = False) -> DataFram
                 which = np.searchsorted(marks, begins)
                 first = np.searchsorted(which, np.arange(len(keys)))
                 pos = np.arange(len(begins)) - first[which] + np.where(which == 0, state.values, 0)
-                names += [keys[k] for k in which]
-                places += pos.tolist()
-                texts += [data[a:z].decode() for a, z in zip(begins, ends)]
                 state = new
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.string())],
-                names=["key", "pos", "value"],
-            )
-
-    return lines.mapInArrow(run, "key string, pos long, value string")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.string()).take(pa.array(which)), pa.array(pos, pa.int64()), _cut(data, begins, ends)],
+                    names=["key", "pos", "value"],
+                )
+
+    return _marked(lines).mapInArrow(run, "key string, pos long, value string")
+
+
+def _cut(data: bytes, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts between ``begins`` and ``ends``, which do not overlap."""
+    turns = np.zeros(len(data) + 1, np.int8)
+    turns[begins] = 1
+    turns[ends] -= 1
+    text = np.frombuffer(data, np.uint8)[np.cumsum(turns[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(text.tobytes()))
 
 
 def _numbers(seen: Walk) -> tuple[np.ndarray, np.ndarray]:

@@ -181,3 +181,24 @@ def test_any_cut_composes():
         after = [walk(text[cut:], s, last_keys=True)[1] for s in (State(), State(inside=True, cut=True))]
         both = _composed(first, after[first.inside])
         assert (both.inside, both.depth, both.keys[1][1]) == (False, 0, b"licenses")
+
+
+def test_text_of_ranges_without_quotes_stays_with_the_tasks(spark, tmp_path, small_ranges, monkeypatch):
+    from mixloom.sources.ranges import range_states, ranged_text
+
+    (tmp_path / "a.json").write_text(json.dumps({"a": list(range(10_000)), 'b"': [1]}))
+    lines, sent = ranged_text(spark, str(tmp_path), ","), []
+    plain = type(lines).collect
+    monkeypatch.setattr(type(lines), "collect", lambda self: (rows := plain(self), sent.append(len(str(rows))))[0])
+    ranges = range_states(lines, ",", False)
+    assert len(ranges) > 30 and sum(sent) / len(ranges) < 500  # bytes a range, of 1,500 in the file
+
+
+def test_ranges_that_begin_inside_a_string(spark, tmp_path, small_ranges):
+    long = ", {\\" * 900 + '"'
+    whole = {"a" + long: [1, 2.5], long: [3], "annotations": [{"id": 1, "note": long}, {"id": 2}], "categories": [{"id": 3}]}
+    (tmp_path / "a.json").write_text(json.dumps(whole))
+    got = read_lists(spark, str(tmp_path)).where("value != 'oops'").collect()
+    assert {(r.key, r.pos, r.value) for r in got} == {("a" + long, 0, "1"), ("a" + long, 1, "2.5"), (long, 0, "3")}
+    cats, anns = read_large_annotations(spark, {"val": str(tmp_path)})
+    assert sorted(r.id for r in anns.collect()) == [1, 2] and [r.id for r in cats.collect()] == [3]
