@@ -24,6 +24,10 @@ KEYED_ROWS = 1 << 17
 # component number of rows that belong to the whole data set
 WHOLE = -1
 
+# squared whitened distance of a mean from the middle of the means up to which densities
+# and sums are taken as polynomials about the middle: at most 11 of 16 digits are lost to it
+NEAR_MIDDLE = 1e5
+
 
 def _columns_to_matrix(batch: pa.RecordBatch) -> np.ndarray:
     """(d, n) float64 from d numeric columns or one array column; NULL -> NaN."""
@@ -179,12 +183,23 @@ def nest_batches(per_list: int):
     return nest
 
 
+def _sum_of_logs(x: np.ndarray) -> float:
+    """Sum of the logs of numbers from 1 to K, of 32 of them at a time by their product."""
+    whole = len(x) // 32 * 32
+    return float(np.log(x[:whole].reshape(32, -1).prod(axis=0)).sum() + np.log(x[whole:]).sum())
+
+
 class Fold:
     """Sums of points per component of one model.
 
     For each component the sums of r, r*z and r*z*z' are kept, z being the point
     whitened by that component. ``hard`` gives each point to its most likely
     component (lowest number on ties) instead of sharing it out.
+
+    In few dimensions a log density is a polynomial in the coordinates about the middle of
+    the means: all of them, and all sums, are one matrix product each with the monomials,
+    and ``table`` brings the sums to the components' own means and axes. Means too far
+    from the middle for that, many dimensions and ``hard`` go point by whitened point.
     """
 
     def __init__(self, whiten: np.ndarray, means: np.ndarray, constant: np.ndarray, hard: bool):
@@ -202,6 +217,23 @@ class Fold:
         self.second = np.zeros((k, d, d))
         self.total = 0.0
         self.count = 0
+        self.upper = np.triu_indices(d)
+        self.monomials = not hard and d <= 4 and float((self.shift**2).reshape(k, d).sum(axis=1).max()) <= NEAR_MIDDLE
+        if self.monomials:
+            self.whiten, self.offset = whiten, means - self.middle
+            i, j = self.upper
+            own = self.shift.reshape(k, d)
+            precision = np.einsum("kij,kil->kjl", whiten, whiten)[:, i, j]
+            self.terms = np.concatenate(
+                [
+                    (constant - 0.5 * (own**2).sum(axis=1))[:, None],
+                    np.einsum("kij,ki->kj", whiten, own),
+                    np.where(i == j, -0.5, -1.0) * precision,
+                ],
+                axis=1,
+            )
+            self.sums = np.zeros_like(self.terms)
+            self.step = max(256, (1 << 17) // sum(self.terms.shape))
 
     def _whitened(self, x):
         if self.d > 4:
@@ -217,6 +249,8 @@ class Fold:
         """Add the points of a (d, n) matrix."""
         if x.shape[0] != self.d:
             raise ValueError(f"points have {x.shape[0]} dimensions, the model has {self.d}")
+        if self.monomials:
+            return self._add_monomials(x)
         for lo in range(0, x.shape[1], self.step):
             part = x[:, lo : lo + self.step] - self.middle[:, None]
             z = self._whitened(part)
@@ -237,9 +271,43 @@ class Fold:
             self.second += weighted @ z.transpose(0, 2, 1)
             self.count += part.shape[1]
 
+    def _add_monomials(self, x: np.ndarray) -> None:
+        for lo in range(0, x.shape[1], self.step):
+            part = x[:, lo : lo + self.step]
+            n = part.shape[1]
+            powers = np.empty((self.terms.shape[1], n))
+            powers[0] = 1.0
+            np.subtract(part, self.middle[:, None], out=powers[1 : 1 + self.d])
+            for own, i, j in zip(powers[1 + self.d :], *self.upper):
+                np.multiply(powers[1 + i], powers[1 + j], out=own)
+            share = self.terms @ powers
+            top = share.max(axis=0)
+            share -= top
+            np.exp(share, out=share)
+            norm = share.sum(axis=0)
+            share /= norm
+            self.total += float(top.sum()) + _sum_of_logs(norm)
+            self.sums += share @ powers.T
+            self.count += n
+
+    def _from_monomials(self) -> None:
+        """The sums about the middle as sums about each mean, whitened."""
+        self.weight = self.sums[:, 0]
+        about = self.sums[:, 1 : 1 + self.d]
+        second = np.empty((self.k, self.d, self.d))
+        i, j = self.upper
+        second[:, i, j] = second[:, j, i] = self.sums[:, 1 + self.d :]
+        first = about - self.weight[:, None] * self.offset
+        # sum r (x - o)(x - o)' = sum r x x' - (sum r x) o' - o (sum r (x - o))'
+        second -= about[:, :, None] * self.offset[:, None, :] + self.offset[:, :, None] * first[:, None, :]
+        self.first = np.einsum("kij,kj->ki", self.whiten, first)
+        self.second = self.whiten @ second @ self.whiten.transpose(0, 2, 1)
+
     def table(self) -> np.ndarray:
         """(K, 1 + d + d(d+1)/2): a row of sums for each component."""
-        upper = np.triu_indices(self.d)
+        if self.monomials:
+            self._from_monomials()
+        upper = self.upper
         return np.concatenate(
             [self.weight[:, None], self.first, self.second[:, upper[0], upper[1]]], axis=1
         )

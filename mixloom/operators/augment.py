@@ -33,15 +33,19 @@ def augment(
     if extra == 0:
         return points.withColumns({cols[0]: x, cols[1]: y, "copy": F.lit(0)})
     copies = points.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(extra))))
-    hashed = copies.withColumn("_digest", seeded_digest(F.col(id_col), F.col("copy"), seed))
-    angle = F.radians(F.floor(digest_uniform(F.col("_digest"), 0) * ANGLES).cast("double"))
+    original = F.col("copy") == 0
+    # originals are not hashed, and the angle, which both axes take, is a column of its own
+    digest = F.when(~original, seeded_digest(F.col(id_col), F.col("copy"), seed))
+    hashed = copies.withColumn("_digest", digest)
+    degrees = F.floor(digest_uniform(F.col("_digest"), 0) * ANGLES).cast("double")
+    hashed = hashed.withColumn("_angle", F.radians(degrees))
+    angle = F.col("_angle")
     span = STEP_HIGH - STEP_LOW
     step_x = digest_uniform(F.col("_digest"), 1) * span + STEP_LOW
     step_y = digest_uniform(F.col("_digest"), 2) * span + STEP_LOW
-    original = F.col("copy") == 0
     return hashed.withColumns(
         {
             cols[0]: F.when(original, x).otherwise(x + x * step_x * F.cos(angle)),
             cols[1]: F.when(original, y).otherwise(y + y * step_y * F.sin(angle)),
         }
-    ).drop("_digest")
+    ).drop("_digest", "_angle")

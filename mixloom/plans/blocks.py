@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixloom.functions import kernels
@@ -17,6 +17,9 @@ from mixloom.session import discard, landing_path
 
 XY = ("x", "y")
 
+# bytes of blocks that are handed to a Python task at once
+PASS_BYTES = 8 << 20
+
 
 def coordinates(points: DataFrame, cols=XY) -> DataFrame:
     """The coordinate columns alone, as doubles (or one array of doubles)."""
@@ -82,6 +85,22 @@ def packed(
             discard(spark, path)
 
 
+@contextmanager
+def handed_in_parts(spark: SparkSession):
+    """Passes in here hand blocks to Python some megabytes at a time.
+
+    Spark's own bound counts rows, and a block is one row: a task would get all its
+    points at once, copied at each growth of one buffer, and wait until they are all there.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PASS_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class NoPoints(ValueError):
     """There was nothing to sum."""
 
@@ -108,12 +127,13 @@ def sum_many(blocks: DataFrame, models: list[tuple[Mixture, bool]]) -> list[Sums
     for model, hard in models:
         whiten, constant = model.whitening()
         arguments.append((whiten, model.means, constant, hard))
-    rows = (
-        blocks.mapInArrow(kernels.fold_blocks(arguments), kernels.STATS_SCHEMA)
-        .groupBy("model", "component", "term")
-        .agg(F.sum("value").alias("value"))
-        .toArrow()
-    )
+    with handed_in_parts(blocks.sparkSession):
+        rows = (
+            blocks.mapInArrow(kernels.fold_blocks(arguments), kernels.STATS_SCHEMA)
+            .groupBy("model", "component", "term")
+            .agg(F.sum("value").alias("value"))
+            .toArrow()
+        )
     if not rows.num_rows:
         raise NoPoints("there are no points to fit")
     number, component, term, value = (rows[c].to_numpy() for c in ("model", "component", "term", "value"))

@@ -97,6 +97,68 @@ def test_narrow_data_far_from_zero_keep_their_digits(spark, blob_points, start):
     np.testing.assert_allclose(model.covs, c, rtol=1e-4, atol=1e-13)
 
 
+def test_a_task_gets_its_blocks_in_parts(spark, blobs, start, monkeypatch):
+    from mixloom.functions import kernels
+    from mixloom.plans import blocks as B
+
+    made = kernels.fold_blocks
+
+    def watched(arguments):
+        fold = made(arguments)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    if batch.num_rows > 10:
+                        raise RuntimeError(f"{batch.num_rows} blocks at once")
+                    yield batch
+
+            yield from fold(seen())
+
+        return run
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
+    whole = sum_blocks(blobs.select("x", "y"), start)
+    spark.conf.set(rows, "4")
+    try:
+        with packed(blobs) as blocks:
+            assert blocks.count() == 150
+            spark.conf.set(rows, before[0])
+            monkeypatch.setattr(kernels, "fold_blocks", watched)
+            monkeypatch.setattr(B, "PASS_BYTES", 512, raising=False)
+            sums = sum_blocks(blocks, start)
+    finally:
+        spark.conf.set(rows, before[0])
+    np.testing.assert_allclose(sums.second, whole.second)
+    assert sums.count == whole.count == 600 and spark.conf.get(size) == before[1]
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 4])
+def test_sums_by_monomials_equal_sums_of_whitened_points(d, monkeypatch):
+    from mixloom.functions import kernels
+
+    rng = np.random.default_rng(d)
+    points = rng.random((d, 5000)) + 1e5
+    root = rng.normal(size=(4, d, d)) * 0.1
+    model = Mixture(np.array([0.1, 0.2, 0.3, 0.4]), points.T[:4], root @ root.transpose(0, 2, 1) + 0.01 * np.eye(d))
+    whiten, constant = model.whitening()
+    folds = []
+    for bound in (kernels.NEAR_MIDDLE, -1.0):  # no mean is near enough for the second
+        monkeypatch.setattr(kernels, "NEAR_MIDDLE", bound)
+        folds.append(kernels.Fold(whiten, model.means, constant, False))
+        for lo in (0, 37, 1500):  # slices of odd lengths
+            folds[-1].add(points[:, lo : {0: 37, 37: 1500, 1500: None}[lo]])
+    quick, plain = folds
+    assert quick.monomials and not plain.monomials
+    np.testing.assert_allclose(quick.table(), plain.table(), rtol=1e-9, atol=1e-9 * 5000)
+    assert quick.total == pytest.approx(plain.total, rel=1e-12) and quick.count == plain.count
+    monkeypatch.setattr(kernels, "NEAR_MIDDLE", 1e5)
+    # narrow components far apart are summed point by point, as is a choice of one component
+    assert not kernels.Fold(whiten * 1e4, model.means, constant, False).monomials
+    assert not kernels.Fold(whiten, model.means, constant, True).monomials
+
+
 def test_tolerance_stops_early(blobs, start, blob_points):
     total = fit_em(blobs, start, max_iter=50, tol=1.0)
     assert total.converged and len(total.history) < 50
