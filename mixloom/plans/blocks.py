@@ -120,9 +120,15 @@ def sum_many(blocks: DataFrame, models: list[tuple[Mixture, bool]]) -> list[Sums
     """One pass over the points for all models: per-task partial sums, then a sum by term.
 
     Each model comes with whether points are given to their nearest component only.
+    Equal requests are summed once, such as those of k-means and of warm EM from one start.
     A task emits ``K * (1 + d + d(d+1)/2) + 2`` rows a model whatever its size, and the
     shuffle key has that many values, so no group grows with the data.
     """
+    asked = [(m.weights.tobytes(), m.means.tobytes(), m.covs.tobytes(), hard) for m, hard in models]
+    distinct = {key: request for key, request in zip(asked, models)}
+    if len(distinct) < len(models):
+        found = dict(zip(distinct, sum_many(blocks, list(distinct.values()))))
+        return [found[key] for key in asked]
     arguments = []
     for model, hard in models:
         whiten, constant = model.whitening()

@@ -244,6 +244,24 @@ def test_fits_share_their_passes(spark, blobs, start, monkeypatch):
         assert together.epochs == alone.epochs and seconds > 0
 
 
+def test_equal_requests_are_summed_once(blobs, start, monkeypatch):
+    from mixloom.functions import kernels
+    from mixloom.plans.trainers import fit_all
+
+    summed, made = [], kernels.fold_blocks
+    monkeypatch.setattr(kernels, "fold_blocks", lambda models: summed.append(len(models)) or made(models))
+    options = {"max_iter": 3, "tol": 0.0}
+    warm = {"kmeans_iter": 3, "kmeans_tol": 0.0, "max_iter": 2, "tol": 0.0}
+    together = fit_all(blobs, [("em", start, {"max_iter": 4}), ("kmeans", start, options), ("em_warm", start, warm)])
+    # EM and the centres both k-means ask for; then warm EM alone
+    assert summed == [2, 2, 2, 2, 1, 1]
+    monkeypatch.setattr(kernels, "fold_blocks", made)
+    for (name, own), (result, _) in zip([("em", {"max_iter": 4}), ("kmeans", options), ("em_warm", warm)], together):
+        alone = fit(blobs, name, start, **own)
+        np.testing.assert_allclose(result.mixture.means, alone.mixture.means)
+        np.testing.assert_allclose(result.mixture.covs, alone.mixture.covs)
+
+
 def test_a_failing_fit_lets_the_others_end(blobs, start):
     from mixloom.plans.blocks import packed
     from mixloom.plans.em import em_rounds, run_together
