@@ -77,7 +77,9 @@ def join_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> None
             labels[:] = further
 
 
-def land_by(df: DataFrame, key: str, label: str, path: str | None = None) -> DataFrame:
+def land_by(
+    df: DataFrame, key: str, label: str, path: str | None = None, compression: str = "zstd"
+) -> DataFrame:
     """Land in buckets of ``key``, so that joins on it do not shuffle this side.
 
     The table's name is of this session only; its files lie in the shared folder.
@@ -87,7 +89,7 @@ def land_by(df: DataFrame, key: str, label: str, path: str | None = None) -> Dat
     name = f"{label}_{path[-32:]}"
     with freed_shuffles(spark):
         (
-            df.write.format("parquet").option("compression", "zstd").option("path", path)
+            df.write.format("parquet").option("compression", compression).option("path", path)
             .bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
         )
     return spark.table(name)

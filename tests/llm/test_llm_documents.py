@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from mixloom.llm import bpe, chat, langid, packing, pii, simhash, suffixtree, warc
-from mixloom.llm.common import land
+from mixloom.llm.common import land, pack, unpack
 from mixloom.llm.components import connected_components
 from mixloom.llm.queries import QUERIES, fold
 
@@ -518,6 +519,86 @@ def test_suffix_tree_odd_rows(odd):
     assert suffixtree.score_documents(odd.where("false"), F.lit(True)).count() == 0
 
 
+def test_suffix_tree_words():
+    """Only ASCII white space parts words, only A-Z are lowered; one end a text."""
+    odd = "".join(map(chr, range(1, 300)))
+    texts = [odd, f"  {odd}\t", None, "", " \n", "a", "A\x0b\x0cB\x85\xa0c \x1fD\u2003E"]
+    low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    want = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [""] for t in texts]
+    assert suffixtree.tokens(pa.array(texts, pa.string())).to_pylist() == want
+
+
+def test_suffix_tree_numbers_and_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    for top in (40, 1 << 30):  # the larger ones do not fit beside their rows
+        first, last = rng.integers(0, top, 5000), rng.integers(0, top, 5000)
+        first[::3], last[::3] = first[0], last[0]
+        a, b, place = suffixtree.numbered(first, last)
+        want, inverse = np.unique(np.stack([first, last]), axis=1, return_inverse=True)
+        assert (np.stack([a, b]) == want).all() and (place == inverse.reshape(-1)).all()
+    columns = [rng.integers(0, 12, 4000).astype(np.uint32) for _ in range(3)]
+    want = np.unique(np.stack(columns), axis=1).shape[1]
+    same = lambda *ids: ids[0].astype(np.uint64)  # noqa: E731  (different rows of one key)
+    for mixed in (suffixtree._mixed, same):
+        monkeypatch.setattr(suffixtree, "_mixed", mixed)
+        order, starts, group, first = suffixtree.grouped(columns)
+        assert sorted(order) == list(range(4000)) and len(starts) == first.sum() == want
+        met = {}
+        assert all(met.setdefault(g, x) == x for g, x in zip(group, zip(*columns))) and len(set(met.values())) == want
+        assert (group[order[starts]] == np.arange(want)).all()
+
+
+def suffix_tree_level(c, parts):
+    """Answer what a chunk asks for, as if it were all there is."""
+    for name, ask, answer, width, sums in (
+        ("items", c.ask_items, suffixtree._count, c.level + 1, 1),
+        ("contexts", c.ask_contexts, suffixtree._retain, c.level, 4),
+    ):
+        if name == "contexts":
+            c.count_items()
+            c.sum_up(~c.context_alone)
+        c.replies[name] = [
+            suffixtree._packed(
+                answer(
+                    list(unpack(ids, np.uint32).reshape(width, -1)),
+                    list(suffixtree._unpacked(own).reshape(sums, -1)),
+                )
+            )
+            for _, _, ids, own in ask()
+        ]
+    c.judge_contexts()
+
+
+def test_suffix_tree_level_is_landed_small():
+    """A landed level holds no probabilities, and gives the same ones back; its chunk gets smaller."""
+    rng = np.random.default_rng(4)
+    parts, words, n = 5, 3000, 300_000
+    codes = np.minimum(rng.zipf(1.3, n) - 1, words - 1).astype(np.uint32)
+    sizes = np.full(300, n // 300)
+    counts = np.bincount(codes, minlength=words)
+    arrays = {
+        "sizes": sizes, "held": (np.arange(300) % 7 == 2).astype(np.uint8), "codes": codes,
+        "ids": np.arange(words, dtype=np.uint32), "counts": counts,
+    }
+    row = {"chunk": 0} | {k: pack(x) for k, x in arrays.items()}
+    c = suffixtree._Chunk(row, parts, n, words, 1)
+    for level in (2, 3, 4):
+        suffix_tree_level(c, parts)
+        c.open_level()
+        state = c.state()
+        assert len(c.at) > 1000
+        if level == 2:
+            assert sum(map(len, state)) < 9 * len(c.item)  # two probabilities alone were 16 bytes an item
+        again = suffixtree._Chunk(row | {"state": state}, parts, n, words, level)
+        for name in ("suffix_p", "best", "item", "context", "alone", "context_alone", "score"):
+            assert (getattr(again, name) == getattr(c, name)).all(), name
+        assert len(again.codes) <= len(c.codes) and (again.ids[again.codes[again.at]] == c.ids[c.codes[c.at]]).all()
+        for name in ("asked_items", "asked_contexts"):
+            for x, y in zip(getattr(again, name)()[1], getattr(c, name)()[1]):
+                assert (x == y).all()
+        c = again
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(6)
     rows = [(-7, t, r, "\\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))]
